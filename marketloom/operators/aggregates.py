@@ -44,26 +44,34 @@ def latest_snapshot(df: DataFrame, date: str) -> DataFrame:
     return df.filter(F.col(date) == df.select(F.max(date)).scalar())
 
 
-def with_total(priced: DataFrame, details: DataFrame, date: Column) -> DataFrame:
-    """Detail rows plus a grand total over *all* priced rows.
+def details_with_total(priced: DataFrame, keys: Sequence[str], rank: Column, date: Column) -> DataFrame:
+    """Selected detail rows plus one grand total over *all* priced rows.
 
-    Sums run over decimals. The total's direction follows the unrounded trend.
+    ``priced`` has Market Cap, Market Cap_Yesterday, the trend columns and
+    ``selected``. One pass: grouping sets give the first row of each coin (by
+    ``rank``) and the total together. Sums run over decimals; the total's
+    direction follows the unrounded trend.
     """
     exact = "decimal(28,2)"
-    sums = priced.agg(
-        F.coalesce(F.sum(F.col("Market Cap").cast(exact)), F.lit(0)).cast("double").alias("now"),
-        F.coalesce(F.sum(F.col("Market Cap_Yesterday").cast(exact)), F.lit(0)).cast("double").alias("before"),
+    now, before = F.col("Market Cap"), F.col("Market Cap_Yesterday")
+    row = F.struct(now.alias("cap"), F.col("`Trend (%)`").alias("pct"), F.col("`Trend direction`").alias("word"))
+    sets = priced.groupingSets([[F.col(k) for k in keys], []], *[F.col(k) for k in keys]).agg(
+        F.grouping(keys[0]).alias("_total"),
+        F.min_by(row, rank).alias("_row"),
+        F.bool_or("selected").alias("_selected"),
+        F.coalesce(F.sum(now.cast(exact)), F.lit(0)).cast("double").alias("_now"),
+        F.coalesce(F.sum(before.cast(exact)), F.lit(0)).cast("double").alias("_before"),
     )
-    change = F.when(F.col("before") > 0, percent_change(F.col("now"), F.col("before"))).otherwise(F.lit(0.0))
-    total = sums.select(
+    total = F.col("_total") == 1
+    change = F.when(F.col("_before") > 0, percent_change(F.col("_now"), F.col("_before"))).otherwise(F.lit(0.0))
+    return sets.filter(total | F.col("_selected")).select(
         date.alias("Date"),
-        F.lit("ALL_STABLECOINS").alias("Symbol"),
-        F.lit("All Stablecoins").alias("Name"),
-        F.col("now").alias("Market Cap"),
-        round_cents(change).alias("Trend (%)"),
-        trend_direction(change).alias("Trend direction"),
+        F.when(total, "ALL_STABLECOINS").otherwise(F.col(keys[0])).alias(keys[0]),
+        F.when(total, "All Stablecoins").otherwise(F.col(keys[1])).alias(keys[1]),
+        F.when(total, F.col("_now")).otherwise(F.col("_row.cap")).alias("Market Cap"),
+        F.when(total, round_cents(change)).otherwise(F.col("_row.pct")).alias("Trend (%)"),
+        F.when(total, trend_direction(change)).otherwise(F.col("_row.word")).alias("Trend direction"),
     )
-    return total.withColumn("_ordinal", F.lit(0)).unionByName(details.withColumn("_ordinal", F.lit(1)))
 
 
 def completeness(df: DataFrame, key: str, ts: str, *, expected: int, step: str) -> DataFrame:

@@ -104,18 +104,20 @@ def purge_unkeyed(df: DataFrame, mapping: DataFrame, cutoff: Column, *, key: str
 
 def fill_missing_symbols(
     universe: DataFrame, incoming: DataFrame, stored: DataFrame, backup: DataFrame, day: Column,
-    *, key: str = "symbol", ts: str = "timestamp",
+    *, key: str = "symbol", ts: str = "timestamp", stored_day: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Rows to load for one day: the incoming ones, and for symbols of the
     universe that brought none, their last stored day or else their backup,
-    moved to ``day``. Also returns the symbols nothing was found for."""
+    moved to ``day``. Also returns the symbols nothing was found for.
+
+    ``stored_day`` names the table's day partition: the last days are then found
+    without reading a row, and only their folders are scanned.
+    """
     columns = incoming.columns
     missing = only_new(universe.select(key).distinct(), incoming.select(key).distinct(), [key])
-    candidates = stored.join(missing, key, "left_semi")
-    last = candidates.groupBy(key).agg(F.max(F.to_date(ts)).alias("_day"))
-    from_stored = (
-        candidates.withColumn("_day", F.to_date(ts)).join(last, [key, "_day"], "left_semi").select(*columns)
-    )
+    dated = stored.withColumn("_day", F.to_date(ts) if stored_day is None else F.col(stored_day))
+    last = dated.groupBy(key).agg(F.max("_day").alias("_day")).join(missing, key, "left_semi")
+    from_stored = dated.join(last, [key, "_day"], "left_semi").select(*columns)
     no_history = only_new(missing, last, [key])
     from_backup = backup.join(no_history, key, "left_semi").select(*columns)
     failed = only_new(no_history, backup.select(key).distinct(), [key])

@@ -7,7 +7,9 @@ three scores that sum to one) and need no weights.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
@@ -35,25 +37,30 @@ NEGATIVE_WORDS = (
 class HashingEmbedder:
     """Word counts in ``dim`` hash buckets, scaled to length one."""
 
+    REMEMBERED = 500_000
+
     def __init__(self, dim: int) -> None:
         self.dim = dim
+        self.bucket: dict[str, int] = {}
 
     def __call__(self, texts: Sequence[str]) -> list[np.ndarray | None]:
-        import hashlib
-
-        bucket: dict[str, int] = {}
-        vectors: list[np.ndarray | None] = []
-        for text in texts:
-            tokens = text.lower().split()
-            if not tokens:
-                vectors.append(None)
-                continue
-            for token in tokens:
-                if token not in bucket:
-                    bucket[token] = int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % self.dim
-            counts = np.bincount([bucket[t] for t in tokens], minlength=self.dim).astype(np.float64)
-            vectors.append(counts / np.sqrt((counts**2).sum()))
-        return vectors
+        return [self._vector(text) for text in texts]
+
+    def _vector(self, text: str) -> np.ndarray | None:
+        counts = Counter(text.lower().split())
+        if not counts:
+            return None
+        if len(self.bucket) > self.REMEMBERED:
+            self.bucket.clear()
+        at = []
+        for token in counts:
+            place = self.bucket.get(token)
+            if place is None:
+                place = int(md5(token.encode()).hexdigest()[:8], 16) % self.dim
+                self.bucket[token] = place
+            at.append(place)
+        sums = np.bincount(at, weights=list(counts.values()), minlength=self.dim)
+        return sums / np.sqrt((sums**2).sum())
 
 
 def vectorize(make_embedder: Callable[[], Callable[[Sequence[str]], list]], batch: int = 100):

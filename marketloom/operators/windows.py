@@ -32,6 +32,24 @@ def cap_newest(
     return joined.filter(alive).select(*df.columns)
 
 
+def dedupe_and_cap(
+    df: DataFrame, mapping: DataFrame, *, key: str = "ticker", link: str = "link",
+    ts: str = "extraction_timestamp_utc", row_id: str = "_id", keep: int = 100,
+) -> DataFrame:
+    """Keep-first per (key, link), then the newest rows of every mapped key.
+
+    Both rules are decided on ids and times alone; the wide rows are read once
+    and picked by a semi join on the unique id.
+    """
+    unique = df.groupBy(key, link).agg(F.min_by(ts, row_id).alias(ts), F.min(row_id).alias(row_id))
+    mapped = mapping.select(key).distinct()
+    newest = [F.col(ts).desc_nulls_last(), F.col(row_id).desc()]
+    capped = top_k(unique.join(mapped, key, "left_semi"), [key], newest, keep, spread=[row_id])
+    others = unique.join(mapped, key, "left_anti")
+    kept = capped.select(row_id).unionByName(others.select(row_id))
+    return df.join(kept, row_id, "left_semi")
+
+
 def retention_with_floor(
     df: DataFrame, mapping: DataFrame, cutoff: Column, *, key: str = "asset_id",
     ts: str = "created_at_utc", row_id: str = "_id", floor: int = 40,

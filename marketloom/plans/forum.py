@@ -52,14 +52,20 @@ def clean(df: DataFrame, mapping: DataFrame, as_of: Column, *, days: int = 60, f
     return dml.purge_unkeyed(kept, mapping, cutoff)
 
 
-def refresh(stored: DataFrame, incoming: DataFrame, mapping: DataFrame, embed, as_of: Column) -> DataFrame:
-    return clean(with_sentiment(with_embeddings(store(stored, incoming), embed)), mapping, as_of)
+def refresh(stored: DataFrame, incoming: DataFrame, mapping: DataFrame, embed, as_of: Column, *, days: int = 60, floor: int = 40) -> DataFrame:
+    """The new state of the submission table. Retention looks at keys and times
+    only and runs before the vectors and scores, which leaves the same rows."""
+    kept = clean(store(stored, incoming), mapping, as_of, days=days, floor=floor)
+    return with_sentiment(with_embeddings(kept, embed))
 
 
 def run(spark: SparkSession, landed: str, table: tables.Table, mapping: DataFrame, embed, as_of: str) -> int:
     moment = F.lit(as_of).cast("timestamp")
     stored = tables.read(spark, table)
     incoming = readers.read_submissions(spark, landed, moment)
-    pairs = joins.not_fetched_today(joins.fan_out(mapping), stored, moment).select("asset_id", "subreddit")
-    wanted = incoming.join(pairs, ["asset_id", "subreddit"], "left_semi")
-    return tables.rewrite(refresh(stored, wanted, mapping, embed, moment), table)
+    searched = F.substring(F.col("submission_dict.subreddit"), 3, 1_000)
+    due = joins.not_fetched_today(joins.fan_out(mapping), stored, moment)
+    wanted = incoming.withColumn("_searched", searched).join(
+        due.select("asset_id", F.col("subreddit").alias("_searched")), ["asset_id", "_searched"], "left_semi"
+    )
+    return tables.replace(refresh(stored, wanted.drop("_searched"), mapping, embed, moment), table)

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..operators.joins import insert_if_newer
 from ..operators.skew import first_row
-from ..session import cut_lineage
 from ..sources import readers, tables
 
 
@@ -31,7 +30,7 @@ def load(
     if series_id is not None:
         raw = raw.filter(F.col("series_id") == series_id)
     rows, rejected = newer_observations(raw, readers.macro_series(spark), tables.read(spark, table))
-    return {"inserted": tables.append(cut_lineage(rows), table), "rejected": rejected}
+    return {"inserted": tables.append(rows, table), "rejected": rejected}
 
 
 def backfill(spark: SparkSession, landed: str, table: tables.Table, start: str, end: str) -> int:
@@ -44,7 +43,7 @@ def backfill(spark: SparkSession, landed: str, table: tables.Table, start: str,
     raw = readers.read_observations(spark, landed, F.date_sub(first, 7), last)
     known, _ = readers.enrich_macro(raw, readers.macro_series(spark))
     rows = newest_by_day(known, tables.read(spark, table), first)
-    return tables.append(cut_lineage(rows), table)
+    return tables.append(rows, table)
 
 
 def newest_by_day(known: DataFrame, stored: DataFrame, first_day: Column) -> DataFrame:

@@ -46,9 +46,9 @@ def load_day(
     moment = F.lit(as_of).cast("timestamp")
     _require_past(spark, day, moment)
     date = F.to_date(F.lit(day), "yyyyMMdd")
-    stored = tables.read(spark, table).select(*incoming.columns)
-    saved = tables.read_backup(spark, backup) if backup else stored.limit(0)
-    rows, failed = dml.fill_missing_symbols(universe, incoming, stored, saved, date)
+    stored = tables.read(spark, table)
+    saved = tables.read_backup(spark, backup) if backup else incoming.limit(0)
+    rows, failed = dml.fill_missing_symbols(universe, incoming, stored, saved, date, stored_day="event_date")
     written = tables.load_days(spark, rows.drop("source_used"), table, moment)
     removed = tables.expire_days(spark, table, universe, as_of) if clean and written else 0
     return {"inserted": written, "expired_folders": removed, "failed": failed}

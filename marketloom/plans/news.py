@@ -12,12 +12,12 @@ from ..operators.setops import keep_first
 from ..sources import readers, tables
 
 
-def articles_of(pages: DataFrame, as_of: Column) -> DataFrame:
-    """Accepted cards of result pages, once per ticker and link, with an id."""
-    cards = readers.accepted_cards(readers.article_cards(pages, "html", "ticker", as_of))
-    once = keep_first(cards, ["ticker", "link"], F.struct("page_id", "card_no"))
+def articles_of(cards: DataFrame) -> DataFrame:
+    """Accepted cards, once per ticker and link, with an id that grows with the
+    extraction time."""
+    once = keep_first(readers.accepted_cards(cards), ["ticker", "link"], F.struct("page_id", "card_no"))
     return once.select(
-        F.concat(F.lpad(F.col("page_id").cast("string"), 19, "0"), F.lit("-"), F.lpad(F.col("card_no").cast("string"), 6, "0")).alias("_id"),
+        F.concat(F.date_format("extraction_timestamp_utc", "yyyyMMddHHmmss"), F.lit("-"), F.lpad(F.col("page_id").cast("string"), 19, "0"), F.lit("-"), F.lpad(F.col("card_no").cast("string"), 6, "0")).alias("_id"),
         "headline", "source", "posted", "description", "link", "synced", "extraction_timestamp_utc", "ticker",
         F.lit(None).cast("string").alias("article_string"),
         F.lit(None).cast("array<float>").alias("article_embedding"),
@@ -51,15 +51,22 @@ def recreate_embeddings(df: DataFrame, embed) -> DataFrame:
     return enrich.embed_missing(cleared, "article_string", "article_embedding", embed)
 
 
-def refresh(stored: DataFrame, fetched: DataFrame, mapping: DataFrame, embed, *, keep: int = 100) -> DataFrame:
-    """The new state of the article table, phases in the fixed order."""
-    merged = stored.unionByName(fetched)
-    unique = windows.dedupe_keep_first(merged)
-    scored = with_sentiment(with_embeddings(unique, embed))
-    return windows.cap_newest(scored, mapping, keep=keep)
+def refresh(stored: DataFrame, fetched: DataFrame, mapping: DataFrame, embed, *, keep: int = 100, scores: Column | None = None) -> DataFrame:
+    """The new state of the article table.
+
+    Dedupe and cap look at ids and times only, so they run before the vectors
+    and scores: rows about to be dropped are never sent to a model, and the
+    table ends up the same.
+    """
+    kept = windows.dedupe_and_cap(stored.unionByName(fetched), mapping, keep=keep)
+    return with_sentiment(with_embeddings(kept, embed), scores)
 
 
 def run(spark: SparkSession, pages: DataFrame, table: tables.Table, mapping: DataFrame, embed, as_of: str) -> int:
-    fetched = articles_of(pages, F.lit(as_of).cast("timestamp"))
+    """``pages`` has page_id, ticker and html. Parsed cards are staged, as they
+    are read once to find broken tickers and once more for their rows."""
+    moment = F.lit(as_of).cast("timestamp")
+    cards = tables.stage(readers.article_cards(pages, "html", "ticker", moment), "cards")
     stored = tables.read(spark, table)
-    return tables.rewrite(refresh(stored, fetched.select(*stored.columns), mapping, embed), table)
+    fetched = articles_of(cards).select(*stored.columns)
+    return tables.replace(refresh(stored, fetched, mapping, embed), table)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import aggregates, enrich, filters, joins, vectors, windows
 from ..plans import news
+from ..session import spread_scan
 from ..sources import readers
 from .base import Registry
 from .views import ARTICLES, TICKERS, articles, even, show, sql_even, sql_show, table, tickers
@@ -46,7 +47,7 @@ NAV = r"""<a href="([^"]*)">([^<]*)</a>"""
 def _result_pages(spark, folder):
     """Search result pages made of the navigation links of the given pages; a
     link text that ends in a comma yields a card without a redirect target."""
-    pages = table(spark, folder, "pages")
+    pages = spread_scan(table(spark, folder, "pages"))
     title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
     host = F.regexp_extract("url", "://([^/]*)/", 1)
     hrefs = F.regexp_extract_all("html", F.lit(NAV), F.lit(1))
@@ -137,9 +138,9 @@ def article_cap(spark, folder):
     return rows.select("_id", "ticker", show("extraction_timestamp_utc").alias("extracted"))
 
 
-def _scored_articles(spark, folder):
+def _scored_articles(spark, folder, *, heavy=False):
     """Articles with a stored score where the document is labelled."""
-    docs = articles(spark, folder)
+    docs = articles(spark, folder, heavy=heavy)
     labels = table(spark, folder, "labels")
     score = F.struct(
         F.col("quality").cast("double").alias("positive"), F.col("toxic").cast("double").alias("negative"),
@@ -182,7 +183,7 @@ SELECT _id, {sql_even('(g + 1) / CAST(n + 3 AS DOUBLE)', 9)} AS positive, {sql_e
 FROM counted WHERE description <> '' """)
 def article_sentiment(spark, folder):
     """Word-list scores of whole texts."""
-    rows = articles(spark, folder).withColumn("s", enrich.lexicon_scores(F.col("description"), GOOD, BAD))
+    rows = articles(spark, folder, heavy=True).withColumn("s", enrich.lexicon_scores(F.col("description"), GOOD, BAD))
     return rows.filter("s IS NOT NULL").select("_id", *[even(F.col(f"s.{c}"), 9).alias(c) for c in enrich.LABELS])
 
 
@@ -207,7 +208,7 @@ def update_by_id(spark, folder):
 SELECT count(*) AS processed, count(*) FILTER (sentiment_score IS NOT NULL) AS successful, count(*) FILTER (sentiment_score IS NULL) AS failed,
   count(*) FILTER (description <> '') AS requests, CAST(sum(len(w) + length(description) // 20) AS BIGINT) AS tokens FROM t""")
 def enrichment_statistics(spark, folder):
-    return aggregates.batch_statistics(_scored_articles(spark, folder), "description", "sentiment_score")
+    return aggregates.batch_statistics(_scored_articles(spark, folder, heavy=True), "description", "sentiment_score")
 
 
 @add("""SELECT doc_id, CAST(quality AS DOUBLE) AS positive, CAST(toxic AS DOUBLE) AS negative, 1.0::DOUBLE - greatest(quality, toxic) AS neutral FROM labels""")
@@ -236,7 +237,7 @@ vec AS (SELECT {key}, pos, CAST(CAST(n / l AS FLOAT) AS DOUBLE) AS v FROM cnt JO
 SELECT _id, pos, {sql_even('v', 6)} AS value FROM vec""")
 def article_embeddings(spark, folder):
     """Vectors of the article texts, as their non-zero components."""
-    rows = articles(spark, folder).select("_id", _string().alias("article_string"), F.lit(None).cast("array<float>").alias("article_embedding"))
+    rows = articles(spark, folder, heavy=True).select("_id", _string().alias("article_string"), F.lit(None).cast("array<float>").alias("article_embedding"))
     filled = enrich.embed_missing(rows, "article_string", "article_embedding", embed())
     parts = filled.select("_id", F.posexplode("article_embedding").alias("pos", "v")).filter("v <> 0")
     return parts.select("_id", F.col("pos").cast("long").alias("pos"), even(F.col("v").cast("double"), 6).alias("value"))
@@ -246,7 +247,7 @@ def article_embeddings(spark, folder):
 SELECT s._id, count(pos) AS components, {sql_even('coalesce(max(v), 0)', 6)} AS largest FROM scored s LEFT JOIN vec ON s._id = vec._id GROUP BY 1""")
 def embeddings_recreated(spark, folder):
     """All vectors dropped and computed anew where there is a text."""
-    rows = _scored_articles(spark, folder).select(
+    rows = _scored_articles(spark, folder, heavy=True).select(
         "_id", F.when(F.col("sentiment_score").isNotNull(), _string()).alias("article_string"),
         F.array(F.lit(1.0).cast("float")).alias("article_embedding"),
     )
@@ -295,15 +296,13 @@ kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER B
 SELECT _id, ticker, md5(article_string) AS text_md5, {sql_even('(g + 1) / CAST(n + 3 AS DOUBLE)', 9)} AS positive, CAST({DIM} AS BIGINT) AS vector_size FROM counted""")
 def news_refresh(spark, folder):
     """Dedupe, texts, vectors, sentiment and the cap, over stored and fetched rows."""
-    rows = articles(spark, folder)
-    full = rows.select(
+    full = articles(spark, folder, heavy=True).select(
         "*", F.lit(None).cast("string").alias("article_string"), F.lit(None).cast("array<float>").alias("article_embedding"),
         F.lit(None).cast("struct<positive:double,negative:double,neutral:double>").alias("sentiment_score"),
     )
     known = F.col("source").isin("src0", "src1", "src2", "src3", "src4")
-    unique = windows.dedupe_keep_first(full.filter(known).unionByName(full.filter(~known)))
-    scored = news.with_sentiment(news.with_embeddings(unique, embed()), enrich.lexicon_scores(F.col("article_string"), GOOD, BAD))
-    kept = windows.cap_newest(scored, tickers(spark, folder))
+    scores = enrich.lexicon_scores(F.col("article_string"), GOOD, BAD)
+    kept = news.refresh(full.filter(known), full.filter(~known), tickers(spark, folder), embed(), scores=scores)
     return kept.select(
         "_id", "ticker", F.md5("article_string").alias("text_md5"), even(F.col("sentiment_score.positive"), 9).alias("positive"),
         F.size("article_embedding").cast("long").alias("vector_size"),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import symbols
 from ..functions.text import asset_or_unknown
 from ..operators.aggregates import rollup_ohlcv
+from ..session import spread_scan
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -166,8 +167,10 @@ supplied AS (SELECT * FROM returns)"""
 # -- articles from documents ------------------------------------------------------------------
 
 
-def articles(spark: SparkSession, folder: str) -> DataFrame:
+def articles(spark: SparkSession, folder: str, *, heavy: bool = False) -> DataFrame:
+    """``heavy`` spreads a small input over the cores, for work on the texts."""
     docs = table(spark, folder, "documents")
+    docs = spread_scan(docs) if heavy else docs
     stamp = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("doc_id") * 60)
     return docs.select(
         F.col("doc_id").alias("_id"),

@@ -1,4 +1,4 @@
-"""Session settings and the shared folder for checkpoints and staged output."""
+"""Session settings and the shared folder for staged output."""
 
 from __future__ import annotations
 
@@ -62,9 +62,11 @@ def run_folder(spark: SparkSession, purpose: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives the loss of executors."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+def spread_scan(df: DataFrame) -> DataFrame:
+    """Spread a scan that has fewer splits than the session has cores.
+
+    For CPU-heavy work on small inputs only: a large scan has more splits than
+    cores and is returned as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

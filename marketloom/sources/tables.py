@@ -1,9 +1,10 @@
 """Parquet tables on shared storage: creation, appends, replaced partitions,
 expiry and exports.
 
-A change rewrites only the partitions it touches. Input that was read from the
-table being written is checkpointed first, so that a lost executor can never
-recompute it from files that are already gone.
+A change rewrites only the partitions it touches, in one job: Spark writes the new
+files to a staging folder and replaces the old ones when every task is done, so
+rows read from the same table stay readable - and can be computed again if an
+executor is lost - until then.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from .. import schemas
 from ..functions.dates import load_stamp
 from ..operators import dml
 from ..operators.filters import in_day
-from ..session import cut_lineage
+from ..session import run_folder
 
 
 @dataclass(frozen=True)
@@ -97,25 +98,49 @@ def append_stamped(df: DataFrame, table: Table, as_of: Column, stamp: str = "dat
 
 
 def rewrite(df: DataFrame, table: Table) -> int:
-    """Replace the partitions present in ``df`` (the whole table when it has
-    none). ``df`` may come from the table itself."""
-    return _write(cut_lineage(df), table, "overwrite")
+    """Replace the partitions present in ``df``, which may come from the table
+    itself. For changes that empty no partition."""
+    if not table.partitions:
+        return replace(df, table)
+    return _write(df, table, "overwrite")
+
+
+def replace(df: DataFrame, table: Table) -> int:
+    """Replace the whole table: written beside it first, then swapped in."""
+    spark = df.sparkSession
+    beside = Table(f"{table.path.rstrip('/')}__next", table.schema, table.partitions)
+    written = _write(df, beside, "overwrite")
+    fs, old = _fs(spark, table.path)
+    _, new = _fs(spark, beside.path)
+    fs.delete(old, True)
+    if not fs.rename(new, old):
+        raise OSError(f"could not swap in {beside.path}")
+    return written
+
+
+def stage(df: DataFrame, purpose: str) -> DataFrame:
+    """Write an expensive intermediate result once and read it back."""
+    spark = df.sparkSession
+    path = run_folder(spark, purpose)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def load_days(spark: SparkSession, incoming: DataFrame, table: Table, as_of: Column, *, days: str = "first") -> int:
     """Replace-day load into a candle table; touches only incoming partitions.
 
-    Days beyond a symbol's first are appended under ``days="first"``.
+    Days beyond a symbol's first are appended under ``days="first"``. They are
+    written before the first day is replaced, as incoming rows may have been
+    recovered from the table.
     """
     stamped = incoming.select(*schemas.CANDLE_COLUMNS).withColumn("date_load_iso_utc", load_stamp(as_of))
-    stamped = cut_lineage(_with_event_date(stamped, table))
+    stamped = _with_event_date(stamped, table)
     if days == "all":
         return _write(stamped, table, "overwrite")
-    gone = dml.replaced_days(stamped, days="first").withColumn("event_date", F.date_format("_day", "yyyy-MM-dd"))
     keys = ["symbol", "event_date"]
-    first = stamped.join(gone.select(*keys), keys, "left_semi")
-    later = stamped.join(gone.select(*keys), keys, "left_anti")
-    return _write(first, table, "overwrite") + _write(later, table, "append")
+    first_days = stamped.groupBy("symbol").agg(F.min("event_date").alias("event_date"))
+    later = _write(stamped.join(first_days, keys, "left_anti"), table, "append")
+    return later + _write(stamped.join(first_days, keys, "left_semi"), table, "overwrite")
 
 
 def expire_days(spark: SparkSession, table: Table, universe: DataFrame, as_of: str, days: int | None = None) -> int:
@@ -127,29 +152,24 @@ def expire_days(spark: SparkSession, table: Table, universe: DataFrame, as_of: s
     """
     days = table.expire_days if days is None else days
     cutoff = F.lit(as_of).cast("timestamp") - F.expr(f"INTERVAL {days} DAYS")
-    stored = read(spark, table)
-    cutoff_day = spark.range(1).select(F.date_format(cutoff, "yyyy-MM-dd")).first()[0]
-    listed = universe.select("symbol").distinct()
-
-    edge = stored.filter(F.col("event_date") == cutoff_day).join(listed, "symbol", "left_semi")
-    kept = cut_lineage(edge.filter(F.col("timestamp") >= cutoff))
-    kept_folders = kept.select("symbol").distinct()
-    edge_folders = (
-        edge.select("symbol").distinct().join(kept_folders, "symbol", "left_anti").select("symbol", F.lit(cutoff_day).alias("event_date"))
+    cutoff_day = F.date_format(cutoff, "yyyy-MM-dd")
+    stored = read(spark, table).join(universe.select("symbol").distinct(), "symbol", "left_semi")
+    candidates = stored.filter(F.col("event_date") <= cutoff_day)
+    alive = F.col("timestamp") >= cutoff
+    folders = (
+        candidates.groupBy("symbol", "event_date")
+        .agg(F.count_if(alive).alias("alive"), F.count("*").alias("n"))
+        .filter("alive < n")
+        .collect()
     )
-    old_folders = (
-        stored.filter(F.col("event_date") < cutoff_day)
-        .join(listed, "symbol", "left_semi")
-        .select("symbol", "event_date")
-        .distinct()
-    )
-    folders = old_folders.unionByName(edge_folders).collect()
-    _write(kept, table, "overwrite")
+    if any(f["alive"] for f in folders):
+        _write(candidates.filter((F.col("event_date") == cutoff_day) & alive), table, "overwrite")
+    gone = [f for f in folders if not f["alive"]]
     fs, _ = _fs(spark, table.path)
-    for symbol, event_date in folders:
-        _, folder = _fs(spark, f"{table.path}/symbol={symbol}/event_date={event_date}")
+    for f in gone:
+        _, folder = _fs(spark, f"{table.path}/symbol={f['symbol']}/event_date={f['event_date']}")
         fs.delete(folder, True)
-    return len(folders)
+    return len(gone)
 
 
 def backup_day(df: DataFrame, symbols: Sequence[str] | None, day: Column, out: str) -> int:
