@@ -102,32 +102,50 @@ def purge_unkeyed(df: DataFrame, mapping: DataFrame, cutoff: Column, *, key: str
     return df.filter(~(missing_or_old(F.col(key), F.col(ts), cutoff) & any_mapping))
 
 
+def symbol_sources(
+    universe: DataFrame, incoming: DataFrame, stored: DataFrame, backup: DataFrame,
+    *, key: str = "symbol", ts: str = "timestamp", stored_day: str | None = None,
+) -> DataFrame:
+    """One row per symbol of the universe: where its rows come from (incoming,
+    last_day, backup or failed) and its last stored day.
+
+    ``stored_day`` names the table's day partition; the last days are then found
+    from partition values alone.
+    """
+    day = F.to_date(ts) if stored_day is None else F.col(stored_day)
+    have = incoming.groupBy(key).agg(F.lit(True).alias("_have"))
+    last = stored.groupBy(key).agg(F.max(day).alias("_day"))
+    saved = backup.groupBy(key).agg(F.lit(True).alias("_saved"))
+    used = (
+        F.when(F.col("_have").isNotNull(), "incoming")
+        .when(F.col("_day").isNotNull(), "last_day")
+        .when(F.col("_saved").isNotNull(), "backup")
+        .otherwise("failed")
+    )
+    known = universe.select(key).distinct().join(have, key, "left").join(last, key, "left").join(saved, key, "left")
+    return known.select(key, "_day", used.alias("source_used"))
+
+
 def fill_missing_symbols(
     universe: DataFrame, incoming: DataFrame, stored: DataFrame, backup: DataFrame, day: Column,
     *, key: str = "symbol", ts: str = "timestamp", stored_day: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Rows to load for one day: the incoming ones, and for symbols of the
     universe that brought none, their last stored day or else their backup,
-    moved to ``day``. Also returns the symbols nothing was found for.
-
-    ``stored_day`` names the table's day partition: the last days are then found
-    without reading a row, and only their folders are scanned.
-    """
+    moved to ``day``. Also returns the symbols nothing was found for."""
     columns = incoming.columns
-    missing = only_new(universe.select(key).distinct(), incoming.select(key).distinct(), [key])
-    dated = stored.withColumn("_day", F.to_date(ts) if stored_day is None else F.col(stored_day))
-    last = dated.groupBy(key).agg(F.max("_day").alias("_day")).join(missing, key, "left_semi")
-    from_stored = dated.join(last, [key, "_day"], "left_semi").select(*columns)
-    no_history = only_new(missing, last, [key])
-    from_backup = backup.join(no_history, key, "left_semi").select(*columns)
-    failed = only_new(no_history, backup.select(key).distinct(), [key])
+    sources = symbol_sources(universe, incoming, stored, backup, key=key, ts=ts, stored_day=stored_day)
 
-    def moved(df: DataFrame, used: str) -> DataFrame:
-        return df.withColumn(ts, redate(F.col(ts), day)).withColumn("source_used", F.lit(used))
+    def of(kind: str) -> DataFrame:
+        return sources.filter(F.col("source_used") == kind)
 
+    def moved(df: DataFrame, kind: str) -> DataFrame:
+        return df.select(*columns).withColumn(ts, redate(F.col(ts), day)).withColumn("source_used", F.lit(kind))
+
+    dated = stored.withColumn("_day", F.to_date(ts) if stored_day is None else F.col(stored_day))
     rows = (
         incoming.withColumn("source_used", F.lit("incoming"))
-        .unionByName(moved(from_stored, "last_day"))
-        .unionByName(moved(from_backup, "backup"))
+        .unionByName(moved(dated.join(of("last_day"), [key, "_day"], "left_semi"), "last_day"))
+        .unionByName(moved(backup.join(of("backup"), key, "left_semi"), "backup"))
     )
-    return rows, failed
+    return rows, of("failed").select(key)

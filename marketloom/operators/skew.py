@@ -1,8 +1,8 @@
 """Group operators that stay parallel when one key holds much of the table.
 
 A plain window over a key sends the whole group to one task. The operators here
-first reduce every group in slices - by a salt or by a calendar block - and
-only combine the small per-slice results per key. Results are exact.
+first reduce every group - in salted slices, or to one row per id or date - and
+only combine the small results per key. Results are exact.
 """
 
 from __future__ import annotations
@@ -73,61 +73,13 @@ def newest_edge(
     return kept.groupBy(key).agg(F.min(F.struct(*recency)).alias(edge))
 
 
-def running_total(
-    df: DataFrame, keys: Sequence[str], order: str, block: str, value: str, out: str
-) -> DataFrame:
-    """Inclusive running sum along ``order``: block totals first, then the
-    position inside the block. ``block`` must be monotone in ``order``."""
-    before = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
-    inside = Window.partitionBy(*keys, block).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    offsets = (
-        df.groupBy(*keys, block)
-        .agg(F.sum(value).alias("_block_sum"))
-        .withColumn("_offset", F.coalesce(F.sum("_block_sum").over(before), F.lit(0)))
-        .drop("_block_sum")
-    )
-    return df.join(offsets, [*keys, block]).withColumn(
-        out, F.col("_offset") + F.sum(value).over(inside)
-    ).drop("_offset")
-
-
-def last_known(
-    df: DataFrame, keys: Sequence[str], order: str, block: str, value: str, out: str
-) -> DataFrame:
-    """Latest non-null ``value`` at or before every row, found per block and
-    carried from block to block."""
-    before = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
-    inside = Window.partitionBy(*keys, block).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    known = F.when(F.col(value).isNotNull(), F.col(order))
-    carried = (
-        df.groupBy(*keys, block)
-        .agg(F.max_by(value, known).alias("_block_last"))
-        .withColumn("_carried", F.last("_block_last", ignorenulls=True).over(before))
-        .drop("_block_last")
-    )
-    return df.join(carried, [*keys, block]).withColumn(
-        out, F.coalesce(F.last(value, ignorenulls=True).over(inside), F.col("_carried"))
-    ).drop("_carried")
-
+def one_per_date(df: DataFrame, keys: Sequence[str], date: str, order: Column | None = None) -> DataFrame:
+    """One row per key and calendar date (the smallest by ``order``).
 
-def with_lookback(
-    df: DataFrame, keys: Sequence[str], order: str, block: str, n: int, *, context: str = "is_context"
-) -> DataFrame:
-    """``df`` plus, for every block, copies of the ``n`` rows before it.
-
-    A rows frame of up to ``n`` preceding rows can then run per block; filter
-    ``context`` afterwards. Every block holds at least one row, so its ``n``
-    predecessors lie within the ``n`` blocks before it.
+    Copies collapse before the shuffle, and afterwards no key has more rows than
+    the calendar has days, so a window along the dates of one key is small
+    however many rows came in.
     """
-    newest = [F.col(order).desc()]
-    tails = top_k(df, [*keys, block], newest, n, spread=[order], rank="_tail").drop("_tail")
-    ahead = Window.partitionBy(*keys).orderBy(block).rowsBetween(1, n)
-    targets = (
-        df.select(*keys, block)
-        .distinct()
-        .withColumn("_target", F.collect_list(block).over(ahead))
-        .withColumn("_target", F.explode("_target"))
-    )
-    sent = tails.join(targets, [*keys, block]).withColumn(block, F.col("_target")).drop("_target")
-    copies = top_k(sent, [*keys, block], newest, n, spread=[order], rank="_tail").drop("_tail")
-    return df.withColumn(context, F.lit(False)).unionByName(copies.withColumn(context, F.lit(True)))
+    rest = [F.col(c) for c in df.columns if c not in (*keys, date)]
+    dated = df.withColumn(date, F.to_date(date))
+    return first_row(dated, [*keys, date], F.struct(*rest) if order is None else order)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import momentum, next_return_band, percent_change, reversal_probability
-from .skew import keep_one_id, last_known, newest_edge, running_total, top_k, with_lookback
+from .skew import keep_one_id, newest_edge, one_per_date, top_k
 
 LOOKBACK = 5
 
@@ -91,24 +91,20 @@ def trim_day(df: DataFrame, *, key: str = "symbol", ts: str = "timestamp", limit
     return top_k(dated, [key, "_day"], order, limit, spread=list(spread)).select(*df.columns)
 
 
-def trend_state(
-    df: DataFrame, keys: Sequence[str], *, date: str = "date", value: str = "daily_return", block: str = "month",
-) -> DataFrame:
+def trend_state(df: DataFrame, keys: Sequence[str], *, date: str = "date", value: str = "daily_return") -> DataFrame:
     """Trend sign, run length within the last five rows, and the band of the
-    next return, as of every row. One row per key and date is expected."""
-    blocked = df.withColumn("_block", F.date_trunc(block, date))
-    rows = with_lookback(blocked, keys, date, "_block", LOOKBACK - 1, context="_context")
-    along = Window.partitionBy(*keys, "_block").orderBy(date)
-    rows = rows.withColumn("_up", F.col(value) >= 0)
+    next return, as of every row of a daily series."""
+    along = Window.partitionBy(*keys).orderBy(date)
+    rows = one_per_date(df, keys, date).withColumn("_up", F.col(value) >= 0)
     run, streak = F.lit(1), F.lit(1)
     for back in range(1, LOOKBACK):
         same = F.coalesce(F.lag("_up", back).over(along) == F.col("_up"), F.lit(False))
         run = F.when(same, run).otherwise(F.lit(0))
         streak = streak + run
-    state = rows.withColumn("streak", streak.cast("long")).filter(~F.col("_context"))
-    state = state.withColumn("trend", F.when(F.col("_up"), "positive").otherwise("negative"))
     return (
-        state.withColumn("reversal_probability", reversal_probability(F.col("streak")))
+        rows.withColumn("streak", streak.cast("long"))
+        .withColumn("trend", F.when(F.col("_up"), "positive").otherwise("negative"))
+        .withColumn("reversal_probability", reversal_probability(F.col("streak")))
         .withColumn("momentum", momentum(F.col("streak")))
         .withColumn("band", next_return_band(F.col("trend"), F.col("streak"), F.col(value)))
         .select(*df.columns, "trend", "streak", "reversal_probability", "momentum", "band.*")
@@ -121,23 +117,22 @@ NO_HISTORY = {"trend": "positive", "streak": 0, "last_return": 0.0}
 
 def running_return(
     df: DataFrame, keys: Sequence[str], *, date: str = "date", daily: str = "daily_return",
-    stored: str = "stored_cumulative", out: str = "cumulative_return", block: str = "month",
+    stored: str = "stored_cumulative", out: str = "cumulative_return",
 ) -> DataFrame:
-    """Cumulative return along the dates, in steps of 0.01.
+    """Cumulative return along the dates of a daily series, in steps of 0.01.
 
     Rows with a stored value keep it and restart the sum there; later stored
     rows are not recomputed. Daily returns carry two decimals, so rounding after
-    every step equals an exact sum of hundredths, which can be split in blocks.
+    every step equals an exact sum of hundredths.
     """
-    hundredths = F.rint(F.col(daily) * 100).cast("long")
-    rows = df.withColumn("_block", F.date_trunc(block, date)).withColumn(
-        "_step", F.when(F.col(stored).isNull(), hundredths).otherwise(F.lit(0).cast("long"))
+    along = Window.partitionBy(*keys).orderBy(date).rowsBetween(Window.unboundedPreceding, 0)
+    rows = one_per_date(df, keys, date).withColumn(
+        "_step", F.when(F.col(stored).isNull(), F.rint(F.col(daily) * 100).cast("long")).otherwise(F.lit(0).cast("long"))
     )
-    rows = running_total(rows, keys, date, "_block", "_step", "_sum")
-    rows = rows.withColumn("_anchor", F.rint(F.col(stored) * 100).cast("long") - F.col("_sum"))
-    rows = last_known(rows, keys, date, "_block", "_anchor", "_base")
-    total = F.col("_sum") + F.coalesce(F.col("_base"), F.lit(0).cast("long"))
-    return rows.withColumn(out, total / F.lit(100.0)).select(*df.columns, out)
+    rows = rows.withColumn("_sum", F.sum("_step").over(along))
+    anchor = F.rint(F.col(stored) * 100).cast("long") - F.col("_sum")
+    base = F.coalesce(F.last(anchor, ignorenulls=True).over(along), F.lit(0).cast("long"))
+    return rows.withColumn(out, (F.col("_sum") + base) / F.lit(100.0)).select(*df.columns, out)
 
 
 def newest_comments(comments: Column, k: int = 3) -> Column:
@@ -157,16 +152,12 @@ def last_day_rows(df: DataFrame, *, key: str = "symbol", ts: str = "timestamp")
     return df.join(last, key).filter(F.to_date(ts) == F.col("_last")).select(*df.columns)
 
 
-def snapshot_trend(
-    df: DataFrame, keys: Sequence[str], *, date: str = "Date", value: str = "Market Cap", block: str = "year",
-) -> DataFrame:
+def snapshot_trend(df: DataFrame, keys: Sequence[str], *, date: str = "Date", value: str = "Market Cap") -> DataFrame:
     """Previous snapshot value and percent change for every row of a history."""
-    blocked = df.withColumn("_block", F.date_trunc(block, date))
-    rows = with_lookback(blocked, keys, date, "_block", 1, context="_context")
-    along = Window.partitionBy(*keys, "_block").orderBy(date)
+    along = Window.partitionBy(*keys).orderBy(date)
     return (
-        rows.withColumn("previous", F.lag(value).over(along))
-        .filter(~F.col("_context"))
+        one_per_date(df, keys, date)
+        .withColumn("previous", F.lag(value).over(along))
         .withColumn("change", percent_change(F.col(value), F.col("previous")))
         .select(*df.columns, "previous", "change")
     )

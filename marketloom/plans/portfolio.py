@@ -6,22 +6,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import aggregates, dml, windows
+from ..operators.skew import one_per_date
 
 KEYS = ["portfolio", "date"]
 
 
-def book(stored: DataFrame, supplied: DataFrame, *, block: str = "month") -> DataFrame:
+def book(stored: DataFrame, supplied: DataFrame) -> DataFrame:
     """Stored rows and the supplied rows of dates without one, with status,
     running return and trend state.
 
     ``stored`` has portfolio, date, daily_return, stored_cumulative; ``supplied``
-    portfolio, date, daily_return.
+    portfolio, date, daily_return. One aggregate drops supplied rows of stored
+    dates and repeated rows of a date.
     """
-    incoming = dml.insert_absent(stored, supplied, KEYS, F.col("daily_return"))
-    new = incoming.filter("status = 'inserted'").withColumn("stored_cumulative", F.lit(None).cast("double"))
-    rows = stored.withColumn("status", F.lit("stored")).unionByName(new)
-    rows = windows.running_return(rows, ["portfolio"], block=block)
-    return windows.trend_state(rows, ["portfolio"], block=block)
+    new = supplied.withColumn("stored_cumulative", F.lit(None).cast("double"))
+    both = stored.withColumn("status", F.lit("stored")).unionByName(new.withColumn("status", F.lit("inserted")))
+    rows = one_per_date(both, ["portfolio"], "date", F.struct(F.col("status") != "stored", F.col("daily_return")))
+    return windows.trend_state(windows.running_return(rows, ["portfolio"]), ["portfolio"])
 
 
 def backfill_summary(stored: DataFrame, supplied: DataFrame) -> DataFrame:

@@ -251,7 +251,7 @@ SELECT portfolio, strftime("date", '%Y-%m-%d') AS day, daily_return, CASE WHEN u
   {sql_even('CASE WHEN up THEN CASE WHEN daily_return > 0.3 THEN daily_return * 0.7 ELSE -0.05 END ELSE CASE WHEN daily_return < -0.3 THEN -0.05 ELSE 0.25 END END', 6)} AS reverse_high FROM s""")
 def return_streaks(spark, folder):
     """Trend, streak and the band of the next return as of every day."""
-    rows = windows.trend_state(returns(spark, folder), ["portfolio"], block="week")
+    rows = windows.trend_state(returns(spark, folder), ["portfolio"])
     bands = ["reversal_probability", "momentum", "continue_low", "continue_high", "reverse_low", "reverse_high"]
     return rows.select("portfolio", DAY("date").alias("day"), "daily_return", "trend", "streak", *[even(F.col(c), 6).alias(c) for c in bands])
 
@@ -265,7 +265,7 @@ SELECT portfolio, strftime("date", '%Y-%m-%d') AS day, daily_return, status,
 def portfolio_book(spark, folder):
     """New dates added to stored ones, with the running return."""
     stored, supplied = split_returns(spark, folder)
-    rows = portfolio_plan.book(stored, supplied, block="week")
+    rows = portfolio_plan.book(stored, supplied)
     return rows.select("portfolio", DAY("date").alias("day"), "daily_return", "status", "cumulative_return")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import symbols
 from ..functions.text import asset_or_unknown
@@ -12,8 +13,16 @@ from ..operators.aggregates import rollup_ohlcv
 from ..session import spread_scan
 
 
+SCHEMAS: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    """A given table with instants as TIMESTAMP. The file's schema is looked up
+    once; every lookup costs a job."""
+    path = f"{folder}/{name}.parquet"
+    if path not in SCHEMAS:
+        SCHEMAS[path] = spark.read.parquet(path).schema
+    df = spark.read.schema(SCHEMAS[path]).parquet(path)
     instants = [f.name for f in df.schema.fields if f.dataType.typeName() == "timestamp_ntz"]
     return df.withColumns({c: F.col(c).cast("timestamp") for c in instants})
 

@@ -33,6 +33,7 @@ def local_session(app: str, cpus: int | str = "*", **conf: str) -> SparkSession:
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in {**SEMANTIC_CONF, **conf}.items():
         builder = builder.config(key, value)
