@@ -110,26 +110,31 @@ def lexicon_scores(
     return F.when(F.coalesce(text != "", F.lit(False)), scores)
 
 
-def model_scores(make_scorer: Callable[[], Callable[[Sequence[str]], list[dict[str, float]]]], batch: int = 100):
-    """Arrow UDF text -> three scores for a real model; labels may come in any
-    letter case."""
+def model_scores(make_scorer: Callable[[], Callable[[Sequence[str]], list[dict[str, float] | None]]], batch: int = 100):
+    """Function text -> struct of three scores for a real model, run in Arrow
+    batches. The model is made once per task; labels may come in any letter
+    case; a text the model fails on (or without text) has no score."""
     schema = T.StructType([T.StructField(name, T.DoubleType()) for name in LABELS])
 
     @F.pandas_udf(schema)
     def score(chunks: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scorer = make_scorer()
         for chunk in chunks:
-            out = pd.DataFrame(np.nan, index=chunk.index, columns=list(LABELS)).astype(object).where(lambda d: False, None)
-            todo = chunk[chunk.notna() & (chunk != "")]
+            out = np.full((len(chunk), len(LABELS)), np.nan)
+            todo = np.flatnonzero((chunk.notna() & (chunk != "")).to_numpy())
             for start in range(0, len(todo), batch):
-                part = todo.iloc[start : start + batch]
-                for at, result in zip(part.index, scorer(part.tolist()), strict=True):
+                part = todo[start : start + batch]
+                for at, result in zip(part, scorer(chunk.iloc[part].tolist()), strict=True):
                     if result is not None:
                         lowered = {k.lower(): v for k, v in result.items()}
-                        out.loc[at] = [lowered.get(name) for name in LABELS]
-            yield out.astype(float)
+                        out[at] = [lowered.get(name, np.nan) for name in LABELS]
+            yield pd.DataFrame(out, columns=list(LABELS))
+
+    def scores(text: Column | str) -> Column:
+        found = score(text)
+        return F.when(found["positive"].isNotNull() & ~F.isnan(found["positive"]), found)
 
-    return score
+    return scores
 
 
 def label_scores(entries: Column) -> Column:
