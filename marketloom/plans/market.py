@@ -41,7 +41,9 @@ def load_day(
     """Load one day of canonical candles into the table.
 
     Symbols of ``universe`` without rows fall back to their last stored day or
-    their backup. The clean-up belongs to the all-symbols form only.
+    their backup. The clean-up belongs to the all-symbols form only. The names
+    of symbols nothing was found for are part of the configured universe and
+    are read before the table changes.
     """
     moment = F.lit(as_of).cast("timestamp")
     _require_past(spark, day, moment)
@@ -49,9 +51,10 @@ def load_day(
     stored = tables.read(spark, table)
     saved = tables.read_backup(spark, backup) if backup else incoming.limit(0)
     rows, failed = dml.fill_missing_symbols(universe, incoming, stored, saved, date, stored_day="event_date")
+    missing = sorted(r[0] for r in failed.collect())
     written = tables.load_days(spark, rows.drop("source_used"), table, moment)
     removed = tables.expire_days(spark, table, universe, as_of) if clean and written else 0
-    return {"inserted": written, "expired_folders": removed, "failed": failed}
+    return {"inserted": written, "expired_folders": removed, "failed": missing}
 
 
 def backfill(

@@ -102,7 +102,7 @@ def market_pages(pages: DataFrame, *, max_pages: int = 5, page_size: int = 250)
 def read_market_pages(spark: SparkSession, path: str, **limits: int) -> DataFrame:
     """One file per page, ``page=<n>``, each a JSON array of coins."""
     coin = "struct<id:string,symbol:string,name:string,market_cap:double>"
-    raw = spark.read.schema("value string, page int").option("wholetext", True).text(path)
+    raw = spark.read.schema("value string, page int").text(path, wholetext=True)
     return market_pages(raw.select("page", F.from_json("value", f"array<{coin}>").alias("coins")), **limits)
 
 
@@ -231,7 +231,7 @@ def extended_candles(payload: Column) -> Column:
 def read_extended_candles(spark: SparkSession, path: str) -> DataFrame:
     """Backup files, one array of candles per file. A file holds one symbol's
     day, so its size is bounded by the day's candles."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     return raw.select(F.explode(extended_candles(F.col("value"))).alias("r")).select("r.*")
 
 
