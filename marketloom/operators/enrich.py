@@ -65,7 +65,10 @@ class HashingEmbedder:
 
 def vectorize(make_embedder: Callable[[], Callable[[Sequence[str]], list]], batch: int = 100):
     """Arrow UDF text -> vector. The embedder is made once per task and sees
-    batches of texts; NULL and empty texts never reach it."""
+    batches of texts; NULL and empty texts never reach it.
+
+    It is marked non-deterministic so that the optimizer never copies it into a
+    filter, which would call the model twice per text."""
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def embed(chunks: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -79,7 +82,7 @@ def vectorize(make_embedder: Callable[[], Callable[[Sequence[str]], list]], batc
                     out.at[at] = None if vector is None else np.asarray(vector, dtype=np.float32)
             yield out
 
-    return embed
+    return embed.asNondeterministic()
 
 
 def embed_missing(df: DataFrame, text: str, vector: str, embed, where: Column | None = None) -> DataFrame:
@@ -130,9 +133,12 @@ def model_scores(make_scorer: Callable[[], Callable[[Sequence[str]], list[dict[s
                         out[at] = [lowered.get(name, np.nan) for name in LABELS]
             yield pd.DataFrame(out, columns=list(LABELS))
 
+    model = score.asNondeterministic()
+
     def scores(text: Column | str) -> Column:
-        found = score(text)
-        return F.when(found["positive"].isNotNull() & ~F.isnan(found["positive"]), found)
+        # The array lets the check use the result without a second call.
+        scored = F.filter(F.array(model(text)), lambda s: s["positive"].isNotNull() & ~F.isnan(s["positive"]))
+        return F.get(scored, F.lit(0))
 
     return scores
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import symbols
 from ..operators import aggregates, dml, windows
+from ..operators.filters import in_day
 from ..sources import readers, tables
 
 
@@ -57,6 +58,35 @@ def load_day(
     return {"inserted": written, "expired_folders": removed, "failed": missing}
 
 
+def load_exchange_day(
+    spark: SparkSession, landed: str, table: tables.Table, day: str, as_of: str,
+    *, symbol: str | None = None, config: dict[str, str] | None = None, backup: str | None = None,
+) -> dict:
+    """Landed exchange files of one day: all configured symbols, or one."""
+    incoming = exchange_candles(readers.read_ohlcv(spark, landed))
+    listed = readers.traded_symbols(readers.universe(spark, config), crypto=False)
+    return _load(spark, incoming, table, listed, symbols.normalize_caret, day, as_of, symbol, backup)
+
+
+def load_crypto_day(
+    spark: SparkSession, landed: str, table: tables.Table, day: str, as_of: str,
+    *, symbol: str | None = None, config: dict[str, str] | None = None, backup: str | None = None,
+) -> dict:
+    """Landed kline files of one day: all configured symbols, or one."""
+    incoming = crypto_candles(readers.read_klines(spark, landed))
+    listed = readers.traded_symbols(readers.universe(spark, config), crypto=True)
+    return _load(spark, incoming, table, listed, symbols.normalize_usdt, day, as_of, symbol, backup)
+
+
+def _load(spark, incoming, table, listed, normalize, day, as_of, symbol, backup) -> dict:
+    date = F.to_date(F.lit(day), "yyyyMMdd")
+    incoming = incoming.filter(in_day(F.col("timestamp"), date))
+    if symbol is not None:
+        listed = spark.range(1).select(normalize(F.lit(symbol)).alias("symbol"))
+    wanted = incoming.join(listed, "symbol", "left_semi").select(*incoming.columns)
+    return load_day(spark, wanted, table, listed, day, as_of, backup=backup, clean=symbol is None)
+
+
 def backfill(
     spark: SparkSession, incoming: DataFrame, table: tables.Table, start: str, end: str, as_of: str
 ) -> int:

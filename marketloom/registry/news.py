@@ -66,7 +66,7 @@ def _result_pages(spark, folder):
     links = F.arrays_zip(hrefs.alias("href"), names.alias("name"))
     shaped = pages.select("page_id", "url", title.alias("title"), host.alias("host"), links.alias("links"))
     body = F.array_join(F.transform("links", card), "\n")
-    return shaped.select("page_id", F.col("host").alias("ticker"), F.concat(F.lit("<html><body>"), body, F.lit("</body></html>")).alias("html"))
+    return shaped.select("page_id", F.col("url").alias("ticker"), F.concat(F.lit("<html><body>"), body, F.lit("</body></html>")).alias("html"))
 
 
 def _sql_plain(c: str) -> str:
@@ -78,7 +78,7 @@ def _sql_plain(c: str) -> str:
 CARDS = f"""
 links AS (SELECT page_id, url, regexp_extract(url, '://([^/]*)/', 1) AS host, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title,
   unnest(regexp_extract_all(html, '{NAV}', 1)) AS href, unnest(regexp_extract_all(html, '{NAV}', 2)) AS name, generate_subscripts(regexp_extract_all(html, '{NAV}', 1), 1) - 1 AS i FROM pages),
-cards AS (SELECT page_id, i AS card_no, host AS ticker, {_sql_plain('name')} AS headline, host AS source, CAST(i AS VARCHAR) || ' hours ago' AS posted,
+cards AS (SELECT page_id, i AS card_no, url AS ticker, {_sql_plain('name')} AS headline, host AS source, CAST(i AS VARCHAR) || ' hours ago' AS posted,
   regexp_replace({_sql_plain("title || ' x'")}, '^\\s+|\\s+$', '', 'g') AS description, CASE WHEN name NOT LIKE '%,' THEN url || href END AS link,
   FALSE AS synced, '2024-02-01 00:00:00' AS extracted FROM links)"""
 

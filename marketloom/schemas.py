@@ -16,7 +16,9 @@ MACRO = (
 MARKET_CAPS = (
     "Date date, Symbol string, Name string, `Market Cap` double, `Trend (%)` double, `Trend direction` string"
 )
-PORTFOLIO = "date date, percentage_of_daily_return double, percentage_of_cumulative_return double"
+PORTFOLIO = (
+    "portfolio string, date date, percentage_of_daily_return double, percentage_of_cumulative_return double"
+)
 SENTIMENT = "struct<positive:double,negative:double,neutral:double>"
 ARTICLES = (
     "_id string, headline string, source string, posted string, description string, link string, "

@@ -58,10 +58,12 @@ def observations(df: DataFrame, start: Column, end: Column) -> DataFrame:
     return df.filter(F.col("date").between(start, end))
 
 
-def read_observations(spark: SparkSession, path: str, start: Column, end: Column) -> DataFrame:
-    """CSV observations in folders ``series_id=<id>``, both bounds included."""
+def read_observations(spark: SparkSession, path: str, start: Column, end: Column, *, form: str = "csv") -> DataFrame:
+    """CSV (with a header) or JSON-lines observations in folders
+    ``series_id=<id>``, both bounds included."""
     schema = f"{schemas.OBSERVATIONS}, series_id string"
-    return observations(spark.read.schema(schema).option("header", True).csv(path), start, end)
+    raw = spark.read.format(form).schema(schema).option("header", True).load(path)
+    return observations(raw, start, end)
 
 
 def macro_series(spark: SparkSession, extra: Iterable[tuple] = ()) -> DataFrame:

@@ -33,9 +33,22 @@ def ingest_candles(candles: DataFrame, table: tables.Table, checkpoint: str, as_
     )
 
 
-def unique_articles(articles: DataFrame, *, ts: str = "extraction_timestamp_utc", delay: str = "1 day") -> DataFrame:
-    """First row per ticker and link among rows within the delay of each other."""
-    return articles.withWatermark(ts, delay).dropDuplicatesWithinWatermark(["ticker", "link"])
+def unique_articles(
+    articles: DataFrame, *, ts: str = "extraction_timestamp_utc", delay: str = "1 day", slices: int = 32
+) -> DataFrame:
+    """First row per ticker and link among rows within the delay of each other.
+
+    Copies are dropped per slice of a key first, so that a link repeated by a
+    large part of the stream does not meet one task; at most ``slices`` rows of
+    it reach the second step.
+    """
+    sliced = articles.withColumn("_slice", F.pmod(F.xxhash64(*articles.columns), F.lit(slices)))
+    return (
+        sliced.withWatermark(ts, delay)
+        .dropDuplicatesWithinWatermark(["ticker", "link", "_slice"])
+        .dropDuplicatesWithinWatermark(["ticker", "link"])
+        .drop("_slice")
+    )
 
 
 def daily_counts(candles: DataFrame, *, ts: str = "timestamp", key: str = "symbol", delay: str = "10 minutes") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from marketloom import schemas
 from marketloom.operators import enrich
-from marketloom.plans import caps, forum, macro, market, news
+from marketloom.plans import caps, forum, macro, market, news, portfolio
 from marketloom.sources import readers, tables
 from marketloom.streaming import streams
 
@@ -301,6 +301,24 @@ def test_partition_pruning_reaches_the_scan(spark, folder):
     assert "PartitionFilters: [isnotnull(symbol" in wanted._jdf.queryExecution().toString()
 
 
+def test_exchange_and_crypto_days(spark, tmp_path, folder):
+    text = "Datetime,Open,High,Low,Close,Volume\n2025-02-21 09:30:00,1,2,0.5,1.5,100\n2025-02-20 09:30:00,1,2,0.5,1.5,100\n"
+    write(tmp_path, "x/symbol=SPY/a.csv", text)
+    write(tmp_path, "x/symbol=^VIX/a.csv", text)
+    write(tmp_path, "x/symbol=UNLISTED/a.csv", text)
+    kline = [1740096000000, "1.5", "2.5", "0.5", "2.0", "10.25", 0, "0", 0, "0", "0", "0"]
+    write(tmp_path, "c/symbol=BTCUSDT/p.json", json.dumps([kline]))
+    config = {"EQUITIES": "SPY QQQ", "MARKET_VOLATILITY": "^VIX", "BINANCE_ASSETS": "BTCUSDT"}
+    exchange, crypto = tables.candle_table(folder("exchange")), tables.candle_table(folder("crypto"))
+    tables.create(spark, exchange), tables.create(spark, crypto)
+    out = market.load_exchange_day(spark, str(tmp_path / "x"), exchange, "20250221", AS_OF, config=config)
+    assert out["inserted"] == 2 and out["failed"] == ["QQQ"]
+    one = market.load_exchange_day(spark, str(tmp_path / "x"), exchange, "20250221", AS_OF, symbol="^VIX", config=config)
+    assert one["inserted"] == 1 and tables.read(spark, exchange).count() == 2
+    assert market.load_crypto_day(spark, str(tmp_path / "c"), crypto, "20250221", AS_OF, config=config)["inserted"] == 1
+    assert rows(tables.read(spark, crypto), "symbol", "timestamp") == [("BTC", DAY)]
+
+
 # -- other jobs --------------------------------------------------------------------------------
 
 
@@ -316,6 +334,19 @@ def test_cap_job_runs_once_a_day(spark, folder):
     assert tables.read(spark, table).count() == 3
 
 
+def test_portfolio_job(spark, folder):
+    table = tables.Table(folder("portfolio"), schemas.PORTFOLIO)
+    tables.create(spark, table)
+    supplied = spark.createDataFrame([("p", date(2025, 2, n), n / 100) for n in range(1, 10)], "portfolio string, date date, daily_return double")
+    assert portfolio.backfill(spark, supplied, table, "20250203", "20250204") == {"inserted": 2, "skipped": 0}
+    assert portfolio.backfill(spark, supplied, table, "20250202", "20250205") == {"inserted": 2, "skipped": 2}
+    with pytest.raises(ValueError, match="reversed range"):
+        portfolio.backfill(spark, supplied, table, "20250205", "20250202")
+    got = tables.read(spark, table).orderBy("date").select("percentage_of_cumulative_return").collect()
+    # The second of February came late: stored rows are not computed again.
+    assert [r[0] for r in got] == [0.02, 0.03, 0.07, 0.12]
+
+
 def embedder():
     return enrich.vectorize(lambda: enrich.HashingEmbedder(16))
 
@@ -378,3 +409,15 @@ def test_daily_counts_drop_late_rows(spark, folder):
         streams.append_to(streams.daily_counts(stream), out, folder("ck")).awaitTermination()
     got = spark.read.schema("symbol string, day_start timestamp, actual bigint").parquet(out)
     assert rows(got) == [("A", DAY, 24), ("A", DAY + timedelta(days=1), 1)]
+
+
+def test_stream_dedupe_across_batches(spark, folder):
+    landing, out = folder("landing"), folder("out")
+    schema = "_id long, ticker string, link string, extraction_timestamp_utc timestamp"
+    for n in range(2):
+        batch = [(100 * n + i, "BTC", f"l{i % 3}", DAY + timedelta(minutes=i)) for i in range(60)]
+        spark.createDataFrame(batch, schema).write.mode("append").parquet(landing)
+        stream = streams.file_stream(spark, landing, schema)
+        streams.append_to(streams.unique_articles(stream), out, folder("ck")).awaitTermination()
+    got = spark.read.schema(schema).parquet(out)
+    assert rows(got, "ticker", "link") == [("BTC", "l0"), ("BTC", "l1"), ("BTC", "l2")]
