@@ -171,3 +171,18 @@ def rollup_ohlcv(
         F.max_by(c, ts).alias("close"),
         F.sum(F.col("volume").cast("decimal(28,4)")).cast("double").alias("volume"),
     )
+
+
+def calendar_bars(bars: DataFrame, units: Sequence[str], *, key: str = "symbol", ts: str = "timestamp") -> DataFrame:
+    """Bars of several calendar units from finer bars in one aggregate."""
+    unit = F.explode(F.array(*[F.lit(u) for u in units]))
+    bucket = F.lit(None).cast("timestamp")
+    for name in units:
+        bucket = F.when(F.col("unit") == name, F.date_trunc(name, ts)).otherwise(bucket)
+    return bars.withColumn("unit", unit).groupBy(key, "unit", bucket.alias("bucket")).agg(
+        F.min_by("open", ts).alias("open"),
+        F.max("high").alias("high"),
+        F.min("low").alias("low"),
+        F.max_by("close", ts).alias("close"),
+        F.sum(F.col("volume").cast("decimal(28,4)")).cast("double").alias("volume"),
+    )

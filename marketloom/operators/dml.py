@@ -98,7 +98,7 @@ def snapshot_if_absent(stored: DataFrame, snapshot: DataFrame, date: str) -> Dat
 
 def purge_unkeyed(df: DataFrame, mapping: DataFrame, cutoff: Column, *, key: str = "asset_id", ts: str = "created_at_utc") -> DataFrame:
     """Delete old rows without a key; does nothing when the mapping is empty."""
-    any_mapping = mapping.select(F.count("*") > 0).scalar()
+    any_mapping = mapping.limit(1).select(F.count("*") > 0).scalar()
     return df.filter(~(missing_or_old(F.col(key), F.col(ts), cutoff) & any_mapping))
 
 

@@ -42,12 +42,13 @@ def dedupe_and_cap(
     and picked by a semi join on the unique id.
     """
     unique = df.groupBy(key, link).agg(F.min_by(ts, row_id).alias(ts), F.min(row_id).alias(row_id))
-    mapped = mapping.select(key).distinct()
+    mapped = mapping.select(key).distinct().withColumn("_mapped", F.lit(True))
+    # Rows of unmapped keys each form a group of their own and so all survive.
+    own_group = F.when(F.col("_mapped").isNull(), F.col(row_id))
+    ranked = unique.join(mapped, key, "left").withColumn("_own", own_group)
     newest = [F.col(ts).desc_nulls_last(), F.col(row_id).desc()]
-    capped = top_k(unique.join(mapped, key, "left_semi"), [key], newest, keep, spread=[row_id])
-    others = unique.join(mapped, key, "left_anti")
-    kept = capped.select(row_id).unionByName(others.select(row_id))
-    return df.join(kept, row_id, "left_semi")
+    kept = top_k(ranked, [key, "_own"], newest, keep, spread=[row_id])
+    return df.join(kept.select(row_id), row_id, "left_semi")
 
 
 def retention_with_floor(
@@ -65,14 +66,14 @@ def retention_with_floor(
         .withColumn("_spare", F.greatest(F.lit(0).cast("long"), F.lit(floor) - (F.col("_total") - F.col("_old"))))
     )
     newest = [F.col(ts).desc(), F.col(row_id).desc()]
+    # At most ``floor`` rows per key are ranked and listed; the last one that is
+    # spared is the edge between the old rows that stay and those that go.
     ranked = top_k(known.filter(old), [key], newest, floor, spread=[row_id], rank="_rank")
-    edges = (
-        ranked.join(counts, key)
-        .filter(F.col("_rank") <= F.col("_spare"))
-        .groupBy(key)
-        .agg(F.min(F.struct(ts, row_id)).alias("_edge"))
+    listed = ranked.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_rank", ts, row_id))).alias("_listed"))
+    last = F.get("_listed", F.least(F.col("_spare"), F.size("_listed")).cast("int") - 1)
+    per_key = counts.join(listed, key, "left").select(
+        key, "_spare", F.when((F.col("_spare") > 0) & last.isNotNull(), F.struct(last[ts].alias(ts), last[row_id].alias(row_id))).alias("_edge")
     )
-    per_key = counts.select(key, "_spare").join(edges, key, "left")
     joined = df.join(per_key, key, "left")
     # _spare is NULL for unmapped keys; without an edge no old row is spared.
     spared = F.col("_edge").isNotNull() & (F.struct(ts, row_id) >= F.col("_edge"))

@@ -165,14 +165,11 @@ SELECT symbol, unit, {sql_show('''CASE unit WHEN 'day' THEN date_trunc('day', "t
   arg_min(price, "timestamp") AS open, max(price) AS high, min(price) AS low, arg_max(price, "timestamp") AS close,
   CAST(sum(CAST(volume AS DECIMAL(28,4))) AS DOUBLE) AS volume FROM r GROUP BY 1, 2, 3""")
 def ohlcv_rollup(spark, folder):
-    """Day, week and month bars; coarser bars are built from the daily ones, so
-    the ticks are shuffled once."""
-    day = aggregates.rollup_ohlcv(ticks(spark, folder), "day", price="price")
-    daily = day.withColumnRenamed("bucket", "timestamp")
-    frames = [day.withColumn("unit", F.lit("day"))]
-    for unit in ("week", "month"):
-        frames.append(aggregates.rollup_ohlcv(daily, unit).withColumn("unit", F.lit(unit)))
-    return setops.concat(frames).select("symbol", "unit", show("bucket").alias("bucket"), *OHLCV)
+    """Day, week and month bars: the ticks become daily bars first, and these
+    few rows become all three."""
+    daily = aggregates.rollup_ohlcv(ticks(spark, folder), "day", price="price").withColumnRenamed("bucket", "timestamp")
+    bars = aggregates.calendar_bars(daily, ["day", "week", "month"])
+    return bars.select("symbol", "unit", show("bucket").alias("bucket"), *OHLCV)
 
 
 @add(f"""WITH {CANDLES}, g AS (SELECT symbol, CAST("timestamp" AS DATE) AS d, count(*) AS actual, min("timestamp") AS f, max("timestamp") AS l FROM candles GROUP BY 1, 2)
@@ -277,7 +274,7 @@ def missing_symbol_fallback(spark, folder):
     saved = candles.filter((F.col("symbol") == "VIX") & (F.col("timestamp") < F.lit("2024-01-02").cast("timestamp")))
     extra = spark.createDataFrame([("QQQ",), ("USO",)], "symbol string")
     universe = setops.symbol_union(candles.select("symbol"), extra)
-    rows, failed = dml.fill_missing_symbols(universe, incoming, stored, saved.withColumn("symbol", F.lit("QQQ")), day)
+    rows, failed = dml.fill_missing_symbols(universe, incoming, stored, saved.withColumn("symbol", F.replace("symbol", F.lit("VIX"), F.lit("QQQ"))), day)
     missing = failed.withColumn("source_used", F.lit("failed"))
     return shown(rows.unionByName(missing, allowMissingColumns=True), "source_used")
 
