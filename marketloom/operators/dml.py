@@ -82,10 +82,10 @@ def unset(df: DataFrame, column: str) -> DataFrame:
 def insert_absent(stored: DataFrame, incoming: DataFrame, keys: Sequence[str], order: Column) -> DataFrame:
     """Every incoming row with the status ``exists`` or ``inserted``; one row
     per key is inserted."""
-    known = stored.select(*keys).distinct().withColumn("_known", F.lit(True))
+    batch = first_row(incoming, keys, order)
+    known = stored.join(batch.select(*keys), list(keys), "left_semi").select(*keys).distinct().withColumn("_known", F.lit(True))
     return (
-        first_row(incoming, keys, order)
-        .join(known, list(keys), "left")
+        batch.join(known, list(keys), "left")
         .withColumn("status", F.when(F.col("_known").isNull(), "inserted").otherwise("exists"))
         .drop("_known")
     )

@@ -100,17 +100,26 @@ def lexicon_scores(
 ) -> Column:
     """struct<positive, negative, neutral> from word counts with one added to
     each; NULL for missing or empty text."""
-    tokens = words(F.lower(text))
-    total = F.size(tokens)
-    good = F.size(F.filter(tokens, lambda t: t.isin(*positive)))
-    bad = F.size(F.filter(tokens, lambda t: t.isin(*negative)))
-    denominator = (total + 3).cast("double")
-    scores = F.struct(
-        ((good + 1) / denominator).alias("positive"),
-        ((bad + 1) / denominator).alias("negative"),
-        ((total - good - bad + 1) / denominator).alias("neutral"),
+    # One-element arrays bind the words and then the counts, so that each is
+    # worked out once per text.
+    counts = F.transform(
+        F.array(words(F.lower(text))),
+        lambda w: F.struct(
+            F.size(w).alias("n"),
+            F.size(F.filter(w, lambda t: t.isin(*positive))).alias("good"),
+            F.size(F.filter(w, lambda t: t.isin(*negative))).alias("bad"),
+        ),
     )
-    return F.when(F.coalesce(text != "", F.lit(False)), scores)
+    share = lambda c, hits: (hits + 1) / (c["n"] + 3).cast("double")
+    scores = F.transform(
+        counts,
+        lambda c: F.struct(
+            share(c, c["good"]).alias("positive"),
+            share(c, c["bad"]).alias("negative"),
+            share(c, c["n"] - c["good"] - c["bad"]).alias("neutral"),
+        ),
+    )
+    return F.when(F.coalesce(text != "", F.lit(False)), F.get(scores, F.lit(0)))
 
 
 def model_scores(make_scorer: Callable[[], Callable[[Sequence[str]], list[dict[str, float] | None]]], batch: int = 100):

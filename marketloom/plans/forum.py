@@ -60,6 +60,8 @@ def refresh(stored: DataFrame, incoming: DataFrame, mapping: DataFrame, embed, a
 
 
 def run(spark: SparkSession, landed: str, table: tables.Table, mapping: DataFrame, embed, as_of: str) -> int:
+    """Landed submissions of the pairs that are due. A pair counts as fetched
+    when a row of today carries its name exactly as the mapping writes it."""
     moment = F.lit(as_of).cast("timestamp")
     stored = tables.read(spark, table)
     incoming = readers.read_submissions(spark, landed, moment)

@@ -66,7 +66,7 @@ def run(spark: SparkSession, pages: DataFrame, table: tables.Table, mapping: Dat
     """``pages`` has page_id, ticker and html. Parsed cards are staged, as they
     are read once to find broken tickers and once more for their rows."""
     moment = F.lit(as_of).cast("timestamp")
-    cards = tables.stage(readers.article_cards(pages, "html", "ticker", moment), "cards")
     stored = tables.read(spark, table)
-    fetched = articles_of(cards).select(*stored.columns)
-    return tables.replace(refresh(stored, fetched, mapping, embed), table)
+    with tables.staged(readers.article_cards(pages, "html", "ticker", moment), "cards") as cards:
+        fetched = articles_of(cards).select(*stored.columns)
+        return tables.replace(refresh(stored, fetched, mapping, embed), table)

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType, TimestampNTZType, TimestampType
 
 from ..functions import symbols
 from ..functions.text import asset_or_unknown
@@ -17,14 +17,14 @@ SCHEMAS: dict[str, StructType] = {}
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A given table with instants as TIMESTAMP. The file's schema is looked up
-    once; every lookup costs a job."""
+    """A given table with its times read as instants, which keeps filters on
+    them in the scan. The schema is looked up once; every lookup costs a job."""
     path = f"{folder}/{name}.parquet"
     if path not in SCHEMAS:
-        SCHEMAS[path] = spark.read.parquet(path).schema
-    df = spark.read.schema(SCHEMAS[path]).parquet(path)
-    instants = [f.name for f in df.schema.fields if f.dataType.typeName() == "timestamp_ntz"]
-    return df.withColumns({c: F.col(c).cast("timestamp") for c in instants})
+        found = spark.read.parquet(path).schema
+        instant = lambda t: TimestampType() if isinstance(t, TimestampNTZType) else t
+        SCHEMAS[path] = StructType([StructField(f.name, instant(f.dataType), f.nullable) for f in found])
+    return spark.read.schema(SCHEMAS[path]).parquet(path)
 
 
 def show(ts: Column | str) -> Column:

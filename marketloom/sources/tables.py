@@ -9,7 +9,8 @@ executor is lost - until then.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -106,24 +107,33 @@ def rewrite(df: DataFrame, table: Table) -> int:
 
 
 def replace(df: DataFrame, table: Table) -> int:
-    """Replace the whole table: written beside it first, then swapped in."""
-    spark = df.sparkSession
-    beside = Table(f"{table.path.rstrip('/')}__next", table.schema, table.partitions)
+    """Replace the whole table: written beside it first, then swapped in. The
+    old folder goes last, so that no step leaves less than one whole table."""
+    spark, path = df.sparkSession, table.path.rstrip("/")
+    beside = Table(f"{path}__next", table.schema, table.partitions)
     written = _write(df, beside, "overwrite")
-    fs, old = _fs(spark, table.path)
-    _, new = _fs(spark, beside.path)
+    fs, current = _fs(spark, path)
+    (_, new), (_, old) = _fs(spark, beside.path), _fs(spark, f"{path}__old")
+    fs.delete(old, True)
+    for source, target in ((current, old), (new, current)):
+        if fs.exists(source) and not fs.rename(source, target):
+            raise OSError(f"could not rename {source} to {target}")
     fs.delete(old, True)
-    if not fs.rename(new, old):
-        raise OSError(f"could not swap in {beside.path}")
     return written
 
 
-def stage(df: DataFrame, purpose: str) -> DataFrame:
-    """Write an expensive intermediate result once and read it back."""
+@contextmanager
+def staged(df: DataFrame, purpose: str) -> Iterator[DataFrame]:
+    """An expensive intermediate result, written once to the shared folder and
+    removed when the work with it is done."""
     spark = df.sparkSession
     path = run_folder(spark, purpose)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    try:
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        fs, folder = _fs(spark, path)
+        fs.delete(folder, True)
 
 
 def load_days(spark: SparkSession, incoming: DataFrame, table: Table, as_of: Column, *, days: str = "first") -> int:
