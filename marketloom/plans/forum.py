@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import embedding_text, fit_for_scorer, query_or_asset, sentiment_text
 from ..operators import dml, enrich, joins, windows
-from ..operators.filters import matching_query, with_values
+from ..operators.filters import matching_query, not_enriched, with_values
 from ..sources import readers, tables
 
 KEYS = ["url", "asset_id"]
@@ -35,15 +35,29 @@ def store(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     )
 
 
-def with_embeddings(df: DataFrame, embed) -> DataFrame:
-    texted = df.withColumn("_text", embedding_text(F.col("submission_dict")))
-    return enrich.embed_missing(texted, "_text", "submission_embeddings", embed).drop("_text")
+def _chosen(df: DataFrame, pending: Column, max_documents: int | None) -> DataFrame:
+    """Mark the pending rows to work on: all, or the first ones by id."""
+    if max_documents is None:
+        return df.withColumn("_chosen", pending)
+    first = windows.latest_rows(df.filter(pending).select("_id"), [F.col("_id")], max_documents)
+    marked = df.join(first.withColumn("_chosen", F.lit(True)), "_id", "left")
+    return marked.withColumn("_chosen", F.col("_chosen").isNotNull())
 
 
-def with_sentiment(df: DataFrame, scores=enrich.lexicon_scores, *, limit: int = 2000) -> DataFrame:
+def with_embeddings(df: DataFrame, embed, *, max_documents: int | None = None) -> DataFrame:
+    rows = _chosen(df, not_enriched("submission_embeddings"), max_documents)
+    texted = rows.withColumn("_text", embedding_text(F.col("submission_dict")))
+    filled = enrich.embed_missing(texted, "_text", "submission_embeddings", embed, where=F.col("_chosen"))
+    return filled.select(*df.columns)
+
+
+def with_sentiment(
+    df: DataFrame, scores=enrich.lexicon_scores, *, limit: int = 2000, max_documents: int | None = None
+) -> DataFrame:
+    rows = _chosen(df, not_enriched("sentiment_score"), max_documents)
     fitted = fit_for_scorer(sentiment_text(F.col("submission_dict")), limit)
-    texted = df.withColumn("_text", fitted)
-    return enrich.score_missing(texted, "_text", "sentiment_score", scores(F.col("_text"))).drop("_text")
+    texted = rows.withColumn("_text", F.when(F.col("_chosen"), fitted))
+    return enrich.score_missing(texted, "_text", "sentiment_score", scores(F.col("_text"))).select(*df.columns)
 
 
 def clean(df: DataFrame, mapping: DataFrame, as_of: Column, *, days: int = 60, floor: int = 40) -> DataFrame:
@@ -71,3 +85,25 @@ def run(spark: SparkSession, landed: str, table: tables.Table, mapping: DataFram
         due.select("asset_id", F.col("subreddit").alias("_searched")), ["asset_id", "_searched"], "left_semi"
     )
     return tables.replace(refresh(stored, wanted.drop("_searched"), mapping, embed, moment), table)
+
+
+def run_embeddings(spark: SparkSession, table: tables.Table, embed, *, max_documents: int | None = None, anew: bool = False) -> int:
+    """Vectors only; ``anew`` drops the stored ones first."""
+    rows = tables.read(spark, table)
+    rows = dml.unset(rows, "submission_embeddings") if anew else rows
+    return tables.replace(with_embeddings(rows, embed, max_documents=max_documents), table)
+
+
+def run_sentiment(
+    spark: SparkSession, table: tables.Table, *, scores=enrich.lexicon_scores, max_documents: int | None = None, anew: bool = False
+) -> int:
+    """Sentiment only; ``anew`` drops the stored scores first."""
+    rows = tables.read(spark, table)
+    rows = dml.unset(rows, "sentiment_score") if anew else rows
+    return tables.replace(with_sentiment(rows, scores, max_documents=max_documents), table)
+
+
+def run_clean(spark: SparkSession, table: tables.Table, mapping: DataFrame, as_of: str, *, days: int = 60, floor: int = 40) -> int:
+    """Retention only."""
+    moment = F.lit(as_of).cast("timestamp")
+    return tables.replace(clean(tables.read(spark, table), mapping, moment, days=days, floor=floor), table)

@@ -37,7 +37,7 @@ def crypto_audit(klines: DataFrame) -> DataFrame:
 
 def load_day(
     spark: SparkSession, incoming: DataFrame, table: tables.Table, universe: DataFrame, day: str, as_of: str,
-    *, backup: str | None = None, clean: bool = True,
+    *, backup: str | None = None, clean: bool = True, days: str = "first",
 ) -> dict:
     """Load one day of canonical candles into the table.
 
@@ -53,7 +53,7 @@ def load_day(
     saved = tables.read_backup(spark, backup) if backup else incoming.limit(0)
     rows, failed = dml.fill_missing_symbols(universe, incoming, stored, saved, date, stored_day="event_date")
     missing = sorted(r[0] for r in failed.collect())
-    written = tables.load_days(spark, rows.drop("source_used"), table, moment)
+    written = tables.load_days(spark, rows.drop("source_used"), table, moment, days=days)
     removed = tables.expire_days(spark, table, universe, as_of) if clean and written else 0
     return {"inserted": written, "expired_folders": removed, "failed": missing}
 
@@ -84,7 +84,9 @@ def _load(spark, incoming, table, listed, normalize, day, as_of, symbol, backup)
     if symbol is not None:
         listed = spark.range(1).select(normalize(F.lit(symbol)).alias("symbol"))
     wanted = incoming.join(listed, "symbol", "left_semi").select(*incoming.columns)
-    return load_day(spark, wanted, table, listed, day, as_of, backup=backup, clean=symbol is None)
+    # All rows are of one day, so replacing every day they bring is the same
+    # as replacing the first one, in a single write.
+    return load_day(spark, wanted, table, listed, day, as_of, backup=backup, clean=symbol is None, days="all")
 
 
 def backfill(

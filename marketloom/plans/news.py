@@ -70,3 +70,8 @@ def run(spark: SparkSession, pages: DataFrame, table: tables.Table, mapping: Dat
     with tables.staged(readers.article_cards(pages, "html", "ticker", moment), "cards") as cards:
         fetched = articles_of(cards).select(*stored.columns)
         return tables.replace(refresh(stored, fetched, mapping, embed), table)
+
+
+def run_recreate(spark: SparkSession, table: tables.Table, embed) -> int:
+    """Drop and recreate all vectors of the stored articles."""
+    return tables.replace(recreate_embeddings(tables.read(spark, table), embed), table)

@@ -37,3 +37,8 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert "props" not in schema
     retention = plan(entry.queries()["article_cap"](spark, FOLDER))
     assert any("text" not in s for s in re.findall(r"ReadSchema: (\S+)", retention))
+
+
+def test_top_n_is_limited_before_each_shuffle(spark):
+    text = plan(entry.queries()["article_cap"](spark, FOLDER))
+    assert len(re.findall(r"WindowGroupLimit .*row_number\(\), 100, Partial", text)) == 2

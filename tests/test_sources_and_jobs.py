@@ -361,6 +361,7 @@ def test_news_job_repeats(spark, folder):
     before = rows(tables.read(spark, table), "_id", "link", "article_string")
     assert news.run(spark, pages, table, mapping, embedder(), "2025-02-23 05:00:00") == 5
     assert rows(tables.read(spark, table), "_id", "link", "article_string") == before
+    assert news.run_recreate(spark, table, embedder()) == 5
     done = tables.read(spark, table).filter("size(article_embedding) = 16 AND sentiment_score.positive > sentiment_score.negative")
     assert done.count() == 5
 
@@ -381,6 +382,20 @@ def test_forum_job(spark, tmp_path, folder):
     assert forum.run(spark, landed, table, mapping, embedder(), "2025-06-23 05:00:00") == 1
 
 
+def test_single_phase_jobs(spark, tmp_path, folder):
+    table = tables.Table(folder("submissions"), schemas.SUBMISSIONS)
+    tables.create(spark, table)
+    write(tmp_path, "landed/s.json", "\n".join(json.dumps(raw_submission(url=f"u{i}")) for i in range(5)))
+    tables.append(readers.read_submissions(spark, str(tmp_path / "landed"), F.lit(AS_OF).cast("timestamp")), table)
+    count = lambda c: tables.read(spark, table).filter(f"{c} IS NOT NULL").count()
+    assert forum.run_embeddings(spark, table, embedder(), max_documents=2) == 5 and count("submission_embeddings") == 2
+    assert forum.run_embeddings(spark, table, embedder()) == 5 and count("submission_embeddings") == 5
+    assert forum.run_embeddings(spark, table, embedder(), max_documents=1, anew=True) == 5 and count("submission_embeddings") == 1
+    assert forum.run_sentiment(spark, table, max_documents=3) == 5 and count("sentiment_score") == 3
+    mapping = spark.createDataFrame([("BTC",)], "asset_id string")
+    assert forum.run_clean(spark, table, mapping, "2025-06-23 05:00:00", floor=2) == 2
+
+
 # -- streams ------------------------------------------------------------------------------------
 
 
