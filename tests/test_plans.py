@@ -1,4 +1,5 @@
-"""Plans of all queries: no pair-wise joins, no row-at-a-time Python."""
+"""Plans of the queries: no pair-wise joins, no row-at-a-time Python. Streams and
+queries that read back what they wrote are left out."""
 
 import re
 
