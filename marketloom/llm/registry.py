@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from . import binary, decontaminate, packing, pii, rules
+from . import binary, chunks, decontaminate, licences, near, packing, pii, quality, rules, suffix
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op2_binary": binary.op2_binary,
+    "op3_chunks": chunks.op3_chunks,
+    "op4_licences": licences.op4_licences,
     "op5_decontamination": decontaminate.op5_decontamination,
+    "op6_quality": quality.op6_quality,
+    "op7_near": near.op7_near,
     "op8_rules": rules.op8_rules,
     "op9_packing": packing.op9_packing,
+    "op10_suffix": suffix.op10_suffix,
 }
 SQL = {"op5_decontamination": decontaminate.OP5_SQL, "op8_rules": rules.OP8_SQL}

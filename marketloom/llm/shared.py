@@ -71,7 +71,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 
-def _powers(n: int) -> np.ndarray:
+def powers(n: int) -> np.ndarray:
     """At least n powers of one odd multiplier, kept by the worker."""
     have = worker_state("powers", lambda: [np.ones(1, np.uint64)])
     if len(have[0]) < n:
@@ -110,7 +110,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     place = np.arange(len(at)) - np.repeat(slot, size)
     codes = mix(np.arange(1, 257, dtype=np.uint64))
     with np.errstate(over="ignore"):
-        parts = codes[LOWER[data[at]]] * _powers(int(size.max()) + 1)[place]
+        parts = codes[LOWER[data[at]]] * powers(int(size.max()) + 1)[place]
         hashes = mix(np.add.reduceat(parts, slot) + size.astype(np.uint64))
     text = np.searchsorted(offsets, first, side="right") - 1
     return hashes, text, first, first + size
