@@ -15,13 +15,20 @@ from ..session import run_folder
 
 #: Text bytes that one step of a vectorised function holds at a time (a longer text is held alone).
 STEP_BYTES = 1 << 20
+#: Spark's own setting: shuffle files of a statement go when it ends.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def staged(df: DataFrame, purpose: str) -> DataFrame:
     """Write to the shared folder and read back: the plan is cut, and a lost executor loses no result."""
     spark = df.sparkSession
     path = run_folder(spark, purpose)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

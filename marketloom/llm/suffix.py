@@ -138,7 +138,7 @@ def _packed_rows(anchor, doc, check, at, size, buckets: int, turn: int) -> list[
 
 
 _SCHEMA = pa.schema([("bucket", pa.int32()), ("direct", pa.bool_()), *((n, pa.binary()) for n in PACKED_NAMES[2:])])
-STRETCHES = "doc long, check long, anchor long, at int, size int"
+STRETCHES = "doc long, check long, anchor int, at int, size int"
 
 
 def repeated_stretches(rows: DataFrame, buckets: int) -> DataFrame:
@@ -192,7 +192,7 @@ def repeated_stretches(rows: DataFrame, buckets: int) -> DataFrame:
 
 def _stretch_batch(anchor, doc, check, at, size) -> pa.RecordBatch:
     return pa.record_batch(
-        [pa.array(doc), pa.array(check), pa.array(anchor.view(np.int64)), pa.array(at), pa.array(size)],
+        [pa.array(doc), pa.array(check), pa.array((anchor >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(at), pa.array(size)],
         names=["doc", "check", "anchor", "at", "size"],
     )
 
@@ -201,32 +201,45 @@ def _stretch_batch(anchor, doc, check, at, size) -> pa.RecordBatch:
 
 
 def _stable_order(ids: np.ndarray) -> np.ndarray:
-    """Stable order of numbers below 2 ** 32, by two passes over 16 bits (numpy sorts those by radix)."""
-    order = np.argsort((ids & 0xFFFF).astype(np.uint16), kind="stable")
-    if int(ids.max(initial=0)) >> 16:
-        order = order[np.argsort((ids[order] >> 16).astype(np.uint16), kind="stable")]
+    """Stable order of numbers below 2 ** 32, by two passes (numpy sorts numbers of 8 and 16 bits by radix)."""
+    order = np.argsort(ids.astype(np.uint16), kind="stable").astype(np.int32)
+    high = ids >> np.uint32(16)
+    top = int(high.max(initial=0))
+    if top:
+        order = order[np.argsort(high[order].astype(np.uint8 if top < 256 else np.uint16), kind="stable")]
     return order
 
 
-def symbols(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """A number for the SYMBOL bytes from each position on, where a string goes on from its beginning at its end."""
-    size = np.diff(bounds)
-    start = np.repeat(bounds[:-1], size)
-    place, room = np.arange(len(data)) - start, np.repeat(size, size)
-    parts = np.zeros(len(data), np.uint64), np.zeros(len(data), np.uint64)
-    for j in range(SYMBOL):
-        parts[j // 8][:] = (parts[j // 8] << np.uint64(8)) | data[start + (place + j) % room]
-    _, ids = np.unique(parts[0], return_inverse=True)
-    _, ids = np.unique((ids.astype(np.uint64) << np.uint64(16)) | parts[1], return_inverse=True)
-    return ids.astype(np.uint32)
+def symbols(data: np.ndarray) -> np.ndarray:
+    """A number for the SYMBOL bytes from each position on, by rank of a 64-bit hash of them.
 
+    At the end of a string it runs into the next one; no window begins there.
+    """
+    word = np.append(data, np.zeros(SYMBOL, np.uint8)).astype(np.uint64)
+    pair = word[:-1] << np.uint64(8) | word[1:]
+    four = pair[:-2] << np.uint64(16) | pair[2:]
+    eight = four[:-4] << np.uint64(32) | four[4:]
+    with np.errstate(over="ignore"):
+        key = mix(eight[: len(data)] * np.uint64(0xD6E8FEB86659FD93) + pair[8 : 8 + len(data)])
+    order = np.argsort(key)
+    ranked = key[order]
+    ids = np.empty(len(key), np.uint32)
+    ids[order] = np.cumsum(np.append(False, ranked[1:] != ranked[:-1]), dtype=np.uint32)
+    return ids
 
-def transform(ids: np.ndarray, start: np.ndarray, place: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix order of one shard to LENGTH bytes, and its transform: the symbol before each suffix."""
-    order = np.arange(len(ids))
-    for depth in range(LENGTH - SYMBOL, -1, -SYMBOL):  # last symbol first, each pass stable
-        order = order[_stable_order(ids[start[order] + (place[order] + depth) % room[order]])]
-    return order, ids[start[order] + (place[order] - SYMBOL) % room[order]]
+
+def transform(ids: np.ndarray, later: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix order of one shard to LENGTH bytes, and its transform: the symbol before each suffix.
+
+    ``later`` and ``before`` name the place SYMBOL bytes on and back, in the same string and around its ends.
+    """
+    labels = [ids]
+    while len(labels) < LENGTH // SYMBOL:
+        labels.append(labels[-1][later])
+    order = _stable_order(labels.pop())
+    while labels:  # last symbol first, each pass stable
+        order = order[_stable_order(labels.pop()[order])]
+    return order, ids[before[order]]
 
 
 def merge(shards: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -236,7 +249,7 @@ def merge(shards: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     orders the interleaving to r * SYMBOL bytes; an interval breaks between suffixes whose common prefix ends in the round.
     """
     which = np.repeat(np.arange(len(shards), dtype=np.uint16), [len(s) for s in shards])
-    interval = np.zeros(len(which), np.int64)
+    interval = np.zeros(len(which), np.int32)
     for _ in range(LENGTH // SYMBOL):
         by_shard = np.argsort(which, kind="stable")  # places of each shard's suffixes, in its own order
         symbol = np.empty(len(which), np.uint32)
@@ -244,7 +257,7 @@ def merge(shards: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         order = _stable_order(symbol)
         which, symbol, interval = which[order], symbol[order], interval[order]
         breaks = np.append(True, (symbol[1:] != symbol[:-1]) | (interval[1:] != interval[:-1]))
-        interval = np.cumsum(breaks) - 1
+        interval = np.cumsum(breaks, dtype=np.int32)
     return which, breaks if len(which) else np.zeros(0, bool)
 
 
@@ -252,16 +265,18 @@ def smallest_docs(strings: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
     """For each window of each string, the smallest document that has the same LENGTH bytes in any of the strings."""
     data = np.frombuffer(b"".join(strings), np.uint8)
     bounds = np.append(0, np.cumsum([len(s) for s in strings]))
-    ids = symbols(data, bounds)
-    orders, transforms, doc_of = [], [], np.repeat(docs, np.diff(bounds))
-    size = np.diff(bounds)
-    start = np.repeat(bounds[:-1], size)
-    place, room = np.arange(len(data)) - start, np.repeat(size, size)
+    ids = symbols(data)
+    orders, transforms, size = [], [], np.diff(bounds)
+    doc_of = np.repeat(docs, size)
+    left = np.repeat(bounds[1:], size) - np.arange(len(data))  # bytes from here to the string's end
+    later, before = np.arange(len(data)) + SYMBOL, np.arange(len(data)) - SYMBOL
+    later -= np.where(left <= SYMBOL, np.repeat(size, size), 0)
+    before[later] = np.arange(len(data))
     first = 0
     while first < len(strings):
         last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + SHARD_BYTES, side="right")) - 1)
         a, b = bounds[first], bounds[last]
-        order, own = transform(ids[a:b], start[a:b] - a, place[a:b], room[a:b])
+        order, own = transform(ids[a:b], later[a:b] - a, before[a:b] - a)
         orders.append(order + a)
         transforms.append(own)
         first = last
@@ -269,7 +284,7 @@ def smallest_docs(strings: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
     suffix = np.empty(len(which), np.int64)
     suffix[np.argsort(which, kind="stable")] = np.concatenate(orders)
     # Suffixes that are no window (they run over the end of their string) count for nothing.
-    real = place[suffix] + LENGTH <= room[suffix]
+    real = left[suffix] >= LENGTH
     own = np.where(real, doc_of[suffix], np.iinfo(np.int64).max)
     at = np.flatnonzero(breaks)
     least = np.empty(len(data), np.int64)
@@ -305,7 +320,7 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
                     columns = [[] for _ in range(8)]
             yield _text_batch(columns)
 
-    names = "high long, low long, anchor long, doc long, check long, at int, size int, part binary"
+    names = "high long, low long, anchor int, doc long, check long, at int, size int, part binary"
     texts = staged(docs.join(found, ["doc", "check"]).select("doc", "check", "text", "own").mapInArrow(take, names), "stretches")
     distinct = texts.groupBy("anchor", "part").agg(F.min("doc").alias("doc"))
 
@@ -352,7 +367,7 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
 
 
 def _text_batch(columns: list[list]) -> pa.RecordBatch:
-    kinds = [pa.int64()] * 5 + [pa.int32()] * 2 + [pa.binary()]
+    kinds = [pa.int64()] * 2 + [pa.int32()] + [pa.int64()] * 2 + [pa.int32()] * 2 + [pa.binary()]
     return pa.record_batch(
         [pa.array(c, k) for c, k in zip(columns, kinds)], names=["high", "low", "anchor", "doc", "check", "at", "size", "part"]
     )
@@ -374,7 +389,7 @@ def kept_bytes(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:
 def clean(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes)."""
     rows = texts_of(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id")
-    rows = rows.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("check"), "text")
+    rows = _with_check(rows.withColumnRenamed("doc_id", "doc"))
     spans = repeated_bytes(rows.where("doc is not null"))
     joined = rows.join(spans, ["doc", "check"], "left")
 
@@ -393,6 +408,16 @@ def clean(docs: DataFrame) -> DataFrame:
     return joined.select("doc", "text", "spans").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
+def _with_check(rows: DataFrame) -> DataFrame:
+    """Add ``check``: the hash of the text where rows of one doc_id differ in their texts, else 0 (which packs to nothing)."""
+    own = F.xxhash64("text")
+    differ = rows.groupBy("doc").agg(F.min(own).alias("low"), F.max(own).alias("high")).where("low <> high and doc is not null")
+    differ = staged(differ.select("doc", F.lit(True).alias("differs")), "differ")
+    if differ.isEmpty():
+        return rows.withColumn("check", F.lit(0).cast("long"))
+    return rows.join(differ, "doc", "left").withColumn("check", F.when(F.col("differs"), own).otherwise(F.lit(0).cast("long"))).drop("differs")
+
+
 def _kept_batch(found: list[tuple]) -> pa.RecordBatch:
     kinds = [pa.int64()] * 4 + [pa.binary()]
     columns = list(zip(*found)) or [()] * 5
