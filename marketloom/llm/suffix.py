@@ -8,9 +8,9 @@ one anchor form a stretch, so each window lies in one stretch, and equal windows
    all buckets and only one of them goes to its own: a frequent passage fills no bucket.
 2. The texts of the remaining stretches are grouped by content (combined before the shuffle, keeping the smallest
    document) and dealt to buckets by anchor. In a bucket, shards of stretches are sorted to Burrows-Wheeler transforms whose
-   symbols are the ten bytes before a suffix. The transforms are merged by interleave refinement: starting from any
-   interleaving, each round sorts the interleaving stably by its symbols, which orders it ten bytes deeper; suffixes are
-   never compared. Neighbours that a round tears apart have their common prefix there. After five rounds the unbroken
+   symbols are the 25 bytes before a suffix. The transforms are merged by interleave refinement: starting from any
+   interleaving, each round sorts the interleaving stably by its symbols, which orders it 25 bytes deeper; suffixes are
+   never compared. Neighbours that a round tears apart have their common prefix there. After two rounds the unbroken
    intervals are the suffixes that share 50 bytes; each takes the smallest document of its members.
 3. A window whose interval has a smaller document is removed from its document.
 
@@ -24,17 +24,17 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .chunks import digests
 from .shared import mix, staged, steps, text_bytes, texts_of
 
 LENGTH = 50
 #: Bytes of an anchor string.
 ANCHOR = 18
 #: Bytes of a symbol of the transforms; it divides LENGTH.
-SYMBOL = 10
+SYMBOL = 25
 #: Text bytes whose stretches are packed together.
 PACK_BYTES = 16 << 20
 #: Stretch bytes of a shard.
@@ -113,7 +113,7 @@ def _packed_rows(anchor, doc, check, at, size, buckets: int, turn: int) -> list[
     rows = []
 
     def add(bucket: int, direct: bool, pick: np.ndarray) -> None:
-        step = np.diff(anchor[pick], prepend=np.uint64(0))
+        step = np.diff(anchor[pick] >> np.uint64(24), prepend=np.uint64(0))  # 40 bits are enough to tell anchors apart
         rows.append(
             {"bucket": bucket, "direct": direct, "anchors": _pack(step), "docs": _pack(doc[pick]), "checks": _pack(check[pick]),
              "places": _pack(at[pick].astype(np.int32)), "sizes": _pack(size[pick].astype(np.int32))}
@@ -192,7 +192,7 @@ def repeated_stretches(rows: DataFrame, buckets: int) -> DataFrame:
 
 def _stretch_batch(anchor, doc, check, at, size) -> pa.RecordBatch:
     return pa.record_batch(
-        [pa.array(doc), pa.array(check), pa.array((anchor >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(at), pa.array(size)],
+        [pa.array(doc), pa.array(check), pa.array((anchor >> np.uint64(8)).astype(np.uint32).view(np.int32)), pa.array(at), pa.array(size)],
         names=["doc", "check", "anchor", "at", "size"],
     )
 
@@ -215,12 +215,15 @@ def symbols(data: np.ndarray) -> np.ndarray:
 
     At the end of a string it runs into the next one; no window begins there.
     """
-    word = np.append(data, np.zeros(SYMBOL, np.uint8)).astype(np.uint64)
-    pair = word[:-1] << np.uint64(8) | word[1:]
-    four = pair[:-2] << np.uint64(16) | pair[2:]
-    eight = four[:-4] << np.uint64(32) | four[4:]
+    wide = np.append(data, np.zeros(SYMBOL, np.uint8))
+    p, h, size, total, done = np.uint64(0xD6E8FEB86659FD93), mix(np.arange(1, 257, dtype=np.uint64))[wide], 1, None, 0
     with np.errstate(over="ignore"):
-        key = mix(eight[: len(data)] * np.uint64(0xD6E8FEB86659FD93) + pair[8 : 8 + len(data)])
+        while size <= SYMBOL:  # h covers ``size`` bytes; SYMBOL is put together from its binary digits
+            if SYMBOL & size:
+                part = h[done:][: len(data)]
+                total, done = (part if total is None else total[: len(part)] * p + part), done + size
+            h, p, size = h[:-size] * p + h[size:], p * p, size * 2
+        key = mix(total)
     order = np.argsort(key)
     ranked = key[order]
     ids = np.empty(len(key), np.uint32)
@@ -261,10 +264,11 @@ def merge(shards: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return which, breaks if len(which) else np.zeros(0, bool)
 
 
-def smallest_docs(strings: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
-    """For each window of each string, the smallest document that has the same LENGTH bytes in any of the strings."""
-    data = np.frombuffer(b"".join(strings), np.uint8)
-    bounds = np.append(0, np.cumsum([len(s) for s in strings]))
+def smallest_docs(data: np.ndarray, bounds: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """For each window of each string, the smallest document that has the same LENGTH bytes in any of the strings.
+
+    Strings stand one after another between ``bounds``; the windows of all strings are returned one after another.
+    """
     ids = symbols(data)
     orders, transforms, size = [], [], np.diff(bounds)
     doc_of = np.repeat(docs, size)
@@ -273,7 +277,7 @@ def smallest_docs(strings: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
     later -= np.where(left <= SYMBOL, np.repeat(size, size), 0)
     before[later] = np.arange(len(data))
     first = 0
-    while first < len(strings):
+    while first < len(docs):
         last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + SHARD_BYTES, side="right")) - 1)
         a, b = bounds[first], bounds[last]
         order, own = transform(ids[a:b], later[a:b] - a, before[a:b] - a)
@@ -289,88 +293,84 @@ def smallest_docs(strings: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
     at = np.flatnonzero(breaks)
     least = np.empty(len(data), np.int64)
     least[suffix] = np.repeat(np.minimum.reduceat(own, at), np.diff(np.append(at, len(own))))
-    return [least[a : b - LENGTH + 1] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+    return least[left >= LENGTH]
 
 
 # -- operator --------------------------------------------------------------------------
 
 
-def _digest(text: bytes) -> tuple[int, int]:
-    d = np.frombuffer(xxhash.xxh3_128_digest(text), np.int64)
-    return int(d[0]), int(d[1])
-
-
 def repeated_bytes(docs: DataFrame) -> DataFrame:
     """(doc, check, spans): packed byte stretches to remove of each document. ``docs``: doc, check, text."""
     spark = docs.sparkSession
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = repeated_stretches(docs, buckets).groupBy("doc", "check").agg(F.collect_list(F.struct("anchor", "at", "size")).alias("own"))
+    found = repeated_stretches(docs, buckets).groupBy("doc").agg(F.collect_list(F.struct("check", "anchor", "at", "size")).alias("own"))
 
     def take(batches):
         for batch in batches:
-            columns = [[] for _ in range(8)]
-            for doc, check, text, own in zip(*(batch.column(c).to_pylist() for c in ("doc", "check", "text", "own"))):
-                data = text.encode()
-                for x in own:
-                    part = data[x["at"] : x["at"] + x["size"] + LENGTH - 1]
-                    for column, value in zip(columns, (*_digest(part), x["anchor"], doc, check, x["at"], x["size"], part)):
-                        column.append(value)
-                if len(columns[0]) > 20_000:
-                    yield _text_batch(columns)
-                    columns = [[] for _ in range(8)]
-            yield _text_batch(columns)
+            data, offsets = text_bytes(batch.column("text"))
+            own = batch.column("own")
+            counts = np.diff(np.asarray(own.offsets))
+            check, anchor, at, size = (np.asarray(own.flatten().field(i)) for i in range(4))
+            row = np.repeat(np.arange(batch.num_rows), counts)
+            good = check == np.asarray(batch.column("check"))[row]  # else of another text with this doc_id
+            row, anchor, at, size = row[good], anchor[good], at[good], size[good]
+            for i in range(0, len(row), 50_000):
+                r, a, n = row[i : i + 50_000], at[i : i + 50_000], size[i : i + 50_000]
+                bounds = np.append(0, np.cumsum(n + LENGTH - 1))
+                whole = np.repeat(offsets[r] + a - bounds[:-1], n + LENGTH - 1) + np.arange(bounds[-1])
+                part = data[whole]
+                high, low = digests(part, bounds[:-1])[1:]
+                parts = pa.Array.from_buffers(pa.binary(), len(r), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(part)])
+                docs_ = batch.column("doc").take(pa.array(r)), batch.column("check").take(pa.array(r))
+                yield pa.record_batch(
+                    [pa.array(high), pa.array(low), pa.array(anchor[i : i + 50_000]), *docs_, pa.array(a), pa.array(n), parts],
+                    names=["high", "low", "anchor", "doc", "check", "at", "size", "part"],
+                )
 
     names = "high long, low long, anchor int, doc long, check long, at int, size int, part binary"
-    texts = staged(docs.join(found, ["doc", "check"]).select("doc", "check", "text", "own").mapInArrow(take, names), "stretches")
+    texts = staged(docs.join(found, "doc").select("doc", "check", "text", "own").mapInArrow(take, names), "stretches")
     distinct = texts.groupBy("anchor", "part").agg(F.min("doc").alias("doc"))
 
     def refine(batches):
         rows = [pa.Table.from_batches([b]) for b in batches if b.num_rows]
         if not rows:
             return
-        table = pa.concat_tables(rows)
-        parts = table.column("part").to_pylist()
-        least = smallest_docs(parts, table.column("doc").to_numpy())
-        for i in range(0, len(parts), 5000):
-            keys = [_digest(p) for p in parts[i : i + 5000]]
-            yield pa.record_batch(
-                [pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys]),
-                 pa.array([x.astype("<i8").tobytes() for x in least[i : i + 5000]], pa.binary())],
-                names=["high", "low", "least"],
-            )
+        table = pa.concat_tables(rows).combine_chunks()
+        data, bounds = text_bytes(table.column("part").chunk(0))
+        least = smallest_docs(data, bounds, table.column("doc").to_numpy())
+        high, low = digests(data, bounds[:-1])[1:]
+        windows = np.append(0, np.cumsum(np.diff(bounds) - LENGTH + 1))
+        for i in range(0, table.num_rows, 20_000):
+            j = min(i + 20_000, table.num_rows)
+            ends = ((windows[i : j + 1] - windows[i]) * 8).astype(np.int32)
+            own = np.ascontiguousarray(least[windows[i] : windows[j]])
+            blobs = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(ends), pa.py_buffer(own)])
+            yield pa.record_batch([pa.array(high[i:j]), pa.array(low[i:j]), blobs], names=["high", "low", "least"])
 
     bucket = F.pmod(F.xxhash64("anchor"), F.lit(buckets)).cast("int")
     known = distinct.repartitionById(buckets, bucket).mapInArrow(refine, "high long, low long, least binary")
 
     def hit(batches):
         for batch in batches:
-            docs_, checks, begins, ends = [], [], [], []
-            for doc, check, at, least in zip(*(batch.column(c).to_pylist() for c in ("doc", "check", "at", "least"))):
-                covered = np.flatnonzero(np.frombuffer(least, "<i8") < doc)
-                if not len(covered):
-                    continue
-                # windows closer than their length overlap: one span
-                gap = np.flatnonzero(np.diff(covered) > LENGTH) + 1
-                for run in np.split(covered, gap):
-                    docs_.append(doc)
-                    checks.append(check)
-                    begins.append(at + int(run[0]))
-                    ends.append(at + int(run[-1]) + LENGTH)
+            data, bounds = text_bytes(batch.column("least"))
+            least, count = np.frombuffer(data.tobytes(), "<i8"), np.diff(bounds) // 8
+            row = np.repeat(np.arange(batch.num_rows), count)
+            doc, place = np.asarray(batch.column("doc")), np.asarray(batch.column("at")).astype(np.int64)
+            covered = np.flatnonzero(least < doc[row])
+            row = row[covered]
+            at = covered - (bounds[:-1] // 8)[row] + place[row]
+            # windows closer than their length overlap: one span
+            new = np.append(True, (row[1:] != row[:-1]) | (np.diff(at) > LENGTH)) if len(at) else np.zeros(0, bool)
+            last = np.append(new[1:], True) if len(at) else new
             yield pa.record_batch(
-                [pa.array(docs_, pa.int64()), pa.array(checks, pa.int64()), pa.array(begins, pa.int32()), pa.array(ends, pa.int32())],
+                [pa.array(doc[row[new]]), batch.column("check").take(pa.array(row[new])), pa.array(at[new].astype(np.int32)),
+                 pa.array((at[last] + LENGTH).astype(np.int32))],
                 names=["doc", "check", "begin", "end"],
-            )
+            )
 
     spans = texts.select("high", "low", "doc", "check", "at").join(known, ["high", "low"]).select("doc", "check", "at", "least")
     spans = spans.mapInArrow(hit, "doc long, check long, begin int, end int")
-    return spans.groupBy("doc", "check").agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("spans"))
-
-
-def _text_batch(columns: list[list]) -> pa.RecordBatch:
-    kinds = [pa.int64()] * 2 + [pa.int32()] + [pa.int64()] * 2 + [pa.int32()] * 2 + [pa.binary()]
-    return pa.record_batch(
-        [pa.array(c, k) for c, k in zip(columns, kinds)], names=["high", "low", "anchor", "doc", "check", "at", "size", "part"]
-    )
+    return staged(spans.groupBy("doc", "check").agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("spans")), "spans")
 
 
 def kept_bytes(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:
