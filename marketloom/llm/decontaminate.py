@@ -16,7 +16,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .rules import let
 from .shared import staged
 
 WINDOW = 10
@@ -27,20 +26,16 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 FOUND = "array<struct<at:int,n:int,gram:string>>"
 
 
-def words_of(text: Column) -> Column:
-    """Lower-cased words; only A-Z change case. A text of ASCII alone takes the faster function, with the same result."""
-    text = F.coalesce(text.cast("string"), F.lit(""))
-
-    def lower(t: Column) -> Column:
-        ascii_only = F.length(t) == F.octet_length(t)
-        return F.when(ascii_only, F.lower(t)).otherwise(F.translate(t, UPPER, LOWER))
-
-    return let(text, lambda t: F.regexp_extract_all(lower(t), F.lit(WORD), F.lit(0)))
+#: Lower-cased words of ``text``; only A-Z change case. A text of ASCII alone takes the faster function.
+WORDS_SQL = (
+    "transform(array(coalesce(CAST(text AS STRING), '')), t -> regexp_extract_all("
+    f"CASE WHEN length(t) = octet_length(t) THEN lower(t) ELSE translate(t, '{UPPER}', '{LOWER}') END, r'{WORD}', 0))[0]"
+)
 
 
 def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """(item_id, n, gram, key): the windows of each item, their number of words, text and hash."""
-    items = benchmark.where("item_id is not null").select("item_id", words_of(F.col("text")).alias("w")).where("size(w) > 0")
+    items = benchmark.where("item_id is not null").select("item_id", F.expr(WORDS_SQL).alias("w")).where("size(w) > 0")
     n = F.least(F.size("w"), F.lit(window))
     grams = F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.array_join(F.slice("w", i + 1, n), " "))
     each = items.select("item_id", n.alias("n"), F.explode(grams).alias("gram")).distinct()
@@ -63,9 +58,15 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int
     if len(known) > limit:
         return _find_by_join(docs, grams)
     parts = [_found_sql([r for r in known if r.n == n], n) for n in sorted({r.n for r in known})]
-    held = docs.withColumn("_w", words_of(F.col("text")))
-    none = f"CAST(array() AS {FOUND})"
-    return held.withColumns({"n_words": F.size("_w").cast("long"), "found": F.expr(f"concat({', '.join([none, *parts])})")}).drop("_w")
+    found = f"concat({', '.join([f'CAST(array() AS {FOUND})', *parts])})"
+    # The words are bound inside the expression: a filter on it, pushed down to the scan, still splits a text once.
+    held = docs.withColumn(
+        "_hit",
+        F.expr(
+            f"transform(array({WORDS_SQL}), _w -> named_struct('n_words', CAST(size(_w) AS BIGINT), 'found', {found}))[0]"
+        ),
+    )
+    return held.withColumns({"n_words": F.col("_hit.n_words"), "found": F.col("_hit.found")}).drop("_hit")
 
 
 def _found_sql(known: list, n: int) -> str:
@@ -91,12 +92,14 @@ def _window(at: Column, n: Column, gram: Column) -> Column:
 def _find_by_join(docs: DataFrame, grams: DataFrame) -> DataFrame:
     """The way for a benchmark of any size."""
     lengths = [r.n for r in grams.select("n").distinct().collect()]  # at most ``window`` numbers
-    rows = staged(docs.withColumn("_row", F.monotonically_increasing_id()).withColumn("_w", words_of(F.col("text"))), "words")
-    parts = [
-        F.transform(_hashes(F.col("_w"), n), lambda h, i, n=n: F.struct(i.alias("at"), F.lit(n).alias("n"), h.alias("key")))
-        for n in lengths
-    ]
-    each = rows.select("_row", F.explode(F.concat(*parts)).alias("f")).select("_row", "f.at", "f.n", "f.key")
+    rows = staged(docs.withColumn("_row", F.monotonically_increasing_id()).withColumn("_w", F.expr(WORDS_SQL)), "words")
+
+    def keyed(n: int) -> Column:
+        return F.transform(_hashes(F.col("_w"), n), lambda h, i: F.struct(i.alias("at"), F.lit(n).alias("n"), h.alias("key")))
+
+    parts = [keyed(n) for n in lengths]
+    none = F.array().cast("array<struct<at:int,n:int,key:bigint>>")
+    each = rows.select("_row", F.explode(F.concat(none, *parts)).alias("f")).select("_row", "f.at", "f.n", "f.key")
     met = each.join(grams, ["n", "key"]).groupBy("_row").agg(F.collect_set(_window(F.col("at"), F.col("n"), F.col("gram"))).alias("_met"))
     right = lambda f: F.array_join(F.slice(F.col("_w"), f["at"] + 1, f["n"]), " ") == f["gram"]
     checked = F.filter(F.coalesce(F.col("_met"), F.array().cast(FOUND)), right)
