@@ -7,9 +7,8 @@ below it. A point lowers one value of the signature, and a process stops when it
 signatures agree in a value with the probability of the similarity, without bias.
 
 Texts of equal shingle multisets are one from the start. Documents that agree in a band of values meet in a bucket; within
-a bucket every document is compared with one hub, then those not yet in one class are compared with all others that they
-may still link to, so that no link between two texts of a bucket is lost and no full pairing of a large group is made.
-Each comparison is exact.
+a bucket every document is compared with one hub; those outside the largest class that results are compared, in blocks,
+with all members of other classes, so that no link between two texts of a bucket is lost. Each comparison is exact.
 
 Defined results: a text without words (or null) is in a class of its own; a text of fewer than five words is one shingle;
 repeated rows share their class; a null doc_id has a null class; other columns are dropped; an empty table gives no rows.
@@ -20,6 +19,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -160,9 +160,9 @@ def classes(docs: DataFrame, k: int = WORDS, similar: float = SIMILAR, bands: in
     pairs = staged(members.where("doc <> hub").select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct(), "pairs")
     links = staged(verified(pairs, docs, k, similar), "verified")
     comp = components(links)
-    more = staged(_open_pairs(members, comp, pairs), "pairs")
-    if not more.isEmpty():
-        links = links.unionByName(staged(verified(more, docs, k, similar), "verified"))
+    left = staged(_open_buckets(members, comp), "open")
+    if not left.isEmpty():
+        links = links.unionByName(staged(open_links(left, docs, k, similar), "verified"))
         comp = components(links)
 
     comp = comp.select(F.col("doc").alias("head"), "comp")
@@ -173,20 +173,61 @@ def classes(docs: DataFrame, k: int = WORDS, similar: float = SIMILAR, bands: in
     return found.where("same is not null").select("doc_id", "same").join(named, "same", "left").select("doc_id", one).unionByName(alone)
 
 
-def _open_pairs(members: DataFrame, comp: DataFrame, done: DataFrame) -> DataFrame:
-    """Pairs of a bucket that may still link two classes.
-
-    In a bucket that holds more than one class, every member outside its largest class is paired with the members of other
-    classes; members of one class need no pair.
-    """
+def _open_buckets(members: DataFrame, comp: DataFrame) -> DataFrame:
+    """(key, doc, comp, top): the members of buckets that hold more than one class, and the bucket's largest class."""
     now = members.join(comp, "doc", "left").select("key", "doc", F.coalesce("comp", "doc").alias("comp"))
     sizes = now.groupBy("key", "comp").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.count("*").alias("classes"))
-    split = staged(now.join(largest.where("classes > 1"), "key").select("key", "doc", "comp", F.col("top.comp").alias("top")), "open")
-    outside = split.where("comp <> top").select("key", F.col("doc").alias("x"), F.col("comp").alias("comp_x"))
-    met = outside.join(split, "key").where("comp_x <> comp and (comp = top or x < doc)")
-    pairs = met.select(F.least("x", "doc").alias("a"), F.greatest("x", "doc").alias("b")).distinct()
-    return pairs.join(done, ["a", "b"], "left_anti")
+    return now.join(largest.where("classes > 1"), "key").select("key", "doc", "comp", F.col("top.comp").alias("top"))
+
+
+#: Documents outside the largest class, and bucket members, that one group compares.
+ASKED, AGAINST = 128, 4096
+
+
+def open_links(left: DataFrame, docs: DataFrame, k: int, similar: float) -> DataFrame:
+    """Links between classes of one bucket.
+
+    Every member outside the largest class is compared exactly with all members of other classes. Both sides are cut into
+    blocks, so that a group holds a bounded number of texts however large the bucket is, and only links leave it.
+    """
+    asked = left.select(F.col("doc").alias("doc_id")).distinct()
+    sets = staged(token_sets(docs.select("doc_id", "text").join(asked, "doc_id", "left_semi"), k).dropDuplicates(["doc"]), "tokens")
+    outside = F.col("comp") != F.col("top")
+    sizes = left.groupBy("key").agg(
+        F.ceil(F.sum(outside.cast("long")) / ASKED).cast("int").alias("blocks"), F.ceil(F.count("*") / AGAINST).cast("int").alias("parts")
+    )
+    rows = left.join(sizes, "key").join(sets, "doc")
+    spread = F.xxhash64("doc")
+    ask = rows.where(outside).select(
+        "key", F.pmod(spread, "blocks").cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
+        F.lit(True).alias("asks"), "doc", "comp", "tokens",
+    )
+    answer = rows.select(
+        "key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(spread, "parts").cast("int").alias("part"),
+        F.lit(False).alias("asks"), "doc", "comp", "tokens",
+    )
+
+    def compare(group):
+        own, others = group[group.asks], group[~group.asks]
+        found = []
+        if len(own):
+            size = own.tokens.map(len).to_numpy()
+            tokens = np.concatenate(own.tokens.to_list())
+            owner = np.repeat(np.arange(len(own)), size)
+            order = np.argsort(tokens)
+            tokens, owner = tokens[order], owner[order]
+            docs_, comps = own.doc.to_numpy(), own.comp.to_numpy()
+            for doc, comp, mine in zip(others.doc, others.comp, others.tokens):
+                low, high = np.searchsorted(tokens, mine, "left"), np.searchsorted(tokens, mine, "right")
+                hit = np.repeat(low, high - low) + np.arange((high - low).sum()) - np.repeat(np.cumsum(high - low) - (high - low), high - low)
+                shared = np.bincount(owner[hit], minlength=len(own))
+                good = (shared / (size + len(mine) - shared) >= similar) & (comps != comp)
+                found += [(min(doc, d), max(doc, d)) for d in docs_[good].tolist()]
+        return pd.DataFrame(sorted(set(found)), columns=["a", "b"]).astype("int64")
+
+    groups = ask.unionByName(answer).groupBy("key", "block", "part")
+    return groups.applyInPandas(compare, "a long, b long").distinct()
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:

@@ -320,12 +320,18 @@ def test_near_edges(edge):
     assert kept.columns == edge.columns and Counter(r.doc_id for r in kept.collect())[1] == 1
 
 
-def test_open_pairs_find_links_that_the_hub_misses(spark):
-    """1 is no link of 2 and 3, which are links of each other: the star of hub 1 alone would miss (2, 3)."""
-    members = spark.createDataFrame([(9, d, 1) for d in (1, 2, 3)], "key long, doc long, hub long")
+@pytest.mark.parametrize("block", [(128, 4096), (2, 3)])
+def test_links_that_the_hub_misses(spark, monkeypatch, block):
+    """Texts 1 to 6 meet in one bucket whose hub 1 links to none; the star alone would miss the other links."""
+    monkeypatch.setattr(near, "ASKED", block[0])
+    monkeypatch.setattr(near, "AGAINST", block[1])
+    words = [f"v{i}" for i in range(100)]
+    texts = {1: " ".join(words[:50]), **{i: " ".join(words[:90] + [f"end{i}"]) for i in range(2, 7)}}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    members = spark.createDataFrame([(9, d, 1) for d in texts], "key long, doc long, hub long")
     none = spark.createDataFrame([], "doc long, comp long")
-    done = spark.createDataFrame([(1, 2), (1, 3)], "a long, b long")
-    assert rows(near._open_pairs(members, none, done)) == [(2, 3)]
+    found = near.components(near.open_links(near._open_buckets(members, none), docs, 5, 0.8))
+    assert sorted(rows(found)) == [(d, 2) for d in range(2, 7)]
 
 
 def test_signatures_are_unbiased():
