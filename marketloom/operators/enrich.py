@@ -158,9 +158,10 @@ def label_scores(entries: Column) -> Column:
     return F.struct(*[F.try_element_at(by_label, F.lit(name)).alias(name) for name in LABELS])
 
 
-def score_missing(df: DataFrame, text: str, score: str, scores: Column) -> DataFrame:
-    """Fill the score of rows that have none."""
-    return df.withColumn(score, F.coalesce(F.col(score), scores))
+def score_missing(df: DataFrame, text: str, score: str, scores: Callable[[Column], Column]) -> DataFrame:
+    """Fill the score of rows that have none; only their texts reach the scorer."""
+    pending = F.when(F.col(score).isNull(), F.col(text))
+    return df.withColumn(score, F.coalesce(F.col(score), scores(pending)))
 
 
 def vector_problem(vector: Column, dim: int, tolerance: float = 1e-3) -> Column:

@@ -54,8 +54,12 @@ def not_fetched_today(pairs: DataFrame, stored: DataFrame, as_of: Column) -> Dat
 
 
 def update_by_id(df: DataFrame, updates: DataFrame, row_id: str, columns: Sequence[str]) -> DataFrame:
-    """Set the given columns from the updates; rows without an update keep theirs."""
-    fresh = updates.select(row_id, *[F.col(c).alias(f"_new_{c}") for c in columns])
+    """Set the given columns from the updates; rows without an update keep theirs.
+
+    Of several updates of one id the largest, compared column by column, counts.
+    """
+    one = updates.groupBy(row_id).agg(F.max(F.struct(*columns)).alias("_new"))
+    fresh = one.select(row_id, *[F.col("_new")[c].alias(f"_new_{c}") for c in columns])
     joined = df.join(fresh, row_id, "left")
     kept = [F.coalesce(f"_new_{c}", c).alias(c) if c in columns else F.col(c) for c in df.columns]
     return joined.select(*kept)
@@ -79,5 +83,5 @@ def _tie(df: DataFrame, *skip: str) -> list[Column]:
 
 
 def weighted_holdings(allocation: DataFrame, latest: DataFrame, key: str, weight: str, value: str) -> DataFrame:
-    """Allocation weight times the latest value of each holding."""
-    return allocation.join(latest, key).withColumn("weighted", F.col(weight) * F.col(value))
+    """Allocation weight times the latest value of each holding; null for one without a value."""
+    return allocation.join(latest, key, "left").withColumn("weighted", F.col(weight) * F.col(value))

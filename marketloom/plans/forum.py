@@ -52,12 +52,14 @@ def with_embeddings(df: DataFrame, embed, *, max_documents: int | None = None) -
 
 
 def with_sentiment(
-    df: DataFrame, scores=enrich.lexicon_scores, *, limit: int = 2000, max_documents: int | None = None
+    df: DataFrame, scores=enrich.lexicon_scores, *, limit: int | None = None, max_documents: int | None = None
 ) -> DataFrame:
+    """Score the chosen rows; ``limit`` is the length a scorer states, if it states one."""
     rows = _chosen(df, not_enriched("sentiment_score"), max_documents)
-    fitted = fit_for_scorer(sentiment_text(F.col("submission_dict")), limit)
+    whole = sentiment_text(F.col("submission_dict"))
+    fitted = whole if limit is None else fit_for_scorer(whole, limit)
     texted = rows.withColumn("_text", F.when(F.col("_chosen"), fitted))
-    return enrich.score_missing(texted, "_text", "sentiment_score", scores(F.col("_text"))).select(*df.columns)
+    return enrich.score_missing(texted, "_text", "sentiment_score", scores).select(*df.columns)
 
 
 def clean(df: DataFrame, mapping: DataFrame, as_of: Column, *, days: int = 60, floor: int = 40) -> DataFrame:
@@ -79,7 +81,7 @@ def run(spark: SparkSession, landed: str, table: tables.Table, mapping: DataFram
     moment = F.lit(as_of).cast("timestamp")
     stored = tables.read(spark, table)
     incoming = readers.read_submissions(spark, landed, moment)
-    searched = F.substring(F.col("submission_dict.subreddit"), 3, 1_000)
+    searched = F.substr(F.col("submission_dict.subreddit"), F.lit(3))
     due = joins.not_fetched_today(joins.fan_out(mapping), stored, moment)
     wanted = incoming.withColumn("_searched", searched).join(
         due.select("asset_id", F.col("subreddit").alias("_searched")), ["asset_id", "_searched"], "left_semi"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,8 +42,7 @@ def with_embeddings(df: DataFrame, embed) -> DataFrame:
     ).drop("_text", "_vector")
 
 
-def with_sentiment(df: DataFrame, scores: Column | None = None) -> DataFrame:
-    scores = enrich.lexicon_scores(F.col("article_string")) if scores is None else scores
+def with_sentiment(df: DataFrame, scores: Callable[[Column], Column] = enrich.lexicon_scores) -> DataFrame:
     return enrich.score_missing(df, "article_string", "sentiment_score", scores)
 
 
@@ -51,7 +52,7 @@ def recreate_embeddings(df: DataFrame, embed) -> DataFrame:
     return enrich.embed_missing(cleared, "article_string", "article_embedding", embed)
 
 
-def refresh(stored: DataFrame, fetched: DataFrame, mapping: DataFrame, embed, *, keep: int = 100, scores: Column | None = None) -> DataFrame:
+def refresh(stored: DataFrame, fetched: DataFrame, mapping: DataFrame, embed, *, keep: int = 100, scores: Callable[[Column], Column] = enrich.lexicon_scores) -> DataFrame:
     """The new state of the article table.
 
     Dedupe and cap look at ids and times only, so they run before the vectors

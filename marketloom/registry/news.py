@@ -301,7 +301,7 @@ def news_refresh(spark, folder):
         F.lit(None).cast("struct<positive:double,negative:double,neutral:double>").alias("sentiment_score"),
     )
     known = F.col("source").isin("src0", "src1", "src2", "src3", "src4")
-    scores = enrich.lexicon_scores(F.col("article_string"), GOOD, BAD)
+    scores = partial(enrich.lexicon_scores, positive=GOOD, negative=BAD)
     kept = news.refresh(full.filter(known), full.filter(~known), tickers(spark, folder), embed(), scores=scores)
     return kept.select(
         "_id", "ticker", F.md5("article_string").alias("text_md5"), even(F.col("sentiment_score.positive"), 9).alias("positive"),

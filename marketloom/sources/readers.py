@@ -139,7 +139,7 @@ def article_cards(pages: DataFrame, html: str, ticker: str, as_of: Column) -> Da
     card lacks an element or its link cannot be unwrapped."""
     cards = pages.select(
         *[c for c in pages.columns if c != html],
-        F.posexplode(F.slice(F.split(html, CARD_START), 2, 1_000_000)).alias("card_no", "card"),
+        F.posexplode(F.slice(F.split(html, CARD_START), F.lit(2), F.size(F.split(html, CARD_START)))).alias("card_no", "card"),
     )
     card = F.col("card")
     href = F.regexp_extract(card, r"""(?s)<a\b[^>]*?href=["']([^"']*)["']""", 1)

@@ -416,3 +416,18 @@ def test_forum_pairs_default_query(spark):
     mapping = spark.createDataFrame([("A", ["x", "y"], None), (None, ["z"], "q")], "asset_id string, subreddits array<string>, query string")
     stored = spark.createDataFrame([], "asset_id string, subreddit string, extraction_timestamp_utc timestamp")
     assert rows(forum.pairs_to_fetch(mapping, stored, at("2024-01-01")), "asset_id", "subreddit", "query") == [("A", "x", "A"), ("A", "y", "A")]
+
+
+def test_repeated_updates_holdings_without_value_and_pending_texts(spark):
+    from marketloom.operators import joins
+
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "id int, x string")
+    twice = spark.createDataFrame([(1, "c"), (1, "d")], "id int, x string")
+    assert sorted(tuple(r) for r in joins.update_by_id(rows, twice, "id", ["x"]).collect()) == [(1, "d"), (2, "b")]
+
+    held = joins.weighted_holdings(rows.selectExpr("x", "id * 0.5D as w"), spark.createDataFrame([("a", 4.0)], "x string, v double"), "x", "w", "v")
+    assert sorted((r.x, r.weighted) for r in held.collect()) == [("a", 2.0), ("b", None)]
+
+    texts = spark.createDataFrame([("seen", 1.0), ("new", None)], "t string, s double")
+    scored = enrich.score_missing(texts, "t", "s", lambda t: F.length(t).cast("double"))
+    assert sorted((r.t, r.s) for r in scored.collect()) == [("new", 3.0), ("seen", 1.0)]
