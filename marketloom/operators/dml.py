@@ -6,6 +6,7 @@ The writers that make them durable are in ``sources.tables``.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,28 +51,35 @@ def upsert(
 
     Incoming columns win, nulls included; ``only_if_present`` columns change
     only when the incoming value is not null; stored columns the batch does not
-    have survive. The last duplicate of a batch (by ``order``) wins. Only the
-    batch is shuffled when it is small: rows of other keys pass an anti join.
+    have survive. The last duplicate of a batch (by ``order``) wins. A null in a
+    key equals a null. The stored rows are joined once with the batch, which is
+    broadcast when Spark measured it small; its new rows are found by keys alone.
     """
     batch = first_row(incoming, keys, order, last=True)
-    batch_keys = batch.select(*keys)
-    untouched = stored.join(batch_keys, list(keys), "left_anti")
-    rest = [c for c in stored.columns if c not in keys]
-    matched = stored.join(batch_keys, list(keys), "left_semi").select(
-        *keys, *[F.col(c).alias(f"_old_{c}") for c in rest]
-    )
+    fresh = batch.select(*[F.col(f"`{c}`").alias(f"_new_{c}") for c in batch.columns], F.lit(True).alias("_in"))
 
     def merged(c: str) -> Column:
-        if c not in incoming.columns:
-            return F.col(f"_old_{c}").alias(c)
-        if c in only_if_present:
-            return F.coalesce(F.col(c), F.col(f"_old_{c}")).alias(c)
-        return F.col(c)
-
-    changed = batch.join(matched, list(keys), "left").select(
-        *[F.col(c) if c in keys else merged(c) for c in stored.columns]
-    )
-    return untouched.unionByName(changed)
+        old = F.col(f"`{c}`")
+        if c in keys or c not in incoming.columns:
+            return old
+        new = F.col(f"`_new_{c}`")
+        return F.when(F.col("_in"), F.coalesce(new, old) if c in only_if_present else new).otherwise(old).alias(c)
+
+    kept = stored.join(fresh, _same(keys), "left").select(*[merged(c) for c in stored.columns])
+    known = _known(stored, fresh, keys)
+    new = batch.join(known, _same(keys, "_known_"), "left_anti")
+    return kept.unionByName(new.select(*[c for c in stored.columns if c in incoming.columns]), allowMissingColumns=True)
+
+
+def _same(keys: Sequence[str], prefix: str = "_new_") -> Column:
+    """Keys equal, nulls included, to those of the other side named with a prefix."""
+    return reduce(Column.__and__, [F.col(f"`{k}`").eqNullSafe(F.col(f"`{prefix}{k}`")) for k in keys])
+
+
+def _known(stored: DataFrame, fresh: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The stored keys that a batch has, once each."""
+    met = stored.select(*keys).join(fresh, _same(keys), "left_semi").distinct()
+    return met.select(*[F.col(f"`{k}`").alias(f"_known_{k}") for k in keys])
 
 
 def unset(df: DataFrame, column: str) -> DataFrame:
@@ -83,12 +91,10 @@ def insert_absent(stored: DataFrame, incoming: DataFrame, keys: Sequence[str], o
     """Every incoming row with the status ``exists`` or ``inserted``; one row
     per key is inserted."""
     batch = first_row(incoming, keys, order)
-    known = stored.join(batch.select(*keys), list(keys), "left_semi").select(*keys).distinct().withColumn("_known", F.lit(True))
-    return (
-        batch.join(known, list(keys), "left")
-        .withColumn("status", F.when(F.col("_known").isNull(), "inserted").otherwise("exists"))
-        .drop("_known")
-    )
+    fresh = batch.select(*[F.col(f"`{k}`").alias(f"_new_{k}") for k in keys])
+    known = _known(stored, fresh, keys).withColumn("_known", F.lit(True))
+    status = F.when(F.col("_known").isNull(), "inserted").otherwise("exists").alias("status")
+    return batch.join(known, _same(keys, "_known_"), "left").select(*[F.col(f"`{c}`") for c in batch.columns], status)
 
 
 def snapshot_if_absent(stored: DataFrame, snapshot: DataFrame, date: str) -> DataFrame:

@@ -26,13 +26,14 @@ def nearest(
 ) -> DataFrame:
     """(query_id, row id, score rounded to 6, rank) of the k best rows per query.
 
-    ``queries`` has ``query_id`` and ``vector``. The block of query vectors sent
+    ``queries`` has ``query_id`` and ``vector``; ids are integers or texts. The block of query vectors sent
     to the tasks is held under ``pass_bytes``; more queries mean more passes.
     """
     n = queries.count()
     passes = max(1, -(-n * dim * 8 // pass_bytes))
+    query_type = queries.schema["query_id"].dataType.simpleString()
     scored = [
-        _score(corpus, _block(queries, p, passes), k, row_id, vector, dim, exclude_self) for p in range(passes)
+        _score(corpus, _block(queries, p, passes), query_type, k, row_id, vector, dim, exclude_self) for p in range(passes)
     ]
     order = [F.col("score").desc(), F.col(row_id)]
     return top_k(reduce(DataFrame.unionByName, scored), ["query_id"], order, k, spread=[row_id])
@@ -44,18 +45,29 @@ def _block(queries: DataFrame, part: int, parts: int) -> tuple[list, np.ndarray]
     return [r[0] for r in rows], np.array([r[1] for r in rows], dtype=np.float64)
 
 
-def _score(corpus, block, k, row_id, vector, dim, exclude_self) -> DataFrame:
+def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> list[int]:
+    """Places of the k largest scores, smaller ids first among equal ones; only those from the k-th score up are sorted."""
+    near = np.arange(len(scores))
+    if len(scores) > k:
+        near = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
+    return sorted(near.tolist(), key=lambda i: (-scores[i], ids[i]))[:k]
+
+
+def _score(corpus, block, query_type, k, row_id, vector, dim, exclude_self) -> DataFrame:
     ids, matrix = block
-    schema = f"query_id bigint, `{row_id}` bigint, score double"
+    id_type = corpus.schema[row_id].dataType.simpleString()
+    schema = f"query_id {query_type}, `{row_id}` {id_type}, score double"
     if not ids:
         return corpus.sparkSession.createDataFrame([], schema)
-    unit = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
+    lengths = np.linalg.norm(matrix, axis=1, keepdims=True)
+    unit = matrix / np.where(lengths == 0, 1, lengths)  # a zero vector scores 0 everywhere
+    held = object if id_type == "string" else np.int64
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept_ids = [np.empty(0, dtype=np.int64)] * len(ids)
+        kept_ids = [np.empty(0, dtype=held)] * len(ids)
         kept_scores = [np.empty(0)] * len(ids)
         for batch in batches:
-            row_ids = batch[row_id].to_numpy(dtype=np.int64)
+            row_ids = batch[row_id].to_numpy(dtype=held)
             if not len(row_ids):
                 continue
             rows = np.stack(batch[vector].to_numpy()).astype(np.float64)
@@ -70,7 +82,7 @@ def _score(corpus, block, k, row_id, vector, dim, exclude_self) -> DataFrame:
                 else:
                     all_ids = np.concatenate([kept_ids[q], row_ids])
                     all_scores = np.concatenate([kept_scores[q], column])
-                chosen = np.lexsort((all_ids, -all_scores))[:k]
+                chosen = _best(all_ids, all_scores, k)
                 kept_ids[q], kept_scores[q] = all_ids[chosen], all_scores[chosen]
         for q, query_id in enumerate(ids):
             yield pd.DataFrame({"query_id": query_id, row_id: kept_ids[q], "score": kept_scores[q]})

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import symbols
-from ..operators import aggregates, dml, windows
+from ..operators import aggregates, dml
 from ..operators.filters import in_day
 from ..sources import readers, tables
 
@@ -21,10 +21,13 @@ def exchange_candles(wide: DataFrame, time: str = "Datetime", symbol: str = "sym
 
 
 def crypto_candles(klines: DataFrame) -> DataFrame:
-    """Canonical candles of klines: at most a day's minutes per symbol and day."""
-    trimmed = windows.trim_day(klines, spread=("timestamp",))
+    """Canonical candles of klines, one per symbol and open time; of repeated
+    ones the smallest by its values."""
+    keys = ["symbol", "timestamp"]
+    values = F.struct(*[c for c in klines.columns if c not in keys])
+    single = klines.groupBy(*keys).agg(F.min(values).alias("_v")).select(*keys, "_v.*")
     return readers.canonical_candles(
-        trimmed.withColumnRenamed("timestamp", "Datetime"),
+        single.withColumnRenamed("timestamp", "Datetime"),
         "Datetime",
         symbols.normalize_usdt(F.col("symbol")),
         naive=False,

@@ -287,6 +287,18 @@ def nearest_to_topics(spark, folder):
     return found.select("query_id", "vec_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
+@add("""WITH v AS (SELECT vec_id, 'article-' || CAST(vec_id AS VARCHAR) AS _id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+s AS (SELECT q._id AS query_id, v._id, round_even(list_cosine_similarity(v.e, q.e) * 1e6, 0) / 1e6 AS score FROM v JOIN v AS q ON q.vec_id % 100 = 0 AND v.vec_id <> q.vec_id)
+SELECT query_id, _id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, _id) AS rank FROM s QUALIFY rank <= 5""")
+def nearest_articles(spark, folder):
+    """The five articles nearest to every hundredth one, itself left out; ids are texts as in the article table."""
+    name = F.concat(F.lit("article-"), F.col("vec_id").cast("string"))
+    corpus = table(spark, folder, "embeddings").select("vec_id", name.alias("_id"), "embedding")
+    queries = corpus.filter("vec_id % 100 = 0").select(F.col("_id").alias("query_id"), F.col("embedding").alias("vector"))
+    found = vectors.nearest(corpus, queries, 5, row_id="_id", vector="embedding", dim=64, exclude_self=True)
+    return found.select("query_id", "_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
 # -- the whole refresh -----------------------------------------------------------------------
 
 

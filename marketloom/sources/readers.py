@@ -36,12 +36,31 @@ def wide_prices(df: DataFrame, time: str = "Datetime", symbol: str = "symbol") -
     return df.select(time, symbol, *[F.col(c).cast("double").alias(c) for c in present])
 
 
-def read_ohlcv(spark: SparkSession, path: str, time: str = "Datetime") -> DataFrame:
-    """CSV with a header, in folders ``symbol=<symbol>``; extra columns drop.
+def read_by_header(spark: SparkSession, path: str, folder: str, names: Iterable[str]) -> DataFrame:
+    """The named columns, as text, of CSV files in folders ``folder=<value>``.
+
+    Each file is read by its own header line, which is the one with the first
+    name as a field, so files may differ in their columns and in the order of
+    them. A column that a file lacks is null; a file without a header is an
+    error. Fields hold no line breaks.
+    """
+    first, *_ = names = list(names)
+    lines = spark.read.schema(f"value string, `{folder}` string").text(path)
+    lines = lines.select("value", folder, F.col("_metadata.file_path").alias("_file")).filter(F.trim("value") != "")
+    fields = F.transform(F.split("value", ","), lambda f: F.trim(F.translate(f, '"\r\ufeff', "")))
+    marked = lines.withColumn("_names", F.when(F.col("value").contains(first) & F.array_contains(fields, first), fields))
+    headers = marked.filter("_names IS NOT NULL").groupBy("_file").agg(F.max("_names").alias("_header"))
+    width = headers.select(F.max(F.size("_header"))).first()[0] or 1
+    row = F.from_csv("value", F.lit(", ".join(f"c{i} string" for i in range(width))))
+    values = F.array(*[F.col(f"_row.c{i}") for i in range(width)])
+    rows = marked.filter("_names IS NULL").join(headers, "_file", "left").withColumn("_row", row)
+    header = F.when(F.col("_header").isNull(), F.raise_error(F.concat(F.lit("no header line in "), "_file"))).otherwise(F.col("_header"))
+    return rows.select(folder, *[F.get(values, F.array_position(header, n).cast("int") - 1).alias(n) for n in names])
+
 
-    The header only names columns; every value is read as text and cast."""
-    raw = spark.read.option("header", True).csv(path)
-    return wide_prices(raw, time)
+def read_ohlcv(spark: SparkSession, path: str, time: str = "Datetime") -> DataFrame:
+    """CSV, each file by its own header, in folders ``symbol=<symbol>``; extra columns drop."""
+    return wide_prices(read_by_header(spark, path, "symbol", [time, *PRICE_COLUMNS]), time)
 
 
 def canonical_candles(wide: DataFrame, time: str, symbol: Column, *, naive: bool) -> DataFrame:
@@ -59,10 +78,14 @@ def observations(df: DataFrame, start: Column, end: Column) -> DataFrame:
 
 
 def read_observations(spark: SparkSession, path: str, start: Column, end: Column, *, form: str = "csv") -> DataFrame:
-    """CSV (with a header) or JSON-lines observations in folders
-    ``series_id=<id>``, both bounds included."""
-    schema = f"{schemas.OBSERVATIONS}, series_id string"
-    raw = spark.read.format(form).schema(schema).option("header", True).load(path)
+    """CSV (each file by its own header) or JSON-lines observations in folders
+    ``series_id=<id>``, both bounds included. A value that is no number is null."""
+    columns = [c.strip().split() for c in schemas.OBSERVATIONS.split(",")]
+    if form == "csv":
+        named = read_by_header(spark, path, "series_id", ["date", *[c for c, _ in columns if c != "date"]])
+        raw = named.select(*[F.col(c).try_cast(kind).alias(c) for c, kind in columns], "series_id")
+    else:
+        raw = spark.read.format(form).schema(f"{schemas.OBSERVATIONS}, series_id string").load(path)
     return observations(raw, start, end)
 
 
@@ -79,12 +102,14 @@ def enrich_macro(raw: DataFrame, series: DataFrame) -> tuple[DataFrame, DataFram
     return typed.select(*columns), joined.filter(F.col("title").isNull()).select("series_id", "date", "value")
 
 
-def market_pages(pages: DataFrame, *, max_pages: int = 5, page_size: int = 250) -> DataFrame:
-    """Coins of the market list: pages up to the limit or the first short one;
-    coins without a market cap drop."""
-    sized = pages.select("page", F.size("coins").alias("n"))
-    last = sized.filter(F.col("n") < page_size).select(F.min("page")).scalar()
-    wanted = (F.col("page") <= max_pages) & F.coalesce(F.col("page") <= last, F.lit(True))
+def market_pages(pages: DataFrame, *, max_pages: int | None = None, page_size: int | None = None) -> DataFrame:
+    """Coins of all landed pages of the market list; coins without a market cap
+    drop. ``max_pages`` and ``page_size`` repeat the stops of a paged request:
+    pages up to the limit, or up to the first one with fewer coins."""
+    wanted = F.lit(True) if max_pages is None else F.col("page") <= max_pages
+    if page_size is not None:
+        last = pages.filter(F.size("coins") < page_size).select(F.min("page")).scalar()
+        wanted = wanted & F.coalesce(F.col("page") <= last, F.lit(True))
     coin = F.col("coin")
     return (
         pages.filter(wanted)

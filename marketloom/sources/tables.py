@@ -153,6 +153,21 @@ def load_days(spark: SparkSession, incoming: DataFrame, table: Table, as_of: Col
     return later + _write(stamped.join(first_days, keys, "left_semi"), table, "overwrite")
 
 
+def merge_days(spark: SparkSession, incoming: DataFrame, table: Table, as_of: Column) -> int:
+    """Merge into a candle table: an incoming row replaces the stored row of its
+    symbol and time, other rows of its day stay. Of incoming rows of one symbol
+    and time, the one with the largest values is taken. Only the (symbol, day)
+    partitions of the incoming rows are read and written."""
+    keys = ["symbol", "timestamp"]
+    values = F.struct(*[c for c in schemas.CANDLE_COLUMNS if c not in keys])
+    one = incoming.groupBy(*keys).agg(F.max(values).alias("_v")).select(*keys, "_v.*")
+    stamped = _with_event_date(one.withColumn("date_load_iso_utc", load_stamp(as_of)), table)
+    days = stamped.select("symbol", "event_date").distinct()
+    stored = read(spark, table).join(days, ["symbol", "event_date"], "left_semi")
+    kept = stored.join(stamped.select(*keys), keys, "left_anti")
+    return _write(kept.unionByName(stamped, allowMissingColumns=True), table, "overwrite")
+
+
 def expire_days(spark: SparkSession, table: Table, universe: DataFrame, as_of: str, days: int | None = None) -> int:
     """Delete candles of configured symbols older than ``as_of`` minus the
     table's retention. Whole days are removed as folders; only the day the
@@ -163,12 +178,13 @@ def expire_days(spark: SparkSession, table: Table, universe: DataFrame, as_of: s
     days = table.expire_days if days is None else days
     cutoff = F.lit(as_of).cast("timestamp") - F.expr(f"INTERVAL {days} DAYS")
     cutoff_day = F.date_format(cutoff, "yyyy-MM-dd")
-    stored = read(spark, table).join(universe.select("symbol").distinct(), "symbol", "left_semi")
+    files = read(spark, table).select("*", F.col("_metadata.file_path").alias("_file"))
+    stored = files.join(universe.select("symbol").distinct(), "symbol", "left_semi")
     candidates = stored.filter(F.col("event_date") <= cutoff_day)
     alive = F.col("timestamp") >= cutoff
     folders = (
         candidates.groupBy("symbol", "event_date")
-        .agg(F.count_if(alive).alias("alive"), F.count("*").alias("n"))
+        .agg(F.count_if(alive).alias("alive"), F.count("*").alias("n"), F.max("_file").alias("file"))
         .filter("alive < n")
         .collect()
     )
@@ -176,10 +192,9 @@ def expire_days(spark: SparkSession, table: Table, universe: DataFrame, as_of: s
         _write(candidates.filter((F.col("event_date") == cutoff_day) & alive), table, "overwrite")
     gone = [f for f in folders if not f["alive"]]
     fs, _ = _fs(spark, table.path)
-    for f in gone:
-        _, folder = _fs(spark, f"{table.path}/symbol={f['symbol']}/event_date={f['event_date']}")
-        fs.delete(folder, True)
-    return len(gone)
+    jvm = spark.sparkContext._jvm
+    # The folder's name as it was written: special characters of a symbol are escaped there.
+    return sum(fs.delete(jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(f["file"])).getParent(), True) for f in gone)
 
 
 def backup_day(df: DataFrame, symbols: Sequence[str] | None, day: Column, out: str) -> int:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,12 +19,24 @@ def file_stream(spark: SparkSession, folder: str, schema, *, glob: str | None =
     return reader.parquet(folder)
 
 
+@contextmanager
+def _kept(batch: DataFrame) -> Iterator[DataFrame]:
+    """The rows of a micro-batch, kept while its changes are worked out."""
+    rows = batch.persist()
+    try:
+        yield rows
+    finally:
+        rows.unpersist()
+
+
 def ingest_candles(candles: DataFrame, table: tables.Table, checkpoint: str, as_of: Column):
-    """Replace-day load of every micro-batch. Replaying a batch writes the same
-    partitions again, so a restart after a failure changes nothing."""
+    """Every micro-batch is merged into its days by symbol and time, so a day may
+    be spread over any number of batches. Replaying a batch replaces its own
+    rows, so a restart after a failure changes nothing."""
 
     def load(batch: DataFrame, _: int) -> None:
-        tables.load_days(batch.sparkSession, batch, table, as_of, days="all")
+        with _kept(batch) as rows:
+            tables.merge_days(rows.sparkSession, rows, table, as_of)
 
     return (
         candles.writeStream.foreachBatch(load)
@@ -69,13 +82,14 @@ def upsert_stream(
     """Upsert of every micro-batch into a table. Tables partitioned by a key
     bucket rewrite only the buckets the batch touches."""
 
+    if not table.partitions:
+        raise ValueError("a stream needs a partitioned table: every batch would rewrite the whole one")
+
     def merge(batch: DataFrame, _: int) -> None:
-        stored = tables.read(batch.sparkSession, table)
-        if table.partitions:
-            touched = batch.select(*table.partitions).distinct()
-            stored = stored.join(touched, list(table.partitions), "left_semi")
-        merged = dml.upsert(stored, batch, keys, order(), only_if_present=only_if_present)
-        tables.rewrite(merged, table)
+        with _kept(batch) as rows:
+            touched = rows.select(*table.partitions).distinct()
+            stored = tables.read(rows.sparkSession, table).join(touched, list(table.partitions), "left_semi")
+            tables.rewrite(dml.upsert(stored, rows, keys, order(), only_if_present=only_if_present), table)
 
     return (
         incoming.writeStream.foreachBatch(merge)

@@ -431,3 +431,25 @@ def test_repeated_updates_holdings_without_value_and_pending_texts(spark):
     texts = spark.createDataFrame([("seen", 1.0), ("new", None)], "t string, s double")
     scored = enrich.score_missing(texts, "t", "s", lambda t: F.length(t).cast("double"))
     assert sorted((r.t, r.s) for r in scored.collect()) == [("new", 3.0), ("seen", 1.0)]
+
+
+def test_upsert_matches_null_keys(spark):
+    schema = "url string, asset_id string, score int"
+    stored = spark.createDataFrame([("u", None, 1), ("u", "a", 2), (None, None, 3)], schema)
+    new = spark.createDataFrame([("u", None, 10), ("v", None, 20), (None, None, 30)], schema)
+    once = dml.upsert(stored, new, ["url", "asset_id"], F.col("score"))
+    twice = dml.upsert(once, new, ["url", "asset_id"], F.col("score"))
+    expected = {("u", None, 10), ("u", "a", 2), (None, None, 30), ("v", None, 20)}
+    for got in (once, twice):
+        found = [tuple(r) for r in got.collect()]
+        assert len(found) == 4 and set(found) == expected
+    status = dml.insert_absent(stored, new, ["url", "asset_id"], F.col("score"))
+    assert {(r.url, r.status) for r in status.collect()} == {("u", "exists"), ("v", "inserted"), (None, "exists")}
+
+
+def test_nearest_takes_text_ids_and_zero_vectors(spark):
+    corpus = spark.createDataFrame([("b", [1.0, 0.0]), ("a", [1.0, 0.0]), ("c", [0.0, 1.0])], "id string, v array<double>")
+    queries = spark.createDataFrame([("b", [1.0, 0.0]), ("z", [0.0, 0.0])], "query_id string, vector array<double>")
+    got = vectors.nearest(corpus, queries, 2, row_id="id", vector="v", dim=2)
+    found = sorted((r["query_id"], r["id"], r["score"]) for r in got.collect())
+    assert found == [("b", "a", 1.0), ("b", "b", 1.0), ("z", "a", 0.0), ("z", "b", 0.0)]

@@ -48,6 +48,25 @@ def test_ohlcv_drops_extra_columns_and_localises(spark, tmp_path):
     assert rows(got, "symbol", "timestamp") == [("SPY", datetime(2025, 2, 18, 14, 30)), ("VIX", datetime(2025, 2, 18, 15, 30))]
 
 
+def test_csv_files_are_read_by_their_own_headers(spark, tmp_path):
+    write(tmp_path, "symbol=A/a.csv", "Datetime,Open,High,Low,Close,Volume\n2025-02-18 09:30:00,1,2,0.5,4,100\n")
+    write(tmp_path, "symbol=A/b.csv", 'Volume,Close,Datetime,"Open",Low\n100,4,2025-02-18 09:31:00,1,"0.5"\n')
+    got = readers.read_ohlcv(spark, str(tmp_path))
+    assert rows(got, "Datetime", "Open", "High", "Low", "Close", "Volume") == [
+        ("2025-02-18 09:30:00", 1.0, 2.0, 0.5, 4.0, 100.0), ("2025-02-18 09:31:00", 1.0, None, 0.5, 4.0, 100.0),
+    ]
+    write(tmp_path, "symbol=B/c.csv", "2025-02-18 09:30:00,1,2,0.5,4,100\n")
+    with pytest.raises(Exception, match="no header line"):
+        readers.read_ohlcv(spark, str(tmp_path)).collect()
+
+
+def test_crypto_days_keep_their_last_minutes(spark):
+    minutes = [(DAY + timedelta(minutes=m), "BTCUSDT", float(m), 1.0, 1.0, 1.0, 1.0) for m in range(1440)]
+    schema = "timestamp timestamp, symbol string, Open double, High double, Low double, Close double, Volume double"
+    got = market.crypto_candles(spark.createDataFrame(minutes + minutes[:700], schema))
+    assert got.count() == got.select("timestamp").distinct().count() == 1440
+
+
 # A small copy of the gross-domestic-product series and its expected rows.
 GDP = [("2022-01-01", 25215.491), ("2022-04-01", 25805.791), ("2022-07-01", 26272.011)]
 
@@ -113,6 +132,7 @@ def test_market_pages_stop_after_a_short_page(spark, tmp_path):
     got = readers.read_market_pages(spark, str(tmp_path), page_size=2)
     assert rows(got, "ID", "Symbol", "Name", "Market Cap") == [("i1", "USDT", "N1", 5.0), ("i3", "USDT", "N3", 7.0)]
     assert readers.read_market_pages(spark, str(tmp_path), page_size=1, max_pages=1).count() == 1
+    assert readers.read_market_pages(spark, str(tmp_path)).count() == 4
 
 
 CARD = (
@@ -410,6 +430,29 @@ def test_candle_stream_restarts_without_repeats(spark, folder):
     assert rows(tables.read(spark, table), "symbol", "close") == [("A", 1.0), ("A", 2.0), ("B", 2.0)]
 
 
+@pytest.mark.parametrize("per_batch", [1, 10])
+def test_a_day_may_be_spread_over_batches(spark, folder, per_batch):
+    landing, table = folder("landing"), tables.candle_table(folder("candles"))
+    tables.create(spark, table)
+    for half in range(2):
+        day = [("A", DAY + timedelta(minutes=half * 10 + m), float(m)) for m in range(10)]
+        candles(spark, day).coalesce(1).write.mode("append").parquet(landing)
+    stream = streams.file_stream(spark, landing, candles(spark, []).schema, per_batch=per_batch)
+    streams.ingest_candles(stream, table, folder("ck"), F.lit(AS_OF).cast("timestamp")).awaitTermination()
+    assert rows(tables.read(spark, table), "close") == sorted([(float(m),) for m in range(10)] * 2)
+
+
+def test_expiry_finds_escaped_folders(spark, folder):
+    table = tables.candle_table(folder("candles"))
+    tables.create(spark, table)
+    tables.append_stamped(candles(spark, [("EURUSD=X", DAY, 1.0), ("A/B", DAY, 1.0), ("C", DAY, 1.0)]), table, F.lit(AS_OF).cast("timestamp"))
+    listed = spark.createDataFrame([("EURUSD=X",), ("A/B",)], "symbol string")
+    later = str(DAY + timedelta(days=90))
+    assert tables.expire_days(spark, table, listed, later) == 2
+    assert rows(tables.read(spark, table), "symbol") == [("C",)]
+    assert tables.expire_days(spark, table, listed, later) == 0
+
+
 def test_daily_counts_drop_late_rows(spark, folder):
     landing, out = folder("landing"), folder("out")
     schema = "timestamp timestamp, symbol string"
