@@ -76,7 +76,7 @@ def streaming_daily_counts(spark, folder):
 
 @add("""SELECT 'u' || CAST(user_id AS VARCHAR) AS url, event_type AS asset_id, arg_max(value, ts) AS score FROM events GROUP BY 1, 2""")
 def streaming_upsert(spark, folder):
-    """Newest value per (url, asset_id), merged batch by batch, run twice."""
+    """Newest value per (url, asset_id), whatever the order of the files; merged batch by batch, run twice."""
     events = _stream(spark, folder, "events").select(
         F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("url"), F.col("event_type").alias("asset_id"),
         F.col("value").alias("score"), F.col("ts").cast("timestamp").alias("ts"),
@@ -85,7 +85,7 @@ def streaming_upsert(spark, folder):
     table = tables.Table(run_folder(spark, "stream-upsert"), "url string, asset_id string, score double, ts timestamp", ("bucket",))
     tables.create(spark, table)
     for _ in range(2):
-        _finish(streams.upsert_stream(events, table, ["url", "asset_id"], lambda: F.col("ts"), run_folder(spark, "merge")))
+        _finish(streams.upsert_stream(events, table, ["url", "asset_id"], lambda: F.col("ts"), run_folder(spark, "merge"), newest=True))
     return tables.read(spark, table).select("url", "asset_id", "score")
 
 

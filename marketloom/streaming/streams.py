@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import dml
+from ..operators.skew import first_row
 from ..sources import tables
 
 
@@ -77,10 +78,13 @@ def daily_counts(candles: DataFrame, *, ts: str = "timestamp", key: str = "symbo
 
 def upsert_stream(
     incoming: DataFrame, table: tables.Table, keys: Sequence[str], order: Callable[[], Column], checkpoint: str,
-    *, only_if_present: Sequence[str] = (),
+    *, only_if_present: Sequence[str] = (), newest: bool = False,
 ):
     """Upsert of every micro-batch into a table. Tables partitioned by a key
-    bucket rewrite only the buckets the batch touches."""
+    bucket rewrite only the buckets the batch touches.
+
+    A later batch wins; under ``newest`` the row with the largest ``order`` wins
+    whichever batch brings it, so that files may arrive in any order."""
 
     if not table.partitions:
         raise ValueError("a stream needs a partitioned table: every batch would rewrite the whole one")
@@ -89,7 +93,11 @@ def upsert_stream(
         with _kept(batch) as rows:
             touched = rows.select(*table.partitions).distinct()
             stored = tables.read(rows.sparkSession, table).join(touched, list(table.partitions), "left_semi")
-            tables.rewrite(dml.upsert(stored, rows, keys, order(), only_if_present=only_if_present), table)
+            if newest:
+                merged = first_row(stored.unionByName(rows.select(*stored.columns)), keys, order(), last=True)
+            else:
+                merged = dml.upsert(stored, rows, keys, order(), only_if_present=only_if_present)
+            tables.rewrite(merged, table)
 
     return (
         incoming.writeStream.foreachBatch(merge)
