@@ -15,12 +15,12 @@ streams_queries = Registry()
 add = streams_queries.add
 
 
-def _stream(spark, folder, name):
-    """A table landed as three files in no order, read in two micro-batches."""
+def _stream(spark, folder, name, per_batch=2):
+    """A table landed as three files in no order, read ``per_batch`` files at a time."""
     rows = spark.read.parquet(f"{folder}/{name}.parquet")
     landed = run_folder(spark, f"landed-{name}")
     rows.repartition(3, F.xxhash64(*rows.columns)).write.parquet(landed)
-    return streams.file_stream(spark, landed, rows.schema, per_batch=2)
+    return streams.file_stream(spark, landed, rows.schema, per_batch=per_batch)
 
 
 def _symbol():
@@ -66,8 +66,9 @@ def streaming_article_dedupe(spark, folder):
 @add(f"""WITH {TICKS}, g AS (SELECT symbol, date_trunc('day', "timestamp") AS d, count(*) AS actual FROM ticks GROUP BY 1, 2)
 SELECT symbol, {sql_show('d')} AS day_start, actual FROM g WHERE d + INTERVAL 1 DAY <= (SELECT max("timestamp") FROM ticks) - INTERVAL 10 MINUTE""")
 def streaming_daily_counts(spark, folder):
-    """Rows per symbol and day, emitted once the watermark passed the day."""
-    ticks = _stream(spark, folder, "events").select(F.col("ts").cast("timestamp").alias("timestamp"), _symbol().alias("symbol"))
+    """Rows per symbol and day, emitted once the watermark passed the day. The files are in no order, which is far beyond
+    the delay of the watermark, so they are one batch."""
+    ticks = _stream(spark, folder, "events", per_batch=3).select(F.col("ts").cast("timestamp").alias("timestamp"), _symbol().alias("symbol"))
     out = run_folder(spark, "stream-counts")
     _finish(streams.append_to(streams.daily_counts(ticks), out, run_folder(spark, "counts")))
     rows = spark.read.schema("symbol string, day_start timestamp, actual bigint").parquet(out)
