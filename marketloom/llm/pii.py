@@ -147,21 +147,26 @@ TOKEN = re.compile(rf"{_WORD}|[0-9]|[.]", re.I)
 PLUS = re.compile(rf"\bplus[ -]+(?=[0-9]|(?:{_WORD})\b)", re.I)
 AT = re.compile(r"[ ]?[\[({<]\s?(?:at|@)\s?[\])}>][ ]?", re.I)
 DOT = re.compile(r"[ ]?[\[({<]\s?(?:dot|\.)\s?[\])}>][ ]?", re.I)
-SPOKEN = re.compile(r"\b[A-Za-z0-9_%+-]+(?: dot [A-Za-z0-9_%+-]+)*+ at [A-Za-z0-9-]+(?: dot [A-Za-z0-9-]+)++", re.I)
+# Bracketed dots read " dot " by now. A local part is tried from its first word only: it would end at the same place from any other.
+_NAME = r"(?<![A-Za-z0-9_%+.-])(?<! dot )[A-Za-z0-9_%+-]++(?:(?: dot |\.)[A-Za-z0-9_%+-]+)*+"
+_HOST = r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+"
+# "a at b.c" is ordinary language, so a spoken at needs a spoken dot behind it; an at sign needs none.
+SPOKEN = re.compile(rf"{_NAME}(?: at {_HOST}(?: dot {_HOST})++|@{_HOST}(?: dot {_HOST})*+)", re.I)
 SPOKEN_WORD = re.compile(r" (?:at|dot) ", re.I)
-SPOKEN_IP = re.compile(r"\b[0-9]{1,3}(?: (?:dot|point) [0-9]{1,3}){3}\b", re.I)
+SPOKEN_IP = re.compile(r"\b[0-9]{1,3}(?:(?: (?:dot|point) |\.)[0-9]{1,3}){3}\b", re.I)
+# What the transducers need to begin, in lower case: the pre-test is made of these.
 SIGNS = re.compile(r"dot |[\[({<]\s?(?:at|dot|@|\.)\s?[\])}>]|[0-9] point [0-9]")
-LETTERS = re.compile("[a-z\xdf-\xff]+")
-PAIR = re.compile(rf"\b(?:{_WORD})[ ,.-]{{1,2}}(?:{_WORD}|[0-9])\b")
+LETTERS = re.compile("[a-z\xdf-\xf6\xf8-\xff]+")
+PAIR = re.compile(rf"\b(?:{_WORD})[ ,.-]{{1,2}}(?:[0-9]|(?:{_WORD})\b)|[0-9][ ,.-]{{1,2}}(?:{_WORD})\b")
 NAMES = frozenset(NUMBERS)
 
 
 def disguised(text: str) -> bool:
-    """Whether a transducer could rewrite anything that matters."""
-    if not text.isascii() and (ODD.search(text) or "\xad" in text):
+    """Whether a transducer could rewrite anything: true for every text that ``transduce`` changes."""
+    if not text.isascii() and ODD.search(text):
         return True
     low = text.lower()
-    if SIGNS.search(low):
+    if SIGNS.search(low) or ("plus" in low and PLUS.search(low)):
         return True
     return not NAMES.isdisjoint(LETTERS.findall(low)) and PAIR.search(low) is not None
 
@@ -186,18 +191,19 @@ def transduce(text: str) -> Tape:
             name = re.match(rf"{_WORD}|[0-9]", part.group(), re.I).group().lower()
             edits.append((m.start() + part.start(), m.start() + part.end(), NUMBERS.get(name, name)))
     tape.rewrite(edits)
+    tape.rewrite([(*m.span(), "@") for m in AT.finditer(tape.text)])
+    tape.rewrite([(*m.span(), " dot ") for m in DOT.finditer(tape.text)])
     edits = []
     for m in SPOKEN.finditer(tape.text):
         for word in SPOKEN_WORD.finditer(m.group()):
             edits.append((m.start() + word.start(), m.start() + word.end(), "@" if word.group().strip().lower() == "at" else "."))
     tape.rewrite(edits)
-    tape.rewrite([(*m.span(), "@") for m in AT.finditer(tape.text)])
-    tape.rewrite([(*m.span(), ".") for m in DOT.finditer(tape.text)])
     edits = []
     for m in SPOKEN_IP.finditer(tape.text):
         for word in re.finditer(r" (?:dot|point) ", m.group(), re.I):
             edits.append((m.start() + word.start(), m.start() + word.end(), "."))
     tape.rewrite(edits)
+    tape.rewrite([(*m.span(), ".") for m in re.finditer(" dot ", tape.text) if all(tape.written[m.start() : m.end()])])
     return tape
 
 

@@ -78,6 +78,38 @@ def test_pii_leaves_clean_texts(text):
     assert pii.spans_of(text) == ([], [])
 
 
+@pytest.mark.parametrize(
+    "text, kind, stretch",
+    [
+        ("call plus 49 30 1234567", "phone", "plus 49 30 1234567"),
+        ("call +four 930 123 4567 now", "phone", "+four 930 123 4567"),
+        ("card 4111 1111 1111 111 one", "card", "4111 1111 1111 111 one"),
+        ("mail user@example dot com now", "email", "user@example dot com"),
+        ("user [at] example dot com", "email", "user [at] example dot com"),
+        ("user at example [dot] com", "email", "user at example [dot] com"),
+        ("user at mail.example dot com", "email", "user at mail.example dot com"),
+        ("john dot doe [at] example.com", "email", "john dot doe [at] example.com"),
+        ("host 192.168 dot 0.1", "ip", "192.168 dot 0.1"),
+        ("host 192.168[.]0[dot]1", "ip", "192.168[.]0[dot]1"),
+    ],
+)
+def test_pii_mixed_disguises(text, kind, stretch):
+    for extra in ("", " \u201d"):  # an unrelated character changes nothing
+        base, spans = pii.spans_of(text + extra)
+        assert base == [] and [(k, text[a:b]) for k, a, b in spans] == [(kind, stretch)]
+
+
+def test_pii_pretest_is_no_narrower_than_the_transducers():
+    rng = random.Random(5)
+    parts = ["plus", "Plus", "one", "FOUR", "fünf", "zéro", "4111", "1111", "49", "7", "1", "+", "at", "dot", "@", "[at]", "(dot)", "a.b", "com",
+             "point", "÷", "_", "x", "ª", ",", ".", "-", "(", ")"]
+    for _ in range(60000):
+        text = "".join(rng.choice(parts) + rng.choice(["", " ", " ", " ", "-", "  "]) for _ in range(rng.randint(1, 14)))
+        if not pii.disguised(text):
+            tape = pii.transduce(text)
+            assert tape.text == text and not any(tape.written), text
+
+
 def test_pii_rows(spark, folder_small):
     text = {r.doc_id: r.text or "" for r in documents(spark, folder_small).collect()}
     for r in pii.find(documents(spark, folder_small)).collect():
