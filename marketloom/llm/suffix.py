@@ -11,7 +11,10 @@ one anchor form a stretch, so each window lies in one stretch, and equal windows
    symbols are the 25 bytes before a suffix. The transforms are merged by interleave refinement: starting from any
    interleaving, each round sorts the interleaving stably by its symbols, which orders it 25 bytes deeper; suffixes are
    never compared. Neighbours that a round tears apart have their common prefix there. After two rounds the unbroken
-   intervals are the suffixes that share 50 bytes; each takes the smallest document of its members.
+   intervals are the suffixes that share 50 bytes; each takes the smallest document of its members. The number of buckets
+   follows the bytes of all stretches. At the edges of a passage a stretch holds its document's own context, so a passage
+   in many documents has many distinct stretches of one anchor: anchors of more than HOT_BYTES stay out of the buckets,
+   and their windows meet by their own hash in an aggregate that is combined before the shuffle.
 3. A window whose interval has a smaller document is removed from its document.
 
 Defined results: a null text is empty; texts below 50 bytes lose nothing; rows that share a doc_id never remove each
@@ -39,6 +42,10 @@ SYMBOL = 25
 PACK_BYTES = 16 << 20
 #: Stretch bytes of a shard.
 SHARD_BYTES = 256 << 10
+#: Stretch bytes of a bucket, on average.
+BUCKET_BYTES = 16 << 20
+#: Stretch bytes of one anchor beyond which its windows are dealt by their own hash.
+HOT_BYTES = 1 << 20
 
 # -- anchors and stretches -------------------------------------------------------------
 
@@ -210,20 +217,25 @@ def _stable_order(ids: np.ndarray) -> np.ndarray:
     return order
 
 
+def _keys(data: np.ndarray, length: int, seed: int = 1) -> np.ndarray:
+    """64-bit hash of the ``length`` bytes from each position on; at the end it runs into zeros."""
+    wide = np.append(data, np.zeros(length, np.uint8))
+    p, h, size, total, done = np.uint64(0xD6E8FEB86659FD93), mix(np.arange(seed, seed + 256, dtype=np.uint64))[wide], 1, None, 0
+    with np.errstate(over="ignore"):
+        while size <= length:  # h covers ``size`` bytes; length is put together from its binary digits
+            if length & size:
+                part = h[done:][: len(data)]
+                total, done = (part if total is None else total[: len(part)] * p + part), done + size
+            h, p, size = h[:-size] * p + h[size:], p * p, size * 2
+        return mix(total)
+
+
 def symbols(data: np.ndarray) -> np.ndarray:
     """A number for the SYMBOL bytes from each position on, by rank of a 64-bit hash of them.
 
     At the end of a string it runs into the next one; no window begins there.
     """
-    wide = np.append(data, np.zeros(SYMBOL, np.uint8))
-    p, h, size, total, done = np.uint64(0xD6E8FEB86659FD93), mix(np.arange(1, 257, dtype=np.uint64))[wide], 1, None, 0
-    with np.errstate(over="ignore"):
-        while size <= SYMBOL:  # h covers ``size`` bytes; SYMBOL is put together from its binary digits
-            if SYMBOL & size:
-                part = h[done:][: len(data)]
-                total, done = (part if total is None else total[: len(part)] * p + part), done + size
-            h, p, size = h[:-size] * p + h[size:], p * p, size * 2
-        key = mix(total)
+    key = _keys(data, SYMBOL)
     order = np.argsort(key)
     ranked = key[order]
     ids = np.empty(len(key), np.uint32)
@@ -296,6 +308,61 @@ def smallest_docs(data: np.ndarray, bounds: np.ndarray, docs: np.ndarray) -> np.
     return least[left >= LENGTH]
 
 
+# -- windows of frequent anchors -------------------------------------------------------
+
+
+def windows_met(parts: DataFrame) -> DataFrame:
+    """(high, low, least): for each window of each stretch, the smallest document that has it. ``parts``: doc, part.
+
+    Every window goes its own way by its hash, so no task holds more for a passage that many documents share.
+    """
+
+    def named(batches):
+        for whole in batches:
+            for batch in steps(whole, "part"):
+                data, bounds = text_bytes(batch.column("part"))
+                size, high, low = digests(data, bounds[:-1])
+                yield pa.record_batch(
+                    [pa.array(high), pa.array(low), pa.array((size - LENGTH + 1).astype(np.int32)), batch.column("doc"), batch.column("part")],
+                    names=["high", "low", "size", "doc", "part"],
+                )
+
+    def deal(batches):
+        for whole in batches:
+            for batch in steps(whole, "part"):
+                data, bounds = text_bytes(batch.column("part"))
+                size = np.diff(bounds) - LENGTH + 1
+                row = np.repeat(np.arange(batch.num_rows), size)
+                at = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+                first, second = (_keys(data, LENGTH, seed)[bounds[row] + at].view(np.int64) for seed in (1, 1001))
+                for i in range(0, len(row), 50_000):
+                    j = slice(i, i + 50_000)
+                    own = batch.select(["high", "low", "doc"]).take(pa.array(row[j]))
+                    yield pa.record_batch(
+                        [pa.array(first[j]), pa.array(second[j]), *own.columns, pa.array(at[j].astype(np.int32))],
+                        names=["first", "second", "high", "low", "doc", "at"],
+                    )
+
+    def fill(batches):
+        for batch in batches:
+            size, doc, found = np.asarray(batch.column("size")).astype(np.int64), np.asarray(batch.column("doc")), batch.column("found")
+            start = np.append(0, np.cumsum(size))
+            least = np.repeat(doc, size)
+            counts = np.asarray(found.value_lengths().fill_null(0))
+            at, other = (np.asarray(found.flatten().field(i)) for i in range(2))
+            least[np.repeat(start[:-1], counts) + at] = other
+            blobs = [least[a:b].tobytes() for a, b in zip(start[:-1], start[1:])]
+            yield pa.record_batch([batch.column("high"), batch.column("low"), pa.array(blobs, pa.binary())], names=["high", "low", "least"])
+
+    kept = staged(parts.select("doc", "part").mapInArrow(named, "high long, low long, size int, doc long, part binary"), "frequent")
+    dealt = kept.select("high", "low", "doc", "part").mapInArrow(deal, "first long, second long, high long, low long, doc long, at int")
+    shared = dealt.groupBy("first", "second").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").drop("most")
+    found = dealt.join(shared, ["first", "second"]).where("least < doc")
+    found = found.groupBy("high", "low").agg(F.collect_list(F.struct("at", "least")).alias("found"))
+    whole = kept.select("high", "low", "size", "doc").join(found, ["high", "low"], "left")
+    return whole.mapInArrow(fill, "high long, low long, least binary")
+
+
 # -- operator --------------------------------------------------------------------------
 
 
@@ -329,13 +396,19 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
 
     names = "high long, low long, anchor int, doc long, check long, at int, size int, part binary"
     texts = staged(docs.join(found, "doc").select("doc", "check", "text", "own").mapInArrow(take, names), "stretches")
-    distinct = texts.groupBy("anchor", "part").agg(F.min("doc").alias("doc"))
+    held = F.sum(F.col("size").cast("long") + (LENGTH - 1)).alias("held")
+    whole = texts.agg(held).first().held or 0
+    frequent = staged(texts.groupBy("anchor").agg(held).where(F.col("held") > HOT_BYTES).select("anchor"), "anchors")
+    some = not frequent.isEmpty()
+    rest = texts.join(frequent, "anchor", "left_anti") if some else texts
+    distinct = rest.groupBy("anchor", "part").agg(F.min("doc").alias("doc"))
 
     def refine(batches):
         rows = [pa.Table.from_batches([b]) for b in batches if b.num_rows]
         if not rows:
             return
-        table = pa.concat_tables(rows).combine_chunks()
+        table = pa.concat_tables(rows)
+        table = table.set_column(table.column_names.index("part"), "part", table.column("part").cast(pa.large_binary())).combine_chunks()
         data, bounds = text_bytes(table.column("part").chunk(0))
         least = smallest_docs(data, bounds, table.column("doc").to_numpy())
         high, low = digests(data, bounds[:-1])[1:]
@@ -347,8 +420,12 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
             blobs = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(ends), pa.py_buffer(own)])
             yield pa.record_batch([pa.array(high[i:j]), pa.array(low[i:j]), blobs], names=["high", "low", "least"])
 
-    bucket = F.pmod(F.xxhash64("anchor"), F.lit(buckets)).cast("int")
-    known = distinct.repartitionById(buckets, bucket).mapInArrow(refine, "high long, low long, least binary")
+    merged = max(buckets, -(-whole // BUCKET_BYTES))
+    bucket = F.pmod(F.xxhash64("anchor"), F.lit(merged)).cast("int")
+    known = distinct.repartitionById(merged, bucket).mapInArrow(refine, "high long, low long, least binary")
+    if some:
+        often = texts.join(frequent, "anchor", "left_semi").groupBy("anchor", "part").agg(F.min("doc").alias("doc"))
+        known = known.unionByName(windows_met(often))
 
     def hit(batches):
         for batch in batches:

@@ -257,6 +257,23 @@ def test_suffix_two_texts_of_one_id(spark):
     assert sorted((r.doc_id, r.n_removed) for r in suffix.clean(docs).collect()) == [(1, 0), (1, 0), (2, len(text))]
 
 
+def test_suffix_frequent_passage_fills_no_bucket(spark, monkeypatch):
+    rng = random.Random(8)
+    own = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    passage, phrase = own(70), own(18)
+    docs = [(i, own(60) + (passage if i % 3 else phrase) + own(60) + (phrase if i % 5 == 0 else "")) for i in range(300)]
+    docs += [(300 + i, t[i : i + 110]) for i, (_, t) in enumerate(docs[:40])] + [(400, "ab" * 400), (401, "ab" * 200), (402, "ab" * 30)]
+    monkeypatch.setattr(suffix, "HOT_BYTES", 2000)
+    monkeypatch.setattr(suffix, "BUCKET_BYTES", 4000)
+    own_bytes = []
+    met = suffix.windows_met
+    monkeypatch.setattr(suffix, "windows_met", lambda parts: own_bytes.append(parts.selectExpr("sum(length(part))").first()[0]) or met(parts))
+    found = suffix.clean(spark.createDataFrame(docs, "doc_id long, text string").repartition(7))
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in found.collect())
+    assert got == list(suffix_brute(docs))
+    assert own_bytes[0] > 10 * 2000  # what one task would have held
+
+
 # -- 4, 6, 8 -------------------------------------------------------------------------
 
 
