@@ -42,11 +42,14 @@ def article_string(headline: Column, description: Column, source: Column, ticker
     )
 
 
-def clip(c: Column, size: int) -> Column:
-    return F.substring(c, 1, size)
+def clip(c: Column, size: int | None) -> Column:
+    """The first ``size`` characters; None leaves the text whole."""
+    return c if size is None else F.substring(c, 1, size)
 
 
-def clip_with_dots(c: Column, size: int) -> Column:
+def clip_with_dots(c: Column, size: int | None) -> Column:
+    if size is None:
+        return c
     return F.when(F.length(c) > size, F.concat(F.substring(c, 1, size), F.lit("..."))).otherwise(c)
 
 
@@ -62,18 +65,18 @@ def query_or_asset(query: Column, asset: Column) -> Column:
     return F.coalesce(query, asset)
 
 
-def _numbered(comments: Column, label: str, join_word: str, body) -> Column:
+def _numbered(comments: Column, label: str, join_word: str, body, k: int | None) -> Column:
     def line(comment: Column, i: Column) -> Column:
         return F.concat(
             F.lit(f"{label} "), (i + 1).cast("string"), F.lit(f" {join_word} "),
             author_or_deleted(comment["author"]), F.lit(": "), body(blank_if_null(comment["body"])),
         )
 
-    return F.transform(F.slice(comments, 1, 3), line)
+    return F.transform(comments if k is None else F.slice(comments, 1, k), line)
 
 
-def embedding_text(doc: Column) -> Column:
-    """Text handed to the embedder; ``doc`` is the submission struct."""
+def embedding_text(doc: Column, *, comment_count: int | None = 3) -> Column:
+    """Text handed to the embedder, with the first comments or (None) all; ``doc`` is the submission struct."""
     comments = doc["comments"]
     head = F.concat_ws(
         "\n",
@@ -84,7 +87,7 @@ def embedding_text(doc: Column) -> Column:
     )
     tail = F.concat(
         F.lit("\nComments: "),
-        F.array_join(_numbered(comments, "Comment", "by", lambda b: b), " | "),
+        F.array_join(_numbered(comments, "Comment", "by", lambda b: b, comment_count), " | "),
     )
     has_comments = F.coalesce(F.size(comments) > 0, F.lit(False))
     return F.when(doc.isNull(), F.lit("")).otherwise(
@@ -92,17 +95,19 @@ def embedding_text(doc: Column) -> Column:
     )
 
 
-def sentiment_text(doc: Column) -> Column:
-    """Text handed to the sentiment scorer, with the long parts cut."""
+def sentiment_text(
+    doc: Column, *, content_size: int | None = 500, comment_size: int | None = 150, comment_count: int | None = 3
+) -> Column:
+    """Text handed to the sentiment scorer; None leaves the content, a comment or the number of comments whole."""
     comments = doc["comments"]
     head = F.concat_ws(
         "\n\n",
         F.concat(F.lit("TITLE: "), blank_if_null(doc["title"])),
-        F.concat(F.lit("CONTENT: "), clip_with_dots(blank_if_null(doc["selftext"]), 500)),
+        F.concat(F.lit("CONTENT: "), clip_with_dots(blank_if_null(doc["selftext"]), content_size)),
         F.concat(F.lit("SUBREDDIT: "), blank_if_null(doc["subreddit"])),
         F.concat(F.lit("ASSET: "), blank_if_null(doc["asset_id"])),
     )
-    lines = _numbered(comments, "COMMENT", "BY", lambda b: clip_with_dots(b, 150))
+    lines = _numbered(comments, "COMMENT", "BY", lambda b: clip_with_dots(b, comment_size), comment_count)
     tail = F.concat(F.lit("\n\nCOMMENTS SECTION:\n\n"), F.array_join(lines, "\n\n"))
     has_comments = F.coalesce(F.size(comments) > 0, F.lit(False))
     return F.when(doc.isNull(), F.lit("")).otherwise(

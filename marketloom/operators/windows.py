@@ -136,15 +136,15 @@ def running_return(
     return rows.withColumn(out, (F.col("_sum") + base) / F.lit(100.0)).select(*df.columns, out)
 
 
-def newest_comments(comments: Column, k: int = 3) -> Column:
-    """The k newest elements of a nested comment array, newest first."""
+def newest_comments(comments: Column, k: int | None = 3) -> Column:
+    """The k newest elements of a nested comment array, or all of them, newest first."""
     order = F.array_sort(
         F.transform(
             comments,
             lambda c, i: F.struct((-F.unix_micros(c["created_at_utc"])).alias("age"), i.alias("i"), c.alias("c")),
         )
     )
-    return F.transform(F.slice(order, 1, k), lambda s: s["c"])
+    return F.transform(order if k is None else F.slice(order, 1, k), lambda s: s["c"])
 
 
 def last_day_rows(df: DataFrame, *, key: str = "symbol", ts: str = "timestamp") -> DataFrame:

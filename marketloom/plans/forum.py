@@ -11,6 +11,9 @@ from ..operators.filters import matching_query, not_enriched, with_values
 from ..sources import readers, tables
 
 KEYS = ["url", "asset_id"]
+#: Nothing is cut on the way to the table, the embedder and the scorer.
+WHOLE_ROWS = {"body_size": None, "selftext_size": None, "comment_count": None}
+WHOLE_TEXT = {"content_size": None, "comment_size": None, "comment_count": None}
 
 
 def pairs_to_fetch(mapping: DataFrame, stored: DataFrame, as_of: Column) -> DataFrame:
@@ -46,7 +49,7 @@ def _chosen(df: DataFrame, pending: Column, max_documents: int | None) -> DataFr
 
 def with_embeddings(df: DataFrame, embed, *, max_documents: int | None = None) -> DataFrame:
     rows = _chosen(df, not_enriched("submission_embeddings"), max_documents)
-    texted = rows.withColumn("_text", embedding_text(F.col("submission_dict")))
+    texted = rows.withColumn("_text", embedding_text(F.col("submission_dict"), comment_count=None))
     filled = enrich.embed_missing(texted, "_text", "submission_embeddings", embed, where=F.col("_chosen"))
     return filled.select(*df.columns)
 
@@ -56,7 +59,7 @@ def with_sentiment(
 ) -> DataFrame:
     """Score the chosen rows; ``limit`` is the length a scorer states, if it states one."""
     rows = _chosen(df, not_enriched("sentiment_score"), max_documents)
-    whole = sentiment_text(F.col("submission_dict"))
+    whole = sentiment_text(F.col("submission_dict"), **WHOLE_TEXT)
     fitted = whole if limit is None else fit_for_scorer(whole, limit)
     texted = rows.withColumn("_text", F.when(F.col("_chosen"), fitted))
     return enrich.score_missing(texted, "_text", "sentiment_score", scores).select(*df.columns)
@@ -80,7 +83,7 @@ def run(spark: SparkSession, landed: str, table: tables.Table, mapping: DataFram
     when a row of today carries its name exactly as the mapping writes it."""
     moment = F.lit(as_of).cast("timestamp")
     stored = tables.read(spark, table)
-    incoming = readers.read_submissions(spark, landed, moment)
+    incoming = readers.read_submissions(spark, landed, moment, **WHOLE_ROWS)
     searched = F.substr(F.col("submission_dict.subreddit"), F.lit(3))
     due = joins.not_fetched_today(joins.fan_out(mapping), stored, moment)
     wanted = incoming.withColumn("_searched", searched).join(

@@ -56,7 +56,7 @@ def submissions(spark, folder):
         when_user(F.concat(F.lit("A"), (F.col("conv_id") % 18).cast("string"))).alias("asset_id"), none("string").alias("query"),
         F.when(F.col("role") == "user", "AUSDT").otherwise("").alias("asset_binance"), none("string").alias("asset_yfinance"),
     )
-    rows = readers.submissions(raw, F.lit("2024-03-01").cast("timestamp"))
+    rows = readers.submissions(raw, F.lit("2024-03-01").cast("timestamp"), body_size=250, selftext_size=1000, comment_count=3)
     line = lambda c: F.concat(c["author"], F.lit("@"), F.date_format(c["created_at_utc"], "HH:mm"), F.lit(":"), c["body"])
     doc = F.col("submission_dict")
     return rows.select(
@@ -72,14 +72,18 @@ SENTIMENT_TEXT = """'TITLE: ' || title || chr(10) || chr(10) || 'CONTENT: ' || C
   CASE WHEN len(comments) > 0 THEN chr(10) || chr(10) || 'COMMENTS SECTION:' || chr(10) || chr(10) || array_to_string(list_transform(comments, lambda c, i: 'COMMENT ' || CAST(i AS VARCHAR) || ' BY ' || c.author || ': ' || CASE WHEN length(c.body) > 150 THEN substring(c.body, 1, 150) || '...' ELSE c.body END), chr(10) || chr(10)) ELSE '' END"""
 
 
+#: Sizes of the original's requests.
+REQUEST = {"content_size": 500, "comment_size": 150, "comment_count": 3}
+
+
 @add(f"WITH {POSTS} SELECT conv_id, {EMBED_TEXT} AS embed_text FROM posts")
 def submission_embed_text(spark, folder):
-    return posts(spark, folder).select("conv_id", text.embedding_text(F.col("submission_dict")).alias("embed_text"))
+    return posts(spark, folder).select("conv_id", text.embedding_text(F.col("submission_dict"), comment_count=3).alias("embed_text"))
 
 
 @add(f"WITH {POSTS} SELECT conv_id, {SENTIMENT_TEXT} AS sentiment_text FROM posts")
 def submission_sentiment_text(spark, folder):
-    return posts(spark, folder).select("conv_id", text.sentiment_text(F.col("submission_dict")).alias("sentiment_text"))
+    return posts(spark, folder).select("conv_id", text.sentiment_text(F.col("submission_dict"), **REQUEST).alias("sentiment_text"))
 
 
 LIMIT = 600
@@ -91,7 +95,7 @@ l AS (SELECT conv_id, s, regexp_extract(s, '^(TITLE:[^\\n]*)', 1) || chr(10) ||
 SELECT conv_id, CASE WHEN length(s) <= {LIMIT} THEN s WHEN length(h) <= {LIMIT} THEN h WHEN length(p) <= {LIMIT} THEN p END AS fitted FROM l""")
 def scorer_text_ladder(spark, folder):
     """The first form of the text that a scorer of limited length accepts."""
-    fitted = text.fit_for_scorer(text.sentiment_text(F.col("submission_dict")), LIMIT)
+    fitted = text.fit_for_scorer(text.sentiment_text(F.col("submission_dict"), **REQUEST), LIMIT)
     return posts(spark, folder).select("conv_id", fitted.alias("fitted"))
 
 

@@ -195,8 +195,12 @@ def accepted_cards(cards: DataFrame) -> DataFrame:
     return cards.join(broken, "ticker", "left_anti").drop("complete")
 
 
-def submissions(raw: DataFrame, as_of: Column) -> DataFrame:
-    """Landed submissions (with nested comments) in the table's shape."""
+def submissions(
+    raw: DataFrame, as_of: Column, *, body_size: int | None = 250, selftext_size: int | None = 1000, comment_count: int | None = 3
+) -> DataFrame:
+    """Landed submissions (with nested comments, newest first) in the table's
+    shape; None leaves comment bodies, the nested selftext or the number of
+    comments whole."""
     from ..operators.windows import newest_comments
 
     comments = F.transform(
@@ -204,15 +208,15 @@ def submissions(raw: DataFrame, as_of: Column) -> DataFrame:
         lambda c: F.struct(
             c["id"].alias("id"),
             text.author_or_deleted(c["author"]).alias("author"),
-            text.clip(c["body"], 250).alias("body"),
+            text.clip(c["body"], body_size).alias("body"),
             c["score"].alias("score"),
             dates.epoch_seconds(c["created_utc"]).alias("created_at_utc"),
         ),
     )
-    named = raw.withColumn("comments", newest_comments(comments))
+    named = raw.withColumn("comments", newest_comments(comments, comment_count))
     doc = F.struct(
         F.col("title"),
-        text.clip(F.col("selftext"), 1000).alias("selftext"),
+        text.clip(F.col("selftext"), selftext_size).alias("selftext"),
         F.concat(F.lit("r/"), "searched_subreddit").alias("subreddit"),
         F.col("url"),
         text.asset_or_unknown(F.col("asset_id")).alias("asset_id"),
@@ -237,8 +241,9 @@ def submissions(raw: DataFrame, as_of: Column) -> DataFrame:
     )
 
 
-def read_submissions(spark: SparkSession, path: str, as_of: Column) -> DataFrame:
-    return submissions(spark.read.schema(schemas.RAW_SUBMISSION).json(path), as_of)
+def read_submissions(spark: SparkSession, path: str, as_of: Column, **sizes: int | None) -> DataFrame:
+    """``sizes`` are those of ``submissions``."""
+    return submissions(spark.read.schema(schemas.RAW_SUBMISSION).json(path), as_of, **sizes)
 
 
 def extended_candles(payload: Column) -> Column:

@@ -402,6 +402,28 @@ def test_forum_job(spark, tmp_path, folder):
     assert forum.run(spark, landed, table, mapping, embedder(), "2025-06-23 05:00:00") == 1
 
 
+def test_forum_job_hands_on_whole_texts(spark, tmp_path, folder):
+    table = tables.Table(folder("submissions"), schemas.SUBMISSIONS)
+    tables.create(spark, table)
+    comments = [{"id": str(i), "author": "a", "body": "y" * 400 + f" great{i}", "score": 1, "created_utc": 1740096000.0 + i} for i in range(6)]
+    write(tmp_path, "landed/s.json", json.dumps(raw_submission(selftext="x" * 2000 + " tail", comments=comments)))
+
+    def kept(name, answer):
+        def call(texts):
+            (tmp_path / name).write_text("".join(texts))
+            return [answer for _ in texts]
+
+        return lambda: call
+
+    scores = enrich.model_scores(kept("scores", {"positive": 1.0, "negative": 0.0, "neutral": 0.0}))
+    mapping = spark.createDataFrame([("BTC", ["bitcoin"], "btc")], "asset_id string, subreddits array<string>, query string")
+    assert forum.run(spark, str(tmp_path / "landed"), table, mapping, enrich.vectorize(kept("embed", [1.0, 0.0])), AS_OF) == 1
+    assert forum.run_sentiment(spark, table, scores=scores, anew=True) == 1
+    for name in ("embed", "scores"):
+        text = (tmp_path / name).read_text()
+        assert "x" * 2000 + " tail" in text and all("y" * 400 + f" great{i}" in text for i in range(6))
+
+
 def test_single_phase_jobs(spark, tmp_path, folder):
     table = tables.Table(folder("submissions"), schemas.SUBMISSIONS)
     tables.create(spark, table)
