@@ -1,8 +1,8 @@
-"""Queries of the ten operators and the SQL they are compared with."""
+"""Queries of the operators and the SQL they are compared with."""
 
 from __future__ import annotations
 
-from . import binary, chunks, decontaminate, licences, near, packing, pii, quality, rules, suffix
+from . import binary, chunks, decontaminate, licences, merkle, mixing, near, packing, pii, quality, rules, suffix, whitening
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -15,5 +15,13 @@ QUERIES = {
     "op8_rules": rules.op8_rules,
     "op9_packing": packing.op9_packing,
     "op10_suffix": suffix.op10_suffix,
+    "op11_merkle": merkle.op11_merkle,
+    "op12_mixing": mixing.op12_mixing,
+    "op13_whitening": whitening.op13_whitening,
+}
+SQL = {
+    "op5_decontamination": decontaminate.OP5_SQL,
+    "op8_rules": rules.OP8_SQL,
+    "op11_merkle": merkle.OP11_SQL,
+    "op12_mixing": mixing.OP12_SQL,
 }
-SQL = {"op5_decontamination": decontaminate.OP5_SQL, "op8_rules": rules.OP8_SQL}
