@@ -63,6 +63,44 @@ class HashingEmbedder:
         return sums / np.sqrt((sums**2).sum())
 
 
+def hashed_vectors(dim: int) -> Callable[[Column | str], Column]:
+    """Function text -> vector like that of ``HashingEmbedder``, in built-in functions alone.
+
+    The sorted slots of the words are cut into runs, (slot, count), so the work
+    grows with the words plus ``dim``; only then is the vector filled up."""
+
+    def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+        return F.transform(F.array(value), use)
+
+    def slot(word: Column) -> Column:
+        return F.conv(F.substring(F.md5(word.cast("binary")), 1, 8), 16, 10).cast("long") % dim
+
+    def runs(slots: Column) -> Column:
+        n = F.size(slots)
+        ends = F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | (F.get(slots, i - 1) != F.get(slots, i)))
+        return F.get(
+            bind(ends, lambda e: F.zip_with(e, F.concat(F.array(F.lit(0)), F.slice(e, 1, F.size(e) - 1)), lambda b, a: F.struct(
+                F.get(slots, a).cast("int").alias("slot"), (b - a).alias("n")))), F.lit(0),
+        )
+
+    def filled(pairs: Column) -> Column:
+        norm = F.sqrt(F.aggregate(pairs, F.lit(0).cast("long"), lambda s, p: s + p["n"].cast("long") * p["n"]).cast("double"))
+        zeros = lambda n: F.array_repeat(F.lit(0.0).cast("float"), n)
+        # Each run follows the zeros since the one before.
+        before = F.concat(F.array(F.lit(-1)), F.transform(F.slice(pairs, 1, F.size(pairs) - 1), lambda p: p["slot"]))
+        parts = bind(norm, lambda l: F.flatten(F.zip_with(pairs, before, lambda p, b: F.concat(
+            zeros(p["slot"] - b - 1), F.array((p["n"] / l).cast("float"))))))
+        return F.get(bind(F.get(parts, F.lit(0)), lambda v: F.concat(v, zeros(F.lit(dim) - F.size(v)))), F.lit(0))
+
+    def embed(text: Column | str) -> Column:
+        text = F.col(text) if isinstance(text, str) else text
+        slots = F.sort_array(F.transform(words(F.lower(text)), slot))
+        found = bind(slots, lambda s: F.when(F.size(s) > 0, F.get(bind(runs(s), filled), F.lit(0))))
+        return F.get(found, F.lit(0))
+
+    return embed
+
+
 def vectorize(make_embedder: Callable[[], Callable[[Sequence[str]], list]], batch: int = 100):
     """Arrow UDF text -> vector. The embedder is made once per task and sees
     batches of texts; NULL and empty texts never reach it.

@@ -11,7 +11,7 @@ from ..functions.text import article_string
 from ..operators import dml, enrich, windows
 from ..operators.filters import not_enriched
 from ..operators.setops import keep_first
-from ..sources import readers, tables
+from ..sources import readers, tables, versions
 
 
 def articles_of(cards: DataFrame) -> DataFrame:
@@ -57,22 +57,64 @@ def refresh(stored: DataFrame, fetched: DataFrame, mapping: DataFrame, embed, *,
 
     Dedupe and cap look at ids and times only, so they run before the vectors
     and scores: rows about to be dropped are never sent to a model, and the
-    table ends up the same.
+    table ends up the same. A fetched row whose id is stored is the stored row
+    fetched again, as a repeated run does.
     """
-    kept = windows.dedupe_and_cap(stored.unionByName(fetched), mapping, keep=keep)
+    new = fetched.join(stored.select("_id"), "_id", "left_anti").select(*stored.columns)
+    kept = windows.dedupe_and_cap(stored.unionByName(new), mapping, keep=keep)
     return with_sentiment(with_embeddings(kept, embed), scores)
 
 
-def run(spark: SparkSession, pages: DataFrame, table: tables.Table, mapping: DataFrame, embed, as_of: str) -> int:
+def run(spark: SparkSession, pages: DataFrame, table: tables.Table, mapping: DataFrame, embed, as_of: str, **options) -> int:
     """``pages`` has page_id, ticker and html. Parsed cards are staged, as they
-    are read once to find broken tickers and once more for their rows."""
+    are read once to find broken tickers and once more for their rows. Returns
+    the number of rows of the table."""
     moment = F.lit(as_of).cast("timestamp")
-    stored = tables.read(spark, table)
     with tables.staged(readers.article_cards(pages, "html", "ticker", moment), "cards") as cards:
-        fetched = articles_of(cards).select(*stored.columns)
-        return tables.replace(refresh(stored, fetched, mapping, embed), table)
+        return store(spark, articles_of(cards), table, mapping, embed, **options)
+
+
+def store(spark: SparkSession, fetched: DataFrame, table: tables.Table, mapping: DataFrame, embed, **options) -> int:
+    """Refresh the table with fetched articles. Of a bucketed table only those
+    buckets are read and written that the change can touch."""
+    if table.bucket_by:
+        return _store_in_buckets(spark, fetched, table, mapping, embed, **options)
+    stored = tables.read(spark, table)
+    return tables.replace(refresh(stored, fetched.select(*stored.columns), mapping, embed, **options), table)
+
+
+def _store_in_buckets(spark: SparkSession, fetched: DataFrame, table: tables.Table, mapping: DataFrame, embed, **options) -> int:
+    """Dedupe and cap look at one ticker at a time, so a bucket changes only if
+    the batch has rows of it, if it holds rows without a vector or score, or if
+    the mapping, by which tickers are capped, is another one than last time.
+
+    The driver holds bucket numbers, never tickers or rows.
+    """
+    before = versions.latest(spark, table.path)
+    bucket = tables.bucket_of(table)
+    names = mapping.select("ticker").distinct()
+    hashed = F.xxhash64("ticker").cast("decimal(38,0)")
+    digest = "-".join(str(x) for x in names.agg(F.count("*"), F.sum(hashed)).first())
+    with tables.staged(fetched, "fetched") as rows:
+        asked = rows.select(bucket.alias("b"))
+        if before is None or before.notes.get("mapping") != digest:
+            asked = asked.unionByName(names.select(bucket.alias("b")))
+        touched = {r.b for r in asked.distinct().collect()}
+        if before is not None:
+            touched |= {int(b) for b, f in before.facts.items() if f["pending"]}
+        stored = tables.read(spark, table, touched)
+        new = refresh(stored, rows.select(*stored.columns), mapping, embed, **options)
+        pending = F.count_if(not_enriched("article_string", "article_embedding") | not_enriched("sentiment_score"))
+        after = tables.replace_buckets(new, table, touched, before, facts={"pending": pending}, notes={"mapping": digest})
+    return sum(f["rows"] for f in after.facts.values())
 
 
 def run_recreate(spark: SparkSession, table: tables.Table, embed) -> int:
     """Drop and recreate all vectors of the stored articles."""
-    return tables.replace(recreate_embeddings(tables.read(spark, table), embed), table)
+    anew = recreate_embeddings(tables.read(spark, table), embed)
+    if not table.bucket_by:
+        return tables.replace(anew, table)
+    before = versions.latest(spark, table.path)
+    pending = F.count_if(not_enriched("article_string", "article_embedding") | not_enriched("sentiment_score"))
+    after = tables.replace_buckets(anew, table, range(table.buckets), before, facts={"pending": pending}, notes=before.notes if before else {})
+    return sum(f["rows"] for f in after.facts.values())

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import aggregates, enrich, filters, joins, vectors, windows
 from ..plans import news
-from ..session import spread_scan
-from ..sources import readers
+from ..session import run_folder, spread_scan
+from ..sources import readers, tables
 from .base import Registry
 from .views import ARTICLES, TICKERS, articles, even, show, sql_even, sql_show, table, tickers
 
@@ -25,7 +25,7 @@ SQL_SPACE = r"[\s\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{2
 
 
 def embed():
-    return enrich.vectorize(partial(enrich.HashingEmbedder, DIM))
+    return enrich.hashed_vectors(DIM)
 
 
 def sql_words(c: str) -> str:
@@ -319,3 +319,46 @@ def news_refresh(spark, folder):
         "_id", "ticker", F.md5("article_string").alias("text_md5"), even(F.col("sentiment_score.positive"), 9).alias("positive"),
         F.size("article_embedding").cast("long").alias("vector_size"),
     )
+
+
+def _sql_refresh(out: str, stored: str | None, fetched: str) -> str:
+    """CTEs of one refresh: rows fetched anew, the first of each link, the newest hundred of mapped tickers."""
+    both = f"SELECT * FROM {fetched}" if stored is None else f"SELECT * FROM {stored} UNION ALL SELECT * FROM {fetched} WHERE _id NOT IN (SELECT _id FROM {stored})"
+    return f"""{out}_all AS ({both}),
+{out}_once AS (SELECT * FROM {out}_all WHERE _id IN (SELECT min(_id) FROM {out}_all GROUP BY ticker, link)),
+{out} AS (SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY extraction_timestamp_utc DESC NULLS LAST, _id DESC) AS rn FROM {out}_once)
+  WHERE rn <= 100 OR ticker NOT IN (SELECT ticker FROM tickers))"""
+
+
+STORED_SOURCES = ("src0", "src1", "src2", "src3", "src4")
+
+
+@add(f"""WITH {ARTICLES}, {TICKERS}, named AS (SELECT * REPLACE (lpad(CAST(_id AS VARCHAR), 12, '0') AS _id) FROM articles),
+known AS (SELECT * FROM named WHERE source IN {STORED_SOURCES}), later AS (SELECT * FROM named WHERE source NOT IN {STORED_SOURCES}),
+{_sql_refresh('first', None, 'known')}, {_sql_refresh('second', 'first', 'later')}, {_sql_refresh('third', 'second', 'later')},
+strings AS (SELECT *, {STRING} AS article_string FROM third), {_sql_scores('article_string') % 'strings'}, {sql_vectors('strings', '_id', 'article_string')},
+found AS (SELECT _id, count(*) AS components, max(v) AS v FROM vec GROUP BY 1)
+SELECT _id, ticker, link, {sql_show('extraction_timestamp_utc')} AS extracted, md5(article_string) AS text_md5,
+  {sql_even('(g + 1) / CAST(n + 3 AS DOUBLE)', 9)} AS positive, components, {sql_even('v', 6)} AS largest FROM counted JOIN found USING (_id)""")
+def article_increments(spark, folder):
+    """The article table after a first load, an increment and the same increment again, each a new version of the buckets
+    that it touches."""
+    full = articles(spark, folder, heavy=True).select(
+        F.lpad(F.col("_id").cast("string"), 12, "0").alias("_id"), "headline", "source", F.lit(None).cast("string").alias("posted"),
+        "description", "link", F.lit(False).alias("synced"), "extraction_timestamp_utc", "ticker",
+        F.lit(None).cast("string").alias("article_string"), F.lit(None).cast("array<float>").alias("article_embedding"),
+        F.lit(None).cast("struct<positive:double,negative:double,neutral:double>").alias("sentiment_score"),
+    )
+    known = F.col("source").isin(*STORED_SOURCES)
+    stored = tables.article_table(run_folder(spark, "articles"), buckets=16)
+    tables.create(spark, stored)
+    scores = partial(enrich.lexicon_scores, positive=GOOD, negative=BAD)
+    for batch in (full.filter(known), full.filter(~known), full.filter(~known)):
+        news.store(spark, batch, stored, tickers(spark, folder), embed(), scores=scores)
+    rows = tables.read(spark, stored)
+    return rows.select(
+        "_id", "ticker", "link", show("extraction_timestamp_utc").alias("extracted"), F.md5("article_string").alias("text_md5"),
+        even(F.col("sentiment_score.positive"), 9).alias("positive"),
+        F.size(F.filter("article_embedding", lambda x: x != 0)).cast("long").alias("components"),
+        even(F.array_max("article_embedding").cast("double"), 6).alias("largest"),
+    )

@@ -4,12 +4,13 @@ expiry and exports.
 A change rewrites only the partitions it touches, in one job: Spark writes the new
 files to a staging folder and replaces the old ones when every task is done, so
 rows read from the same table stay readable - and can be computed again if an
-executor is lost - until then.
+executor is lost - until then. Changes of a whole table, and of the hash buckets
+of a bucketed one, make a new version (see ``versions``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Collection, Iterator, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass
 
@@ -22,6 +23,7 @@ from ..functions.dates import load_stamp
 from ..operators import dml
 from ..operators.filters import in_day
 from ..session import run_folder
+from . import versions
 
 
 @dataclass(frozen=True)
@@ -30,6 +32,9 @@ class Table:
     schema: str
     partitions: tuple[str, ...] = ()
     expire_days: int | None = None
+    #: Rows of a bucketed table are dealt to ``buckets`` folders by the hash of these columns.
+    bucket_by: tuple[str, ...] = ()
+    buckets: int = 64
 
     @property
     def stored_schema(self) -> str:
@@ -42,6 +47,11 @@ def candle_table(path: str) -> Table:
     return Table(path, schemas.CANDLES, ("symbol", "event_date"), expire_days=60)
 
 
+def article_table(path: str, buckets: int = 64) -> Table:
+    """All rules of the article table look at one ticker, so its buckets can be refreshed alone."""
+    return Table(path, schemas.ARTICLES, bucket_by=("ticker",), buckets=buckets)
+
+
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
@@ -62,8 +72,45 @@ def create(spark: SparkSession, table: Table) -> str:
     return "created"
 
 
-def read(spark: SparkSession, table: Table) -> DataFrame:
-    return spark.read.schema(table.stored_schema).parquet(table.path)
+def read(spark: SparkSession, table: Table, buckets: Collection[int] | None = None) -> DataFrame:
+    """The rows of the table, or of some buckets of a bucketed one; other buckets are not even listed."""
+    version, path = versions.latest(spark, table.path), table.path
+    reader = spark.read.schema(table.stored_schema)
+    if version is None:
+        return reader.parquet(path)
+    folders = [f for b, f in version.folders.items() if buckets is None or not b or int(b) in buckets]
+    if not folders:
+        return spark.createDataFrame([], table.stored_schema)
+    return reader.parquet(*[f"{path}/{versions.FOLDER}/{f}" for f in folders])
+
+
+def bucket_of(table: Table) -> Column:
+    return F.pmod(F.xxhash64(*table.bucket_by), F.lit(table.buckets)).cast("int")
+
+
+def replace_buckets(
+    df: DataFrame, table: Table, touched: Collection[int], based_on: versions.Version | None,
+    *, facts: dict[str, Column] | None = None, notes: dict[str, str] | None = None,
+) -> versions.Version:
+    """A new version in which the touched buckets hold the rows of ``df``, all of which belong to them; the files of other
+    buckets stay as they are. ``facts`` are aggregates kept per bucket beside the number of its rows."""
+    spark = df.sparkSession
+    name, folder = versions.new_folder(table.path)
+    names = StructType.fromDDL(table.schema).fieldNames()
+    rows = df.select(*[F.col(f"`{n}`") for n in names], bucket_of(table).alias("_bucket")).hint("rebalance", "_bucket")
+    rows.write.partitionBy("_bucket").parquet(folder)
+    written = spark.read.schema(f"{table.schema}, _bucket int").parquet(folder)
+    counted = {"rows": F.count(F.lit(1)), **(facts or {})}
+    found = written.groupBy("_bucket").agg(*[c.cast("long").alias(n) for n, c in counted.items()]).collect()
+    stray = {r["_bucket"] for r in found} - set(touched)
+    if stray:
+        raise ValueError(f"rows of buckets {sorted(stray)} among those of {sorted(touched)}")
+    kept = {b for b in (based_on.folders if based_on else {}) if int(b) not in touched}
+    folders = {b: based_on.folders[b] for b in kept} | {str(r["_bucket"]): f"{name}/_bucket={r['_bucket']}" for r in found}
+    own = {b: based_on.facts[b] for b in kept} | {str(r["_bucket"]): {n: r[n] for n in counted} for r in found}
+    version = versions.commit(spark, table.path, based_on, folders, own, notes)
+    versions.vacuum(spark, table.path)
+    return version
 
 
 def _with_event_date(df: DataFrame, table: Table, ts: str = "timestamp") -> DataFrame:
@@ -72,7 +119,7 @@ def _with_event_date(df: DataFrame, table: Table, ts: str = "timestamp") -> Data
     return df
 
 
-def _write(df: DataFrame, table: Table, mode: str) -> int:
+def _write(df: DataFrame, table: Table, mode: str, folder: str | None = None) -> int:
     """Write and return the number of rows, counted while writing."""
     from pyspark.sql import Observation
 
@@ -86,12 +133,15 @@ def _write(df: DataFrame, table: Table, mode: str) -> int:
     writer = rows.observe(seen, F.count(F.lit(1)).alias("n")).write.mode(mode)
     if table.partitions:
         writer = writer.option("partitionOverwriteMode", "dynamic").partitionBy(*table.partitions)
-    writer.parquet(table.path)
+    writer.parquet(table.path if folder is None else folder)
     return seen.get["n"]
 
 
 def append(df: DataFrame, table: Table) -> int:
-    return _write(df, table, "append")
+    version = versions.latest(df.sparkSession, table.path)
+    if version is None:
+        return _write(df, table, "append")
+    return _write(df, table, "append", f"{table.path}/{versions.FOLDER}/{version.folders['']}")
 
 
 def append_stamped(df: DataFrame, table: Table, as_of: Column, stamp: str = "date_load_iso_utc") -> int:
@@ -107,21 +157,27 @@ def rewrite(df: DataFrame, table: Table) -> int:
 
 
 def replace(df: DataFrame, table: Table) -> int:
-    """Replace the whole table: written beside it first, then swapped in. The
-    old folder goes last, so that no step leaves less than one whole table."""
-    spark, path = df.sparkSession, table.path.rstrip("/")
-    beside = Table(f"{path}__next", table.schema, table.partitions)
-    written = _write(df, beside, "overwrite")
-    fs, current = _fs(spark, path)
-    (_, new), (_, old) = _fs(spark, beside.path), _fs(spark, f"{path}__old")
-    fs.delete(old, True)
-    for source, target in ((current, old), (new, current)):
-        if fs.exists(source) and not fs.rename(source, target):
-            raise OSError(f"could not rename {source} to {target}")
-    fs.delete(old, True)
+    """Replace the whole table by a new version; ``df`` may come from the table
+    itself. A stop at any step leaves the version before."""
+    spark = df.sparkSession
+    based_on = versions.latest(spark, table.path)
+    name, folder = versions.new_folder(table.path)
+    written = _write(df, table, "errorifexists", folder)
+    versions.commit(spark, table.path, based_on, {"": name})
+    versions.vacuum(spark, table.path)
+    if based_on is None:
+        _drop_first_files(spark, table)
     return written
 
 
+def _drop_first_files(spark: SparkSession, table: Table) -> None:
+    """Files written before the table had versions; no version names them."""
+    fs, path = _fs(spark, table.path)
+    for status in fs.listStatus(path):
+        if status.getPath().getName() != versions.FOLDER:
+            fs.delete(status.getPath(), True)
+
+
 @contextmanager
 def staged(df: DataFrame, purpose: str) -> Iterator[DataFrame]:
     """An expensive intermediate result, written once to the shared folder and

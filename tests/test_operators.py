@@ -453,3 +453,16 @@ def test_nearest_takes_text_ids_and_zero_vectors(spark):
     got = vectors.nearest(corpus, queries, 2, row_id="id", vector="v", dim=2)
     found = sorted((r["query_id"], r["id"], r["score"]) for r in got.collect())
     assert found == [("b", "a", 1.0), ("b", "b", 1.0), ("z", "a", 0.0), ("z", "b", 0.0)]
+
+
+def test_native_vectors_equal_the_plug_in(spark):
+    import random
+
+    rng = random.Random(1)
+    texts = ["", None, "  ", "a", "a b a", "Hello World hello 　x"]
+    texts += [" ".join(rng.choice("abcdefghijklmnop") * rng.randint(1, 3) for _ in range(rng.randint(1, 300))) for _ in range(40)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for dim in (1, 7, 64):
+        plug_in = enrich.vectorize(lambda dim=dim: enrich.HashingEmbedder(dim))
+        got = rows.select("i", enrich.hashed_vectors(dim)("t").alias("a"), plug_in("t").alias("b")).collect()
+        assert all(r.a == r.b for r in got)

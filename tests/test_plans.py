@@ -6,10 +6,13 @@ import re
 import pytest
 
 import __spark_entry__ as entry
+from marketloom import schemas
+from marketloom.operators import enrich
+from marketloom.plans import news
 
 FOLDER = "/root/testdata/sf0.001"
 # These run jobs while they are built and return a plain scan of their output.
-RUN_WHEN_BUILT = {"candle_table_load", "market_cap_table_load", "day_backup", "series_csv_export"}
+RUN_WHEN_BUILT = {"article_increments", "candle_table_load", "market_cap_table_load", "day_backup", "series_csv_export"}
 NAMES = sorted(n for n in entry.queries() if n not in RUN_WHEN_BUILT and not n.startswith("streaming"))
 
 
@@ -28,8 +31,17 @@ def test_plan(spark, name):
 
 
 def test_model_is_called_once_per_text(spark):
-    assert plan(entry.queries()["article_embeddings"](spark, FOLDER)).count("ArrowEvalPython") == 1
-    assert plan(entry.queries()["news_refresh"](spark, FOLDER)).count("ArrowEvalPython") == 1
+    rows = spark.createDataFrame([], schemas.ARTICLES)
+    embed = enrich.vectorize(lambda: enrich.HashingEmbedder(8))
+    mapping = spark.createDataFrame([("a",)], "ticker string")
+    assert plan(news.refresh(rows, rows, mapping, embed)).count("ArrowEvalPython") == 1
+    assert plan(enrich.embed_missing(rows, "article_string", "article_embedding", embed)).count("ArrowEvalPython") == 1
+
+
+@pytest.mark.parametrize("name", ["article_embeddings", "news_refresh", "embeddings_recreated"])
+def test_default_vectors_need_no_python(spark, name):
+    text = plan(entry.queries()[name](spark, FOLDER))
+    assert "Python" not in text and "Arrow" not in text
 
 
 def test_filters_and_columns_reach_the_scan(spark):
