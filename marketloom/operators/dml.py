@@ -119,16 +119,21 @@ def symbol_sources(
     from partition values alone.
     """
     day = F.to_date(ts) if stored_day is None else F.col(stored_day)
-    have = incoming.groupBy(key).agg(F.lit(True).alias("_have"))
-    last = stored.groupBy(key).agg(F.max(day).alias("_day"))
-    saved = backup.groupBy(key).agg(F.lit(True).alias("_saved"))
+    tagged = (
+        incoming.select(key, F.lit("incoming").alias("_tag"), F.lit(None).cast("string").alias("_on"))
+        .unionByName(stored.select(key, F.lit("stored").alias("_tag"), day.cast("string").alias("_on")))
+        .unionByName(backup.select(key, F.lit("backup").alias("_tag"), F.lit(None).cast("string").alias("_on")))
+    )
+    found = tagged.groupBy(key).agg(
+        F.count_if(F.col("_tag") == "incoming").alias("_have"), F.max("_on").alias("_day"), F.count_if(F.col("_tag") == "backup").alias("_saved")
+    )
     used = (
-        F.when(F.col("_have").isNotNull(), "incoming")
+        F.when(F.col("_have") > 0, "incoming")
         .when(F.col("_day").isNotNull(), "last_day")
-        .when(F.col("_saved").isNotNull(), "backup")
+        .when(F.col("_saved") > 0, "backup")
         .otherwise("failed")
     )
-    known = universe.select(key).distinct().join(have, key, "left").join(last, key, "left").join(saved, key, "left")
+    known = universe.select(key).distinct().join(found, key, "left")
     return known.select(key, "_day", used.alias("source_used"))
 
 
@@ -141,17 +146,18 @@ def fill_missing_symbols(
     moved to ``day``. Also returns the symbols nothing was found for."""
     columns = incoming.columns
     sources = symbol_sources(universe, incoming, stored, backup, key=key, ts=ts, stored_day=stored_day)
-
-    def of(kind: str) -> DataFrame:
-        return sources.filter(F.col("source_used") == kind)
-
-    def moved(df: DataFrame, kind: str) -> DataFrame:
-        return df.select(*columns).withColumn(ts, redate(F.col(ts), day)).withColumn("source_used", F.lit(kind))
-
-    dated = stored.withColumn("_day", F.to_date(ts) if stored_day is None else F.col(stored_day))
-    rows = (
-        incoming.withColumn("source_used", F.lit("incoming"))
-        .unionByName(moved(dated.join(of("last_day"), [key, "_day"], "left_semi"), "last_day"))
-        .unionByName(moved(backup.join(of("backup"), key, "left_semi"), "backup"))
-    )
-    return rows, of("failed").select(key)
+    held = F.to_date(ts) if stored_day is None else F.col(stored_day)
+
+    def tagged(df: DataFrame, tag: str, on: Column | None) -> DataFrame:
+        return df.select(*columns, F.lit(tag).alias("_tag"), (F.lit(None) if on is None else on).cast("string").alias("_held"))
+
+    # One tagged union, joined once: each input is read for its days and for its rows, whatever fills a symbol.
+    rows = tagged(incoming, "incoming", None).unionByName(tagged(stored, "last_day", held)).unionByName(tagged(backup, "backup", None))
+    used = sources.select(F.col(key).alias("_key"), F.col("_day").cast("string").alias("_last"), "source_used")
+    met = (F.col(key) == F.col("_key")) & (F.col("_tag") == F.col("source_used"))
+    met = met & ((F.col("_tag") != "last_day") | (F.col("_held") == F.col("_last")))
+    moved = F.when(F.col("_tag") == "incoming", F.col(ts)).otherwise(redate(F.col(ts), day))
+    listed = rows.join(used, met).withColumn(ts, moved).select(*columns, "source_used")
+    # Incoming rows of symbols outside the universe are loaded as well.
+    others = incoming.join(universe.select(key).distinct(), key, "left_anti").select(*columns).withColumn("source_used", F.lit("incoming"))
+    return listed.unionByName(others), sources.filter("source_used = 'failed'").select(key)

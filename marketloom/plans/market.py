@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import symbols
+from ..functions.dates import load_date_status, range_status
 from ..operators import aggregates, dml
+from ..operators.carry import NEWEST, carried_rows, plan_days
 from ..operators.filters import in_day
 from ..sources import readers, tables
 
@@ -95,19 +97,84 @@ def _load(spark, incoming, table, listed, normalize, day, as_of, symbol, backup)
 def backfill(
     spark: SparkSession, incoming: DataFrame, table: tables.Table, start: str, end: str, as_of: str
 ) -> int:
-    """All days of an inclusive range in one job; a reversed range is empty."""
+    """All days of an inclusive range that have rows, in one job; a reversed range is empty."""
     moment = F.lit(as_of).cast("timestamp")
-    _require_past(spark, start, moment)
-    if start > end:
+    if not _checked_range(spark, start, end, moment):
         return 0
-    day = F.date_format("timestamp", "yyyyMMdd")
-    wanted = incoming.filter(day.between(start, end) & (F.to_date("timestamp") < F.to_date(moment)))
-    return tables.load_days(spark, wanted, table, moment, days="all")
+    return tables.load_days(spark, _inside(incoming, start, end, moment), table, moment, days="all")
 
 
-def _require_past(spark: SparkSession, day: str, as_of: Column) -> None:
-    from ..functions.dates import load_date_status
+def backfill_days(
+    spark: SparkSession, incoming: DataFrame, table: tables.Table, universe: DataFrame, start: str, end: str, as_of: str,
+    *, backup: str | None = None, clean: bool = True, carry: str = NEWEST,
+) -> dict:
+    """Every day of an inclusive range for every symbol of the universe, in one job.
+
+    A symbol's day without incoming rows is filled as ``carry.plan_days`` says; by default the table ends up as after one
+    day load after the other. Days that are not in the past are left out. Landed rows are read once; of the stored table
+    only the days that are carried are read. Retention is applied once, after the last day. Returns the rows written, the
+    (symbol, day) pairs by what filled them, and the symbols that nothing was found for on some day.
+    """
+    moment = F.lit(as_of).cast("timestamp")
+    nothing = {"inserted": 0, "expired_folders": 0, "days": {}, "failed": []}
+    if not _checked_range(spark, start, end, moment):
+        return nothing
+    first = F.to_date(F.lit(start), "yyyyMMdd")
+    last = F.least(F.to_date(F.lit(end), "yyyyMMdd"), F.date_sub(F.to_date(moment), 1))
+    mapped = universe.select("symbol").distinct()
+    wanted = _inside(incoming, start, end, moment).join(mapped, "symbol", "left_semi").select(*incoming.columns)
+    saved = tables.read_backup(spark, backup) if backup else incoming.limit(0)
+    with tables.staged(wanted, "incoming") as rows, tables.staged(saved, "saved") as kept:
+        days = rows.select("symbol", F.to_date("timestamp").alias("day")).distinct()
+        planned = plan_days(mapped, first, last, days, tables.stored_days(spark, table), kept.select("symbol").distinct(), carry=carry)
+        with tables.staged(planned, "plan") as plan:
+            counts = {r.source_used: r["count"] for r in plan.groupBy("source_used").count().collect()}
+            # Names of the configured universe, not of rows.
+            failed = sorted(r.symbol for r in plan.filter("source_used = 'failed'").select("symbol").distinct().collect())
+            moved = carried_rows(plan, rows, tables.read(spark, table), kept, stored_day="event_date")
+            written = tables.load_days(spark, moved, table, moment, days="all")
+    removed = tables.expire_days(spark, table, universe, as_of) if clean and written else 0
+    return {"inserted": written, "expired_folders": removed, "days": counts, "failed": failed}
 
+
+def backfill_exchange(spark: SparkSession, landed: str, table: tables.Table, start: str, end: str, as_of: str, *, symbol: str | None = None, config: dict[str, str] | None = None, **options) -> dict:
+    """Landed exchange files of a range of days: all configured symbols, or one."""
+    incoming = exchange_candles(readers.read_ohlcv(spark, landed))
+    listed = readers.traded_symbols(readers.universe(spark, config), crypto=False)
+    return _backfill(spark, incoming, table, listed, symbols.normalize_caret, start, end, as_of, symbol, options)
+
+
+def backfill_crypto(spark: SparkSession, landed: str, table: tables.Table, start: str, end: str, as_of: str, *, symbol: str | None = None, config: dict[str, str] | None = None, **options) -> dict:
+    """Landed kline files of a range of days: all configured symbols, or one."""
+    incoming = crypto_candles(readers.read_klines(spark, landed))
+    listed = readers.traded_symbols(readers.universe(spark, config), crypto=True)
+    return _backfill(spark, incoming, table, listed, symbols.normalize_usdt, start, end, as_of, symbol, options)
+
+
+def _backfill(spark, incoming, table, listed, normalize, start, end, as_of, symbol, options) -> dict:
+    if symbol is not None:
+        listed = spark.range(1).select(normalize(F.lit(symbol)).alias("symbol"))
+    # The clean-up belongs to the all-symbols form only.
+    return backfill_days(spark, incoming, table, listed, start, end, as_of, **{"clean": symbol is None, **options})
+
+
+def _inside(incoming: DataFrame, start: str, end: str, as_of: Column) -> DataFrame:
+    """Rows of the range's days that are in the past, by bounds on the time itself."""
+    after = F.to_date(F.lit(end), "yyyyMMdd") + F.expr("INTERVAL 1 DAY")
+    ts = F.col("timestamp")
+    return incoming.filter((ts >= F.to_timestamp(F.lit(start), "yyyyMMdd")) & (ts < after.cast("timestamp")) & (ts < F.date_trunc("day", as_of)))
+
+
+def _checked_range(spark: SparkSession, start: str, end: str, as_of: Column) -> bool:
+    """Whether there is a day to load; raises for keys that are no dates and for a start that is not in the past."""
+    status = spark.range(1).select(range_status(F.lit(start), F.lit(end), order_matters=False)).first()[0]
+    if status not in ("ok", "empty range"):
+        raise ValueError(f"backfill range {start} to {end}: {status}")
+    _require_past(spark, start, as_of)
+    return status == "ok"
+
+
+def _require_past(spark: SparkSession, day: str, as_of: Column) -> None:
     status = spark.range(1).select(load_date_status(F.lit(day), as_of)).first()[0]
     if status != "ok":
         raise ValueError(f"load date {day}: {status}")

@@ -279,6 +279,47 @@ def missing_symbol_fallback(spark, folder):
     return shown(rows.unionByName(missing, allowMissingColumns=True), "source_used")
 
 
+# Stored: days before the 20th, and VIX on the 27th; landed: SPY and FDUSD on every day, BTC on every third one.
+BACKFILL = f"""
+stored AS (SELECT *, CAST("timestamp" AS DATE) AS d FROM candles WHERE CAST("timestamp" AS DATE) < CASE symbol WHEN 'GLD' THEN DATE '2024-01-15' ELSE DATE '2024-01-20' END
+  AND symbol NOT IN ('FDUSD', 'VIX') OR symbol = 'VIX' AND CAST("timestamp" AS DATE) = DATE '2024-01-27'),
+landed AS (SELECT *, CAST("timestamp" AS DATE) AS d FROM candles WHERE CAST("timestamp" AS DATE) BETWEEN DATE '2024-01-20' AND DATE '2024-01-29'
+  AND (symbol IN ('SPY', 'FDUSD') OR symbol = 'BTC' AND day("timestamp") % 3 = 0)),
+backup AS (SELECT 'QQQ' AS symbol, * EXCLUDE symbol FROM candles WHERE symbol = 'SPY' AND CAST("timestamp" AS DATE) = DATE '2024-01-03'),
+spine AS (SELECT symbol, CAST(d AS DATE) AS d FROM (SELECT DISTINCT symbol FROM candles UNION ALL VALUES ('QQQ'), ('USO')),
+  (SELECT unnest(range(DATE '2024-01-20', DATE '2024-01-30', INTERVAL 1 DAY)) AS d)),
+found AS (SELECT s.*, (SELECT max(x.d) FROM stored x WHERE x.symbol = s.symbol) AS newest, (SELECT max(x.d) FROM landed x WHERE x.symbol = s.symbol AND x.d <= s.d) AS came FROM spine s),
+picked AS (SELECT *, CASE WHEN came = d THEN 'incoming' WHEN newest >= d THEN 'stored' WHEN came >= coalesce(newest, came) THEN 'incoming'
+  WHEN newest IS NOT NULL THEN 'stored' WHEN symbol IN (SELECT symbol FROM backup) THEN 'backup' ELSE 'failed' END AS used FROM found),
+loaded AS (
+  SELECT l.* REPLACE (p.d + (l."timestamp" - date_trunc('day', l."timestamp")) AS "timestamp", p.d AS d) FROM picked p JOIN landed l ON used = 'incoming' AND l.symbol = p.symbol AND l.d = p.came
+  UNION ALL BY NAME SELECT x.* REPLACE (p.d + (x."timestamp" - date_trunc('day', x."timestamp")) AS "timestamp", p.d AS d) FROM picked p JOIN stored x ON used = 'stored' AND x.symbol = p.symbol AND x.d = p.newest
+  UNION ALL BY NAME SELECT b.* REPLACE (p.d + (b."timestamp" - date_trunc('day', b."timestamp")) AS "timestamp"), p.d AS d FROM picked p JOIN backup b ON used = 'backup' AND b.symbol = p.symbol),
+table_rows AS (
+  SELECT *, '20240201000000' AS date_load_iso_utc FROM loaded
+  UNION ALL BY NAME SELECT *, '20240101000000' AS date_load_iso_utc FROM stored s WHERE NOT EXISTS (SELECT 1 FROM picked p WHERE p.symbol = s.symbol AND p.d = s.d AND used <> 'failed'))"""
+
+
+@add(f"""WITH {CANDLES}, {BACKFILL} SELECT {SHOWN}, date_load_iso_utc FROM table_rows""")
+def candle_backfill(spark, folder):
+    """Ten days of all symbols: landed rows, days carried forward from landed and stored ones, a backup, and a symbol that
+    has nothing."""
+    candles = hourly(spark, folder)
+    day, symbol = F.to_date("timestamp"), F.col("symbol")
+    until = F.when(symbol == "GLD", F.lit("2024-01-15")).otherwise(F.lit("2024-01-20")).cast("date")
+    stored = candles.filter(((day < until) & ~symbol.isin("FDUSD", "VIX")) | ((symbol == "VIX") & (day == F.lit("2024-01-27").cast("date"))))
+    landed = candles.filter(day.between(F.lit("2024-01-20").cast("date"), F.lit("2024-01-29").cast("date")))
+    landed = landed.filter(symbol.isin("SPY", "FDUSD") | ((symbol == "BTC") & (F.day("timestamp") % 3 == 0)))
+    saved, day_saved = run_folder(spark, "saved"), F.lit("2024-01-03").cast("date")
+    tables.backup_day(candles.filter(symbol == "SPY").withColumn("symbol", F.lit("QQQ")), None, day_saved, saved)
+    kept = tables.candle_table(run_folder(spark, "backfilled"))
+    tables.create(spark, kept)
+    tables.append_stamped(stored, kept, F.lit("2024-01-01").cast("timestamp"))
+    universe = setops.symbol_union(candles.select("symbol"), spark.createDataFrame([("QQQ",), ("USO",)], "symbol string"))
+    market.backfill_days(spark, landed, kept, universe, "20240120", "20240129", "2024-02-01", backup=saved)
+    return shown(tables.read(spark, kept), "date_load_iso_utc")
+
+
 @add(f"""WITH {CANDLES} SELECT {SHOWN} FROM candles WHERE CAST("timestamp" AS DATE) = DATE '2024-01-21' """)
 def day_backup(spark, folder):
     """One UTC day written as JSON per symbol and read back."""

@@ -88,6 +88,14 @@ def bucket_of(table: Table) -> Column:
     return F.pmod(F.xxhash64(*table.bucket_by), F.lit(table.buckets)).cast("int")
 
 
+def stored_days(spark: SparkSession, table: Table) -> DataFrame:
+    """(symbol, day) of the stored days of a table partitioned by them, from the listing of its files; no file is opened."""
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(table.path)
+    if not set(table.partitions) <= set(listed.columns):  # no file yet
+        return spark.createDataFrame([], "symbol string, day date")
+    return listed.filter("length > 0").select("symbol", F.to_date("event_date").alias("day")).distinct()
+
+
 def replace_buckets(
     df: DataFrame, table: Table, touched: Collection[int], based_on: versions.Version | None,
     *, facts: dict[str, Column] | None = None, notes: dict[str, str] | None = None,
@@ -119,18 +127,19 @@ def _with_event_date(df: DataFrame, table: Table, ts: str = "timestamp") -> Data
     return df
 
 
-def _write(df: DataFrame, table: Table, mode: str, folder: str | None = None) -> int:
-    """Write and return the number of rows, counted while writing."""
+def _write(df: DataFrame, table: Table, mode: str, folder: str | None = None, counted: Column | None = None) -> int:
+    """Write and return the number of rows (of those ``counted`` is true for), counted while writing."""
     from pyspark.sql import Observation
 
     seen = Observation()
     names = StructType.fromDDL(table.stored_schema).fieldNames()
-    rows = _with_event_date(df, table).select(*[F.col(f"`{n}`") for n in names])
+    many = F.count(F.lit(1)) if counted is None else F.count_if(counted)
+    rows = _with_event_date(df, table).observe(seen, many.alias("n")).select(*[F.col(f"`{n}`") for n in names])
     if table.partitions:
         # One shuffle on the partition columns; large partitions are split again
         # by the adaptive rebalance, so a hot symbol is written by many tasks.
         rows = rows.hint("rebalance", *table.partitions)
-    writer = rows.observe(seen, F.count(F.lit(1)).alias("n")).write.mode(mode)
+    writer = rows.write.mode(mode)
     if table.partitions:
         writer = writer.option("partitionOverwriteMode", "dynamic").partitionBy(*table.partitions)
     writer.parquet(table.path if folder is None else folder)
@@ -195,9 +204,9 @@ def staged(df: DataFrame, purpose: str) -> Iterator[DataFrame]:
 def load_days(spark: SparkSession, incoming: DataFrame, table: Table, as_of: Column, *, days: str = "first") -> int:
     """Replace-day load into a candle table; touches only incoming partitions.
 
-    Days beyond a symbol's first are appended under ``days="first"``. They are
-    written before the first day is replaced, as incoming rows may have been
-    recovered from the table.
+    Days beyond a symbol's first are appended to under ``days="first"``, by writing
+    what they hold with the incoming rows. All is one overwrite, so a load that was
+    stopped has changed nothing.
     """
     stamped = incoming.select(*schemas.CANDLE_COLUMNS).withColumn("date_load_iso_utc", load_stamp(as_of))
     stamped = _with_event_date(stamped, table)
@@ -205,8 +214,10 @@ def load_days(spark: SparkSession, incoming: DataFrame, table: Table, as_of: Col
         return _write(stamped, table, "overwrite")
     keys = ["symbol", "event_date"]
     first_days = stamped.groupBy("symbol").agg(F.min("event_date").alias("event_date"))
-    later = _write(stamped.join(first_days, keys, "left_anti"), table, "append")
-    return later + _write(stamped.join(first_days, keys, "left_semi"), table, "overwrite")
+    later = stamped.join(first_days, keys, "left_anti").select(*keys).distinct()
+    kept = read(spark, table).join(later, keys, "left_semi")
+    rows = stamped.withColumn("_kept", F.lit(False)).unionByName(kept.withColumn("_kept", F.lit(True)), allowMissingColumns=True)
+    return _write(rows, table, "overwrite", counted=~F.col("_kept"))
 
 
 def merge_days(spark: SparkSession, incoming: DataFrame, table: Table, as_of: Column) -> int:
