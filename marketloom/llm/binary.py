@@ -182,11 +182,16 @@ def write_shards(docs: DataFrame, parts: int | None = None, vocabulary: str = VO
 def read_shards(written: Shards) -> DataFrame:
     """Every document of the shards, found through the index: doc_id, start, n_tokens, ids_crc32.
 
-    ``start`` counts the ids of all documents before it; only one row per shard is summed up in order.
+    ``start`` counts the ids of all documents before it: those of the shards before it in its part, and those of the parts
+    before its own, of which there is one row each.
     """
     shards = written.table
-    before = Window.orderBy("part", "block").rowsBetween(Window.unboundedPreceding, -1)
-    base = shards.select("part", "block", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
+    totals = staged(shards.groupBy("part").agg(F.sum("n_ids").alias("ids"), F.lit(0).alias("all")), "totals")
+    earlier = Window.partitionBy("all").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = totals.select("part", F.coalesce(F.sum("ids").over(earlier), F.lit(0)).alias("low"))
+    before = Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    inner = shards.select("part", "block", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("inner"))
+    base = inner.join(parts, "part").select("part", "block", (F.col("inner") + F.col("low")).alias("base"))
 
     def scan(batches):
         for batch in batches:

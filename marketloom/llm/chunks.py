@@ -41,7 +41,9 @@ def boundaries(data: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> np.nd
     if (parts > 1).any():
         nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
         starts = np.repeat(starts, parts) + nth * MAX_CHUNK
-    return starts
+    for _ in range(3):  # to the next byte that begins a character
+        starts = starts + (data[np.minimum(starts, len(data) - 1)] & 0xC0 == 0x80) if len(data) else starts
+    return np.unique(starts[starts < len(data)])
 
 
 def digests(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -116,7 +118,7 @@ def report(docs: DataFrame, bits: int = BITS, min_run: int = MIN_RUN) -> DataFra
 
 
 def remove(docs: DataFrame, bits: int = BITS, min_run: int = MIN_RUN) -> DataFrame:
-    """The documents without their repeated passages (bytes that no longer form a character become U+FFFD)."""
+    """The documents without their repeated passages; chunks begin and end with whole characters."""
 
     def cut(text, spans):
         if text is None or spans is None:
@@ -125,13 +127,16 @@ def remove(docs: DataFrame, bits: int = BITS, min_run: int = MIN_RUN) -> DataFra
         for s in spans:
             out.append(data[at : s["begin"]])
             at = s["end"]
-        return b"".join([*out, data[at:]]).decode("utf-8", "replace")
+        return b"".join([*out, data[at:]]).decode()
 
     def apply(texts, spans):
         return texts.combine(spans, cut)
 
-    joined = docs.join(repeats(docs, bits, min_run).withColumnRenamed("spans", "_spans"), "doc_id", "left")
-    return joined.withColumn("text", F.pandas_udf(apply, "string")("text", "_spans")).select(*docs.columns)
+    found = repeats(docs, bits, min_run).select(F.col("doc_id").alias("_doc"), F.col("spans").alias("_found"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.struct(*docs.columns).alias("_row"))
+    joined = rows.join(found, F.col("_id") == F.col("_doc"), "left")
+    text = F.pandas_udf(apply, "string")(F.col("_row.text"), "_found").alias("text")
+    return joined.select(*[text if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns])
 
 
 def op3_chunks(spark, folder: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import staged
+from .shared import removed, staged
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -23,6 +23,9 @@ def components(links: DataFrame) -> DataFrame:
         new = labels.join(near, F.col("doc") == F.col("u"), "left").select("doc", F.col("comp").alias("old"), F.least("comp", "near").alias("to"))
         jump = labels.select(F.col("doc").alias("to"), F.col("comp").alias("far"))
         new = staged(new.join(jump, "to", "left").select("doc", "old", F.least("to", F.coalesce("far", "to")).alias("comp")), "labels")
+        removed(labels)
         labels = new.select("doc", "comp")
+        labels.staged_path = new.staged_path
         if new.where("old <> comp").isEmpty():
+            removed(both)
             return labels

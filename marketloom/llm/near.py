@@ -6,12 +6,16 @@ then (2, 4], (4, 8] and so on; the last stretch is split by halves down to the w
 below it. A point lowers one value of the signature, and a process stops when it is later than the largest value. Two
 signatures agree in a value with the probability of the similarity, without bias.
 
-Texts of equal shingle multisets are one from the start. Documents that agree in a band of values meet in a bucket; within
-a bucket every document is compared with one hub; those outside the largest class that results are compared, in blocks,
-with all members of other classes, so that no link between two texts of a bucket is lost. Each comparison is exact.
+Texts of equal shingle multisets are one from the start, and named by their digest (``same``) from then on. Texts that agree
+in a band of values meet in a bucket; buckets of the same members are one. Within a bucket every text is compared with one
+hub; those outside the largest class that results are compared with all members of other classes, so that no link between
+two texts of a bucket is lost. For that they do not send their shingles: the numbers of shingles in ``BINS`` hash bins bound
+the overlap of two texts from above, and only pairs whose bound reaches the threshold are read and compared. Every link is
+verified by the exact overlap.
 
 Defined results: a text without words (or null) is in a class of its own; a text of fewer than five words is one shingle;
-repeated rows share their class; a null doc_id has a null class; other columns are dropped; an empty table gives no rows.
+repeated rows share their class; rows that share a doc_id and differ in their texts are classed each by its text; a null
+doc_id has a null class; other columns are dropped; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,13 +29,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import mix, shingle_hashes, staged, steps, text_bytes, texts_of, word_hashes
+from .shared import mix, removed, shingle_hashes, staged, steps, text_bytes, texts_of, word_hashes
 
 WORDS = 5
 SIMILAR = 0.8
 #: 24 bands of 5 values: a pair of similarity 0.8 is missed with a chance of 7e-5.
 BANDS, ROWS = 24, 5
 STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Hash bins in which the shingles of a text are counted.
+BINS = 256
 
 
 def bags(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -97,8 +103,24 @@ def tokens_of(owner: np.ndarray, element: np.ndarray, times: np.ndarray) -> tupl
         return owner[which], mix(element[which] + nth * STEP)
 
 
+def _same(element: np.ndarray, times: np.ndarray, bound: np.ndarray) -> list[bytes | None]:
+    """Digest of each multiset, None for an empty one."""
+    return [
+        hashlib.blake2b(element[a:b].tobytes() + times[a:b].tobytes(), digest_size=16).digest() if b > a else None
+        for a, b in zip(bound[:-1].tolist(), bound[1:].tolist())
+    ]
+
+
+def _bins(owner: np.ndarray, element: np.ndarray, times: np.ndarray, n: int) -> list[bytes]:
+    """Shingles of each text in each bin, as 16-bit numbers; the largest of these stands for itself and more."""
+    at = owner * BINS + (element >> np.uint64(32)).astype(np.int64) % BINS
+    counts = np.bincount(at, weights=times, minlength=n * BINS)
+    return [row.tobytes() for row in np.minimum(counts, 65535).astype("<u2").reshape(n, BINS)]
+
+
 def prints(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, same, bands): ``same`` is equal for texts of equal shingle multisets, null for a text without words."""
+    """(doc_id, same, size, bins, bands): ``same`` is equal for texts of equal shingle multisets, null for a text without
+    words; ``size`` and ``bins`` count its shingles."""
 
     def scan(batches):
         for whole in batches:
@@ -106,29 +128,31 @@ def prints(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
                 owner, element, times = bags(batch, k)
                 n = batch.num_rows
                 keys = band_keys(signatures(owner, element, times, n, bands * rows), bands, rows)
-                bound = np.searchsorted(owner, np.arange(n + 1))
-                same = [
-                    hashlib.blake2b(element[a:b].tobytes() + times[a:b].tobytes(), digest_size=16).digest() if b > a else None
-                    for a, b in zip(bound[:-1].tolist(), bound[1:].tolist())
-                ]
+                same = _same(element, times, np.searchsorted(owner, np.arange(n + 1)))
+                size = np.bincount(owner, weights=times, minlength=n).astype(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * bands, pa.int32()), pa.array(keys.reshape(-1)))
-                yield pa.record_batch([batch.column("doc_id"), pa.array(same, pa.binary()), lists], names=["doc_id", "same", "bands"])
+                yield pa.record_batch(
+                    [batch.column("doc_id"), pa.array(same, pa.binary()), pa.array(size), pa.array(_bins(owner, element, times, n), pa.binary()), lists],
+                    names=["doc_id", "same", "size", "bins", "bands"],
+                )
 
-    return texts_of(docs, "doc_id").mapInArrow(scan, "doc_id long, same binary, bands array<long>")
+    return texts_of(docs, "doc_id").mapInArrow(scan, "doc_id long, same binary, size long, bins binary, bands array<long>")
 
 
 def token_sets(docs: DataFrame, k: int) -> DataFrame:
-    """(doc, tokens): the shingle multiset of each document as a set of 64-bit hashes."""
+    """(same, tokens): the shingle multiset of each text that has words, as a set of 64-bit hashes."""
 
     def scan(batches):
         for whole in batches:
             for batch in steps(whole):
-                owner, token = tokens_of(*bags(batch, k))
+                owner, element, times = bags(batch, k)
+                same = _same(element, times, np.searchsorted(owner, np.arange(batch.num_rows + 1)))
+                owner, token = tokens_of(owner, element, times)
                 bound = np.searchsorted(owner, np.arange(batch.num_rows + 1))
                 lists = pa.ListArray.from_arrays(pa.array(bound, pa.int32()), pa.array(token.view(np.int64)))
-                yield pa.record_batch([batch.column("doc_id"), lists], names=["doc", "tokens"])
+                yield pa.record_batch([pa.array(same, pa.binary()), lists], names=["same", "tokens"])
 
-    return texts_of(docs, "doc_id").mapInArrow(scan, "doc long, tokens array<long>")
+    return texts_of(docs, "doc_id").mapInArrow(scan, "same binary, tokens array<long>").where("same is not null")
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -136,111 +160,153 @@ def similarity(a: Column, b: Column) -> Column:
     return shared / (F.size(a) + F.size(b) - shared)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, k: int, similar: float) -> DataFrame:
-    """The pairs (a, b) whose multiset overlap reaches ``similar``; only texts of the pairs are read into sets."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    # one row per document, should a doc_id repeat
-    sets = staged(token_sets(docs.select("doc_id", "text").join(asked, "doc_id", "left_semi"), k).dropDuplicates(["doc"]), "tokens")
-    left = sets.select(F.col("doc").alias("a"), F.col("tokens").alias("of_a"))
-    right = sets.select(F.col("doc").alias("b"), F.col("tokens").alias("of_b"))
-    return pairs.join(right, "b").join(left, "a").where(similarity(F.col("of_a"), F.col("of_b")) >= similar).select("a", "b")
+def verified(pairs: DataFrame, first: DataFrame, docs: DataFrame, k: int, similar: float) -> DataFrame:
+    """The pairs (a, b) of texts whose multiset overlap reaches ``similar``; only texts of the pairs are made into sets."""
+    asked = staged(pairs.select(F.explode(F.array("a", "b")).alias("same")).distinct(), "asked")
+    ids = first.join(asked, "same").select(F.col("doc").alias("doc_id")).distinct()
+    # A doc_id may bring other texts as well.
+    sets = token_sets(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), k).dropDuplicates(["same"])
+    sets = staged(sets.join(asked, "same", "left_semi"), "tokens")
+    left = sets.select(F.col("same").alias("a"), F.col("tokens").alias("of_a"))
+    right = sets.select(F.col("same").alias("b"), F.col("tokens").alias("of_b"))
+    found = staged(pairs.join(right, "b").join(left, "a").where(similarity(F.col("of_a"), F.col("of_b")) >= similar).select("a", "b"), "verified")
+    removed(asked, sets)
+    return found
 
 
-def classes(docs: DataFrame, k: int = WORDS, similar: float = SIMILAR, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row per document: doc_id, class_id (the smallest doc_id of its class)."""
+def _classed(docs: DataFrame, k: int, similar: float, bands: int, rows: int) -> DataFrame:
+    """Per row of ``docs``: doc_id, same, class_id, and ``head``, the digest of the text that stands for its class."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = staged(prints(docs, k, bands, rows), "prints")
     known = found.where("doc_id is not null and same is not null")
     first = staged(known.groupBy("same").agg(F.min("doc_id").alias("doc")), "same")
-    heads = known.join(first, (known["same"] == first["same"]) & (known["doc_id"] == first["doc"]), "left_semi")
-    met = heads.select(F.explode("bands").alias("key"), F.col("doc_id").alias("doc")).distinct()
-    full = met.groupBy("key").agg(F.min("doc").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    members = staged(met.join(full, "key").select("key", "doc", "hub"), "buckets")
-
-    pairs = staged(members.where("doc <> hub").select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct(), "pairs")
-    links = staged(verified(pairs, docs, k, similar), "verified")
+    heads = known.join(first.withColumnRenamed("same", "_same"), (known["same"] == F.col("_same")) & (known["doc_id"] == F.col("doc")), "left_semi")
+    met = staged(heads.select(F.explode("bands").alias("key"), "same").distinct(), "met")
+    # Copies of one text meet in the same company in most bands; one bucket of equal members is enough.
+    members = (F.bit_xor(F.xxhash64("same")), F.bit_xor(F.xxhash64(F.lit(1), "same")))
+    full = met.groupBy("key").agg(F.min("same").alias("hub"), F.count("*").alias("n"), members[0].alias("x"), members[1].alias("y")).where("n > 1")
+    full = full.groupBy("hub", "n", "x", "y").agg(F.min("key").alias("key")).select("key", "hub")
+    members = staged(met.join(full, "key").select("key", "same", "hub"), "buckets")
+    removed(met)
+
+    pairs = staged(members.where("same <> hub").select(F.col("hub").alias("a"), F.col("same").alias("b")).distinct(), "pairs")
+    links = verified(pairs, first, docs, k, similar)
     comp = components(links)
     left = staged(_open_buckets(members, comp), "open")
+    removed(pairs, members)
     if not left.isEmpty():
-        links = links.unionByName(staged(open_links(left, docs, k, similar), "verified"))
+        counted = known.select("same", "size", "bins").dropDuplicates(["same"])
+        near = staged(may_link(left, counted, similar), "near")
+        links = links.unionByName(verified(near, first, docs, k, similar))
         comp = components(links)
+        removed(near)
+    removed(left)
 
-    comp = comp.select(F.col("doc").alias("head"), "comp")
-    named = first.join(comp, F.col("doc") == F.col("head"), "left").select("same", F.coalesce("comp", "doc").alias("class_id"))
-    one = F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id")
+    one = first.join(comp.select(F.col("doc").alias("same"), "comp"), "same", "left").select("same", "doc", F.coalesce("comp", "same").alias("comp"))
+    own = one.groupBy("comp").agg(F.min(F.struct("doc", "same")).alias("head"))
+    named = one.join(own, "comp").select("same", F.col("head.doc").alias("class_id"), F.col("head.same").alias("head"))
     # Rows without words meet nothing, so they stay out of the join.
-    alone = found.where("same is null").select("doc_id", F.col("doc_id").alias("class_id"))
-    return found.where("same is not null").select("doc_id", "same").join(named, "same", "left").select("doc_id", one).unionByName(alone)
+    alone = found.where("same is null").select("doc_id", "same", F.col("doc_id").alias("class_id"), F.col("same").alias("head"))
+    rest = found.where("same is not null").select("doc_id", "same").join(named, "same", "left")
+    classed = F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id")
+    return rest.select("doc_id", "same", classed, "head").unionByName(alone)
+
+
+def classes(docs: DataFrame, k: int = WORDS, similar: float = SIMILAR, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """One row per document: doc_id, class_id (the smallest doc_id of its class)."""
+    return _classed(docs, k, similar, bands, rows).select("doc_id", "class_id")
 
 
 def _open_buckets(members: DataFrame, comp: DataFrame) -> DataFrame:
-    """(key, doc, comp, top): the members of buckets that hold more than one class, and the bucket's largest class."""
-    now = members.join(comp, "doc", "left").select("key", "doc", F.coalesce("comp", "doc").alias("comp"))
+    """(key, same, comp, top): the members of buckets that hold more than one class, and the bucket's largest class."""
+    now = members.join(comp.withColumnRenamed("doc", "same"), "same", "left").select("key", "same", F.coalesce("comp", "same").alias("comp"))
     sizes = now.groupBy("key", "comp").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.count("*").alias("classes"))
-    return now.join(largest.where("classes > 1"), "key").select("key", "doc", "comp", F.col("top.comp").alias("top"))
+    return now.join(largest.where("classes > 1"), "key").select("key", "same", "comp", F.col("top.comp").alias("top"))
 
 
 #: Documents outside the largest class, and bucket members, that one group compares.
 ASKED, AGAINST = 128, 4096
+#: Slack of a bound, so that rounding loses no pair that lies on the threshold.
+ROUNDING = 1e-6
 
 
-def open_links(left: DataFrame, docs: DataFrame, k: int, similar: float) -> DataFrame:
-    """Links between classes of one bucket.
+def may_link(left: DataFrame, counted: DataFrame, similar: float) -> DataFrame:
+    """Pairs (a, b) of members of one bucket and different classes whose overlap may reach ``similar``.
 
-    Every member outside the largest class is compared exactly with all members of other classes. Both sides are cut into
-    blocks, so that a group holds a bounded number of texts however large the bucket is, and only links leave it.
+    Every member outside the largest class is set against all members of other classes. Both sides are cut into blocks, so
+    that a group holds a bounded number of texts however large the bucket is; a text is ``BINS`` small numbers there, and the
+    sum of the smaller numbers of two texts is no less than what they share.
     """
-    asked = left.select(F.col("doc").alias("doc_id")).distinct()
-    sets = staged(token_sets(docs.select("doc_id", "text").join(asked, "doc_id", "left_semi"), k).dropDuplicates(["doc"]), "tokens")
     outside = F.col("comp") != F.col("top")
     sizes = left.groupBy("key").agg(
         F.ceil(F.sum(outside.cast("long")) / ASKED).cast("int").alias("blocks"), F.ceil(F.count("*") / AGAINST).cast("int").alias("parts")
     )
-    rows = left.join(sizes, "key").join(sets, "doc")
-    spread = F.xxhash64("doc")
+    rows = left.join(sizes, "key").join(counted, "same")
+    spread = F.xxhash64("same")
     ask = rows.where(outside).select(
         "key", F.pmod(spread, "blocks").cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
-        F.lit(True).alias("asks"), "doc", "comp", "tokens",
+        F.lit(True).alias("asks"), "same", "comp", "size", "bins",
     )
     answer = rows.select(
         "key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(spread, "parts").cast("int").alias("part"),
-        F.lit(False).alias("asks"), "doc", "comp", "tokens",
+        F.lit(False).alias("asks"), "same", "comp", "size", "bins",
     )
 
     def compare(group):
-        own, others = group[group.asks], group[~group.asks]
-        found = []
-        if len(own):
-            size = own.tokens.map(len).to_numpy()
-            tokens = np.concatenate(own.tokens.to_list())
-            owner = np.repeat(np.arange(len(own)), size)
-            order = np.argsort(tokens)
-            tokens, owner = tokens[order], owner[order]
-            docs_, comps = own.doc.to_numpy(), own.comp.to_numpy()
-            for doc, comp, mine in zip(others.doc, others.comp, others.tokens):
-                low, high = np.searchsorted(tokens, mine, "left"), np.searchsorted(tokens, mine, "right")
-                hit = np.repeat(low, high - low) + np.arange((high - low).sum()) - np.repeat(np.cumsum(high - low) - (high - low), high - low)
-                shared = np.bincount(owner[hit], minlength=len(own))
-                good = (shared / (size + len(mine) - shared) >= similar) & (comps != comp)
-                found += [(min(doc, d), max(doc, d)) for d in docs_[good].tolist()]
-        return pd.DataFrame(sorted(set(found)), columns=["a", "b"]).astype("int64")
+        asks = group.asks.to_numpy()
+        bins = np.frombuffer(b"".join(group.bins), "<u2").reshape(-1, BINS)
+        size, comp, same = group["size"].to_numpy(), group.comp.to_numpy(), group.same.to_numpy()
+        own, found = np.flatnonzero(asks), set()
+        for i in np.flatnonzero(~asks).tolist() if len(own) else []:
+            fit = own[(comp[own] != comp[i]) & (size[own] >= similar * size[i] - ROUNDING) & (size[i] >= similar * size[own] - ROUNDING)]
+            if not len(fit):
+                continue
+            less = np.minimum(bins[fit], bins[i])
+            shared = np.where((less == 65535).any(axis=1), np.minimum(size[fit], size[i]), less.sum(axis=1, dtype=np.int64))
+            for j in fit[shared >= similar * (size[fit] + size[i] - shared) - ROUNDING].tolist():
+                found.add((min(same[i], same[j]), max(same[i], same[j])))
+        return pd.DataFrame(sorted(found), columns=["a", "b"], dtype=object)
 
     groups = ask.unionByName(answer).groupBy("key", "block", "part")
-    return groups.applyInPandas(compare, "a long, b long").distinct()
+    return groups.applyInPandas(compare, "a binary, b binary").distinct()
 
 
-def keep_first(docs: DataFrame, **options) -> DataFrame:
+def keep_first(docs: DataFrame, k: int = WORDS, similar: float = SIMILAR, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """The documents that are the first of their class, each with all its columns; rows with a null doc_id stay.
 
-    Rows that repeat a doc_id are one document, of which one row stays.
+    Rows of one doc_id and equal multisets are one document, of which the smallest row stays. Rows of one doc_id and
+    different texts are decided each by its text.
     """
-    named = staged(classes(docs, **options), "classes")
-    kept = docs.join(named.where("doc_id <> class_id").select("doc_id").distinct(), "doc_id", "left_anti")
-    again = staged(named.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
-    if not again.isEmpty():
-        kept = kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return kept.select(*docs.columns)
+    named = staged(_classed(docs, k, similar, bands, rows), "classes")
+    known = named.where("doc_id is not null")
+    go = (F.col("doc_id") != F.col("class_id")) | ~F.col("same").eqNullSafe(F.col("head"))
+    several = staged(known.groupBy("doc_id").count().where("count > 1").select("doc_id"), "several")
+    gone = known.where(go).select("doc_id").distinct()
+    ids = docs.select(F.col("doc_id").cast("long").alias("_id"), F.struct(*docs.columns).alias("_row"))
+    gone, several = gone.withColumnRenamed("doc_id", "_id"), several.withColumnRenamed("doc_id", "_id")
+    if several.isEmpty():
+        return ids.join(gone, "_id", "left_anti").select("_row.*")
+    alone = ids.join(gone.unionByName(several).distinct(), "_id", "left_anti").select("_row.*")
+    heads = known.where(~go).select(F.col("doc_id").alias("_id"), F.col("same").alias("_head")).distinct()
+    repeated = _with_same(ids.join(several, "_id", "left_semi"), k)
+    stays = repeated.join(heads.withColumnRenamed("_id", "_doc"), (F.col("_id") == F.col("_doc")) & F.col("_same").eqNullSafe(F.col("_head")), "left_semi")
+    return alone.unionByName(stays.groupBy("_id", "_same").agg(F.min("_row").alias("_row")).select("_row.*"))
+
+
+def _with_same(rows: DataFrame, k: int) -> DataFrame:
+    """Add ``_same``, the digest of the text's multiset. ``rows``: _id, _row (with text)."""
+
+    @F.pandas_udf("binary")
+    def digest(texts: pd.Series) -> pd.Series:
+        batch = pa.record_batch([pa.array(texts.fillna(""), pa.string())], names=["text"])
+        out = []
+        for part in steps(batch):
+            owner, element, times = bags(part, k)
+            out += _same(element, times, np.searchsorted(owner, np.arange(part.num_rows + 1)))
+        return pd.Series(out, dtype=object)
+
+    return rows.withColumn("_same", digest(F.col("_row.text").cast("string")))
 
 
 def op7_near(spark, folder: str) -> DataFrame:

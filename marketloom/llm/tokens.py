@@ -7,6 +7,7 @@ those of encoding the whole text, because pieces are cut only where the byte-lev
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 import public_tokenizers
@@ -16,8 +17,8 @@ from .shared import worker_state
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 0
-#: Pieces that a worker remembers; beyond it forgets all and goes on (ids do not change).
-REMEMBERED = 600_000
+#: Pieces that a worker remembers at least; when it holds twice as many it forgets the older half (ids do not change).
+REMEMBERED = 300_000
 # White space of the splitter's pattern.
 SPACE = r"\t-\r \x85\xa0  -     　"
 LETTER = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
@@ -27,29 +28,80 @@ PIECE = re.compile(
 )
 
 
+# Pieces that the splitter leaves whole: letters, digits, or signs other than apostrophes, each with a space before it or not.
+WHOLE = re.compile(rf" ?(?:[{LETTER}]+|[0-9]+|[!-&(-/:-@\[-`{{-~]+)")
+
+
+def byte_letters() -> dict[int, str]:
+    """The letters that stand for bytes in a byte-level vocabulary: printable bytes are their own, others follow from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(own)]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class Encoder:
-    """Encodes texts to ids; special-token strings in a text are ordinary text."""
+    """Encodes texts to ids as ``Tokenizer.encode(text, add_special_tokens=False)`` does.
+
+    The string of a special token in a text is that token, unless ``special_as_text``. Pieces that were met lately are looked
+    up; of others, those that the splitter leaves whole go straight to the merges.
+    """
 
-    def __init__(self, vocabulary: str = VOCABULARY) -> None:
+    def __init__(self, vocabulary: str = VOCABULARY, special_as_text: bool = False) -> None:
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.letters = byte_letters()
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        names = [re.escape(t.content) for t in added if not special_as_text or not t.special]
+        self.special = re.compile("|".join(names)) if names else None
 
     @classmethod
     def of_worker(cls, vocabulary: str = VOCABULARY) -> Encoder:
         return worker_state(f"encoder {vocabulary}", lambda: cls(vocabulary))
 
+    def _learn(self, pieces: list[str]) -> None:
+        """Ids of pieces that are not known, from the older half of the memory or from the tokenizer."""
+        known, older, merge, kind = self.known, self.older, self.tokenizer.model.tokenize, self.dtype.char
+        split, space = [], self.letters[32]
+        for piece in pieces:
+            if piece in older:
+                known[piece] = older[piece]
+            elif piece.isascii() and (piece[1:] if piece[0] == " " else piece).isalpha():
+                spelled = space + piece[1:] if piece[0] == " " else piece
+                known[piece] = array(kind, [t.id for t in merge(spelled)]).tobytes()
+            elif WHOLE.fullmatch(piece):
+                spelled = piece.encode().decode("latin-1").translate(self.letters)
+                known[piece] = array(kind, [t.id for t in merge(spelled)]).tobytes()
+            else:
+                split.append(piece)
+        for begin in range(0, len(split), 4096):
+            part = split[begin : begin + 4096]
+            for piece, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                known[piece] = array(kind, found.ids).tobytes()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text with the end id, as little-endian numbers of ``dtype``."""
-        pieces = [PIECE.findall(text) for text in texts]
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known = self.known
-        new = list({p for own in pieces for p in own if p not in known})
-        for begin in range(0, len(new), 4096):
-            part = new[begin : begin + 4096]
-            for piece, found in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                known[piece] = np.array(found.ids, self.dtype).tobytes()
-        end = np.array([END_ID], self.dtype).tobytes()
-        return [b"".join([known[p] for p in own]) + end for own in pieces]
+            self.older, self.known = self.known, {}
+        known, find, end = self.known, PIECE.findall, array(self.dtype.char, [END_ID]).tobytes()
+        out: list = []
+        new, open_texts = set(), []
+        for i, text in enumerate(texts):
+            if self.special and self.special.search(text):
+                out.append([array(self.dtype.char, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()])
+                continue
+            pieces = find(text)
+            ids = list(map(known.get, pieces))
+            if None in ids:
+                missing = [k for k, own in enumerate(ids) if own is None]
+                new.update([pieces[k] for k in missing])
+                open_texts.append((i, [(k, pieces[k]) for k in missing]))
+            out.append(ids)
+        self._learn(list(new))
+        for i, missing in open_texts:
+            ids = out[i]
+            for k, piece in missing:
+                ids[k] = known[piece]
+        return [b"".join(ids) + end for ids in out]
