@@ -1,14 +1,15 @@
 """Exact top-k search by cosine similarity.
 
-The corpus is scanned once per pass and never shuffled: every task multiplies
-its Arrow batches with a block of query vectors and keeps only its own k best
-rows per query; those few rows are merged by query.
+Query vectors that fit into one block of bounded size go to the tasks of the
+corpus scan, which is not shuffled then. More of them are cut into blocks, the
+corpus into parts, and each block meets each part once: a group holds one block
+and one part, and hands on its k best rows per query. Those few rows are merged
+by query. The driver sees two counts and at most one block.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -17,7 +18,12 @@ from pyspark.sql import functions as F
 
 from .skew import top_k
 
+#: Bytes of a block of query vectors.
 PASS_BYTES = 32 << 20
+#: Bytes of a part of the corpus, at least.
+PART_BYTES = 1 << 18
+#: Scores that a task works out at a time.
+STEP_SCORES = 1 << 22
 
 
 def nearest(
@@ -26,69 +32,98 @@ def nearest(
 ) -> DataFrame:
     """(query_id, row id, score rounded to 6, rank) of the k best rows per query.
 
-    ``queries`` has ``query_id`` and ``vector``; ids are integers or texts. The block of query vectors sent
-    to the tasks is held under ``pass_bytes``; more queries mean more passes.
+    ``queries`` has ``query_id`` and ``vector``; ids are integers or texts. Corpus vectors that are null or of another
+    dimension are left out.
     """
-    n = queries.count()
-    passes = max(1, -(-n * dim * 8 // pass_bytes))
-    query_type = queries.schema["query_id"].dataType.simpleString()
-    scored = [
-        _score(corpus, _block(queries, p, passes), query_type, k, row_id, vector, dim, exclude_self) for p in range(passes)
-    ]
-    order = [F.col("score").desc(), F.col(row_id)]
-    return top_k(reduce(DataFrame.unionByName, scored), ["query_id"], order, k, spread=[row_id])
-
-
-def _block(queries: DataFrame, part: int, parts: int) -> tuple[list, np.ndarray]:
-    slice_ = F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part
-    rows = queries.filter(slice_).select("query_id", "vector").orderBy("query_id").collect()
-    return [r[0] for r in rows], np.array([r[1] for r in rows], dtype=np.float64)
-
-
-def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> list[int]:
-    """Places of the k largest scores, smaller ids first among equal ones; only those from the k-th score up are sorted."""
-    near = np.arange(len(scores))
-    if len(scores) > k:
-        near = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
-    return sorted(near.tolist(), key=lambda i: (-scores[i], ids[i]))[:k]
-
-
-def _score(corpus, block, query_type, k, row_id, vector, dim, exclude_self) -> DataFrame:
-    ids, matrix = block
-    id_type = corpus.schema[row_id].dataType.simpleString()
-    schema = f"query_id {query_type}, `{row_id}` {id_type}, score double"
-    if not ids:
-        return corpus.sparkSession.createDataFrame([], schema)
-    lengths = np.linalg.norm(matrix, axis=1, keepdims=True)
-    unit = matrix / np.where(lengths == 0, 1, lengths)  # a zero vector scores 0 everywhere
-    held = object if id_type == "string" else np.int64
+    blocks = max(1, -(-queries.count() * dim * 8 // pass_bytes))
+    usable = corpus.filter(F.col(vector).isNotNull() & (F.size(vector) == dim)).select(row_id, vector)
+    types = queries.schema["query_id"].dataType.simpleString(), corpus.schema[row_id].dataType.simpleString()
+    schema = f"query_id {types[0]}, `{row_id}` {types[1]}, score double"
+    search = _scan if blocks == 1 else _meet
+    scored = search(usable, queries.select("query_id", "vector"), blocks, schema, k, row_id, vector, dim, exclude_self, pass_bytes)
+    return top_k(scored, ["query_id"], [F.col("score").desc(), F.col(row_id)], k, spread=[row_id])
+
+
+def _unit(rows: np.ndarray) -> np.ndarray:
+    """Rows of length one; a zero vector stays zero and scores 0 everywhere."""
+    lengths = np.linalg.norm(rows, axis=1, keepdims=True)
+    return rows / np.where(lengths == 0, 1, lengths)
+
+
+class _Best:
+    """The k best rows of each query among those seen, by score and then id."""
+
+    def __init__(self, query_ids: np.ndarray, queries: np.ndarray, k: int, exclude_self: bool) -> None:
+        self.query_ids, self.queries, self.k, self.exclude_self = query_ids, _unit(queries), k, exclude_self
+        self.scores, self.ids = np.empty((len(query_ids), 0)), np.empty((len(query_ids), 0), query_ids.dtype)
+
+    def see(self, ids: np.ndarray, rows: np.ndarray) -> None:
+        width = max(1, STEP_SCORES // max(1, len(self.query_ids)))
+        for i in range(0, len(ids), width):
+            self._step(ids[i : i + width], _unit(rows[i : i + width]))
+
+    def _step(self, ids: np.ndarray, rows: np.ndarray) -> None:
+        scores = np.round(self.queries @ rows.T, 6) + 0.0
+        if self.exclude_self:
+            scores[self.query_ids[:, None] == ids[None, :]] = -np.inf
+        if scores.shape[1] > self.k:  # only rows as good as the k-th can stay
+            edge = np.partition(scores, scores.shape[1] - self.k, axis=1)[:, -self.k]
+            near = (scores >= edge[:, None]).any(axis=0)
+            scores, ids = scores[:, near], ids[near]
+        scores = np.concatenate([self.scores, scores], axis=1)
+        own = np.broadcast_to(ids, (len(self.query_ids), len(ids)))
+        ids = np.concatenate([self.ids.astype(own.dtype), own], axis=1)
+        rank = np.unique(ids, return_inverse=True)[1].reshape(ids.shape) if ids.size else np.zeros(ids.shape, np.int64)
+        order = np.lexsort((rank, -scores), axis=1)[:, : self.k]
+        self.scores, self.ids = np.take_along_axis(scores, order, axis=1), np.take_along_axis(ids, order, axis=1)
+
+    def rows(self, row_id: str) -> pd.DataFrame:
+        real = self.scores > -np.inf
+        which = np.nonzero(real)[0]
+        return pd.DataFrame({"query_id": self.query_ids[which], row_id: self.ids[real], "score": self.scores[real]})
+
+
+def _ids(column: pd.Series) -> np.ndarray:
+    values = column.to_numpy()
+    return values.astype(object) if values.dtype.kind not in "iu" else values.astype(np.int64)
+
+
+def _vectors(column: pd.Series, dim: int) -> np.ndarray:
+    return np.stack(column.to_numpy()).astype(np.float64) if len(column) else np.empty((0, dim))
+
+
+def _scan(corpus, queries, blocks, schema, k, row_id, vector, dim, exclude_self, pass_bytes) -> DataFrame:
+    """One block of queries, sent to the tasks that read the corpus."""
+    block = queries.orderBy("query_id").toPandas()  # below pass_bytes
+    ids, matrix = _ids(block["query_id"]), _vectors(block["vector"], dim)
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept_ids = [np.empty(0, dtype=held)] * len(ids)
-        kept_scores = [np.empty(0)] * len(ids)
+        found = _Best(ids, matrix, k, exclude_self)
         for batch in batches:
-            row_ids = batch[row_id].to_numpy(dtype=held)
-            if not len(row_ids):
-                continue
-            rows = np.stack(batch[vector].to_numpy()).astype(np.float64)
-            norms = np.linalg.norm(rows, axis=1, keepdims=True)
-            scores = np.round(rows / np.where(norms == 0, 1, norms) @ unit.T, 6) + 0.0
-            for q, query_id in enumerate(ids):
-                column = scores[:, q]
-                if exclude_self:
-                    keep = row_ids != query_id
-                    all_ids = np.concatenate([kept_ids[q], row_ids[keep]])
-                    all_scores = np.concatenate([kept_scores[q], column[keep]])
-                else:
-                    all_ids = np.concatenate([kept_ids[q], row_ids])
-                    all_scores = np.concatenate([kept_scores[q], column])
-                chosen = _best(all_ids, all_scores, k)
-                kept_ids[q], kept_scores[q] = all_ids[chosen], all_scores[chosen]
-        for q, query_id in enumerate(ids):
-            yield pd.DataFrame({"query_id": query_id, row_id: kept_ids[q], "score": kept_scores[q]})
-
-    usable = F.col(vector).isNotNull() & (F.size(vector) == dim)
-    return corpus.filter(usable).select(row_id, vector).mapInPandas(best, schema)
+            if len(batch):
+                found.see(_ids(batch[row_id]), _vectors(batch[vector], dim))
+        yield found.rows(row_id)
+
+    return corpus.mapInPandas(best, schema)
+
+
+def _meet(corpus, queries, blocks, schema, k, row_id, vector, dim, exclude_self, pass_bytes) -> DataFrame:
+    """Every block of queries against every part of the corpus."""
+    parts = max(1, -(-corpus.count() * dim * 8 // max(pass_bytes, PART_BYTES)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = lambda *c, n: F.pmod(F.xxhash64(*c), F.lit(n)).cast("int")
+    asked = queries.select("query_id", "vector", own("query_id", "vector", n=blocks).alias("_block"), every(parts).alias("_part"))
+    rows = corpus.select(row_id, vector, own(row_id, vector, n=parts).alias("_part"), every(blocks).alias("_block"))
+
+    def best(block: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
+        if not len(block) or not len(part):
+            return pd.DataFrame({"query_id": [], row_id: [], "score": []})
+        found = _Best(_ids(block["query_id"]), _vectors(block["vector"], dim), k, exclude_self)
+        found.see(_ids(part[row_id]), _vectors(part[vector], dim))
+        return found.rows(row_id)
+
+    keys = ["_block", "_part"]
+    return asked.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInPandas(best, schema)
 
 
 def mean_vectors(df: DataFrame, group: str, vector: str) -> DataFrame:

@@ -299,6 +299,18 @@ def nearest_articles(spark, folder):
     return found.select("query_id", "_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
+@add("""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, round_even(list_cosine_similarity(v.e, q.e) * 1e6, 0) / 1e6 AS score FROM v JOIN v AS q ON q.vec_id % 100 = 0 AND v.vec_id <> q.vec_id)
+SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY rank <= 10""")
+def nearest_in_blocks(spark, folder):
+    """The ten vectors nearest to every hundredth one, by blocks of a few queries against parts of the corpus, as any
+    number of queries is searched."""
+    corpus = table(spark, folder, "embeddings")
+    queries = corpus.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    found = vectors.nearest(corpus, queries, 10, row_id="vec_id", vector="embedding", dim=64, exclude_self=True, pass_bytes=64 * 8 * 4)
+    return found.select("query_id", "vec_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
 # -- the whole refresh -----------------------------------------------------------------------
 
 
