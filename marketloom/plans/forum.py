@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import embedding_text, fit_for_scorer, query_or_asset, sentiment_text
-from ..operators import dml, enrich, joins, windows
-from ..operators.filters import matching_query, not_enriched, with_values
+from ..operators import dml, enrich, joins, keywords, windows
+from ..operators.filters import not_enriched, with_values
 from ..sources import readers, tables
 
 KEYS = ["url", "asset_id"]
@@ -26,8 +26,8 @@ def pairs_to_fetch(mapping: DataFrame, stored: DataFrame, as_of: Column) -> Data
 def fetched_rows(landed: DataFrame, pairs: DataFrame, as_of: Column, *, limit: int = 10) -> DataFrame:
     """Landed posts of the wanted pairs that match the pair's query, the newest
     of the last day per pair. ``landed`` has subreddit, title, selftext,
-    created_at_utc and _id."""
-    matched = matching_query(landed.join(pairs, "subreddit"), "query", "title", "selftext")
+    created_at_utc and _id, which is unique."""
+    matched = keywords.matching_pairs(landed, pairs, "_id", ["title", "selftext"], on="subreddit")
     return windows.newest_per_pair(matched, as_of, limit=limit)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import aggregates, dml, filters, joins, windows
+from ..operators import aggregates, dml, filters, joins, keywords, windows
 from ..operators.skew import top_k
 from ..plans import forum
 from ..sources import readers
@@ -152,6 +152,19 @@ def keyword_matches(spark, folder):
     return filters.matching_query(docs.join(pairs, "subreddit"), "query", "text").select("doc_id", "asset_id", "query")
 
 
+@add("""WITH m AS (SELECT 'D' || CAST(doc_id AS VARCHAR) AS asset_id, source AS subreddit, string_split("text", ' ')[1] AS a, string_split("text", ' ')[3] AS b FROM documents),
+t AS (SELECT *, lower(regexp_replace(a, '^\\s+|\\s+$', '', 'g')) AS x, lower(regexp_replace(b, '^\\s+|\\s+$', '', 'g')) AS y FROM m WHERE a IS NOT NULL AND b IS NOT NULL)
+SELECT doc_id, t.asset_id, a || ' OR ' || b AS query FROM documents d JOIN t ON d.source = t.subreddit
+WHERE x <> '' AND contains(lower(d."text"), x) OR y <> '' AND contains(lower(d."text"), y)""")
+def keyword_index_matches(spark, folder):
+    """One mapping per document, of two words of its text, matched with the texts of its source through the index."""
+    docs = table(spark, folder, "documents").select("doc_id", F.col("source").alias("subreddit"), "text")
+    word = lambda n: F.get(F.split("text", " "), n - 1)
+    query = F.concat(word(1), F.lit(" OR "), word(3))
+    pairs = docs.select(F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("asset_id"), "subreddit", query.alias("query")).filter("query IS NOT NULL")
+    return keywords.matching_pairs(docs, pairs, "doc_id", ["text"], on="subreddit").select("doc_id", "asset_id", "query")
+
+
 @add(f"""WITH {MAPPING}, seen AS (SELECT lang AS l, source, TIMESTAMP '2024-01-01 00:00:00' + to_seconds(doc_id * 60) AS t FROM documents)
 SELECT asset_id, subreddit, coalesce(query, asset_id) AS query FROM mapping m WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.source = m.subreddit AND 'NATION_' || CAST(length(s.source) * 3 AS VARCHAR) = m.asset_id
   AND t >= TIMESTAMP '2024-01-01' AND t < TIMESTAMP '2024-01-02')""")
