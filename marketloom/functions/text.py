@@ -75,8 +75,8 @@ def _numbered(comments: Column, label: str, join_word: str, body, k: int | None)
     return F.transform(comments if k is None else F.slice(comments, 1, k), line)
 
 
-def embedding_text(doc: Column, *, comment_count: int | None = 3) -> Column:
-    """Text handed to the embedder, with the first comments or (None) all; ``doc`` is the submission struct."""
+def embedding_text(doc: Column, *, comment_count: int | None = None) -> Column:
+    """Text handed to the embedder, with all comments or the first ``comment_count``; ``doc`` is the submission struct."""
     comments = doc["comments"]
     head = F.concat_ws(
         "\n",
@@ -96,9 +96,9 @@ def embedding_text(doc: Column, *, comment_count: int | None = 3) -> Column:
 
 
 def sentiment_text(
-    doc: Column, *, content_size: int | None = 500, comment_size: int | None = 150, comment_count: int | None = 3
+    doc: Column, *, content_size: int | None = None, comment_size: int | None = None, comment_count: int | None = None
 ) -> Column:
-    """Text handed to the sentiment scorer; None leaves the content, a comment or the number of comments whole."""
+    """Text handed to the sentiment scorer; the sizes cut the content and each comment, the count the list of comments."""
     comments = doc["comments"]
     head = F.concat_ws(
         "\n\n",

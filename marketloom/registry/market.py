@@ -8,7 +8,7 @@ from ..functions import dates, symbols
 from ..operators import aggregates, dml, filters, setops, windows
 from ..plans import market
 from ..session import run_folder
-from ..sources import readers, tables
+from ..sources import extended, readers, tables
 from .base import Registry
 from .views import CANDLES, TICKS, even, hourly, show, sql_even, sql_show, table, ticks
 
@@ -343,6 +343,31 @@ def candle_table_load(spark, folder):
     return shown(tables.read(spark, candle_table), "date_load_iso_utc")
 
 
+@add("""SELECT md5(CAST(o_orderkey AS VARCHAR)) AS _id, strftime(CAST(o_orderdate AS TIMESTAMP), '%Y-%m-%d %H:%M:%S') AS placed, o_totalprice AS total, CAST(l_linenumber AS BIGINT) AS number,
+  strftime(CAST(l_shipdate AS TIMESTAMP), '%Y-%m-%d %H:%M:%S') AS shipped, CAST(l_quantity AS DOUBLE) AS quantity FROM orders JOIN lineitem ON l_orderkey = o_orderkey""")
+def extended_documents(spark, folder):
+    """Orders written as extended JSON, with wrapped ids, numbers and both forms of times in nested arrays, and read by schema."""
+    wrap = lambda c, name: F.struct(c.alias(name))
+    millis = lambda c: F.unix_millis(c.cast("timestamp")).cast("string")
+    iso = lambda c: F.date_format(c.cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    line = F.struct(
+        wrap(F.col("l_linenumber").cast("string"), "$numberInt").alias("number"),
+        wrap(wrap(millis(F.col("l_shipdate")), "$numberLong"), "$date").alias("shipped"),
+        wrap(F.col("l_quantity").cast("double").cast("string"), "$numberDouble").alias("quantity"),
+    )
+    lines = table(spark, folder, "lineitem").groupBy("l_orderkey").agg(F.collect_list(line).alias("lines"))
+    orders = table(spark, folder, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    document = F.to_json(F.struct(
+        wrap(F.md5(F.col("o_orderkey").cast("string")), "$oid").alias("_id"), wrap(iso(F.col("o_orderdate")), "$date").alias("placed"),
+        F.col("o_totalprice").alias("total"), F.struct("lines").alias("content"),
+    ))
+    path = run_folder(spark, "extended")
+    orders.select(document.alias("value")).write.text(path)
+    schema = "_id string, placed timestamp, total double, content struct<lines:array<struct<number:bigint,shipped:timestamp,quantity:double>>>"
+    rows = extended.read_ejson(spark, path, schema, lines=True).select("_id", show("placed").alias("placed"), "total", F.explode("content.lines").alias("l"))
+    return rows.select("_id", "placed", "total", "l.number", show("l.shipped").alias("shipped"), "l.quantity")
+
+
 @add(f"""WITH {TICKS}, u AS (SELECT DISTINCT CASE WHEN raw_symbol LIKE '%USDT' THEN 'crypto' ELSE 'exchange' END AS asset_class, symbol FROM ticks)
 SELECT * FROM u""")
 def symbol_union(spark, folder):

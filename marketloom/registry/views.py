@@ -237,7 +237,7 @@ def posts(spark: SparkSession, folder: str) -> DataFrame:
                 F.struct(
                     "rank",
                     F.when(F.col("role") != "system", F.col("role")).alias("author"),
-                    F.substring("text", 1, 250).alias("body"),
+                    F.col("text").alias("body"),
                     "created",
                 )
             )
@@ -245,7 +245,7 @@ def posts(spark: SparkSession, folder: str) -> DataFrame:
     )
     doc = F.struct(
         F.substring_index("text", ".", 1).alias("title"),
-        F.substring("text", 1, 1000).alias("selftext"),
+        F.col("text").alias("selftext"),
         F.concat(F.lit("r/s"), (F.col("conv_id") % 6).cast("string")).alias("subreddit"),
         asset_or_unknown(F.when(F.col("author") == "user", F.concat(F.lit("A"), (F.col("conv_id") % 18).cast("string"))).otherwise("")).alias("asset_id"),
         F.col("comments"),
@@ -265,11 +265,11 @@ replies AS (
   FROM turns WHERE turn > 0),
 newest AS (
   SELECT conv_id, max(n) AS n,
-    list({'author': coalesce(CASE WHEN role <> 'system' THEN role END, '[deleted]'), 'body': substring("text", 1, 250)} ORDER BY rn) AS comments
+    list({'author': coalesce(CASE WHEN role <> 'system' THEN role END, '[deleted]'), 'body': "text"} ORDER BY rn) AS comments
   FROM replies WHERE rn <= 3 GROUP BY 1),
 posts AS (
   SELECT t.conv_id, t.created AS created_at_utc, t.role AS author, coalesce(n, 0) AS num_comments,
-    split_part(t."text", '.', 1) AS title, substring(t."text", 1, 1000) AS selftext,
+    split_part(t."text", '.', 1) AS title, t."text" AS selftext,
     'r/s' || CAST(t.conv_id % 6 AS VARCHAR) AS subreddit,
     CASE WHEN t.role = 'user' THEN 'A' || CAST(t.conv_id % 18 AS VARCHAR) ELSE 'Unknown' END AS asset_id,
     coalesce(comments, []) AS comments

@@ -196,11 +196,11 @@ def accepted_cards(cards: DataFrame) -> DataFrame:
 
 
 def submissions(
-    raw: DataFrame, as_of: Column, *, body_size: int | None = 250, selftext_size: int | None = 1000, comment_count: int | None = 3
+    raw: DataFrame, as_of: Column, *, body_size: int | None = None, selftext_size: int | None = None, comment_count: int | None = None
 ) -> DataFrame:
     """Landed submissions (with nested comments, newest first) in the table's
-    shape; None leaves comment bodies, the nested selftext or the number of
-    comments whole."""
+    shape; the sizes cut comment bodies and the nested selftext, the count the
+    list of comments."""
     from ..operators.windows import newest_comments
 
     comments = F.transform(

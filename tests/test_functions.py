@@ -130,7 +130,7 @@ DOC = "d struct<title:string,selftext:string,subreddit:string,asset_id:string,co
 def test_embedding_text(spark):
     comments = [("a", "1"), (None, "2"), ("c", None), ("d", "4")]
     rows = [(("T", "B", "r/x", "BTC", comments),), (("T", None, "r/x", "BTC", []),), (None,)]
-    got = values(spark, DOC, rows, text.embedding_text(F.col("d")))
+    got = values(spark, DOC, rows, text.embedding_text(F.col("d"), comment_count=3))
     head = "Title: T\nContent: B\nSubreddit: r/x\nAsset: BTC"
     assert got[0] == head + "\nComments: Comment 1 by a: 1 | Comment 2 by [deleted]: 2 | Comment 3 by c: "
     assert got[1] == "Title: T\nContent: \nSubreddit: r/x\nAsset: BTC"
@@ -139,7 +139,7 @@ def test_embedding_text(spark):
 
 def test_sentiment_text_cuts(spark):
     rows = [(("T", "x" * 501, "r/x", "BTC", [("a", "y" * 151), ("b", "z" * 150)]),), (("T", "x" * 500, "r/x", "BTC", None),)]
-    got = values(spark, DOC, rows, text.sentiment_text(F.col("d")))
+    got = values(spark, DOC, rows, text.sentiment_text(F.col("d"), content_size=500, comment_size=150, comment_count=3))
     assert got[0] == (
         f"TITLE: T\n\nCONTENT: {'x' * 500}...\n\nSUBREDDIT: r/x\n\nASSET: BTC\n\nCOMMENTS SECTION:\n\n"
         f"COMMENT 1 BY a: {'y' * 150}...\n\nCOMMENT 2 BY b: {'z' * 150}"

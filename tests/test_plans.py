@@ -12,7 +12,7 @@ from marketloom.plans import news
 
 FOLDER = "/root/testdata/sf0.001"
 # These run jobs while they are built and return a plain scan of their output.
-RUN_WHEN_BUILT = {"article_increments", "candle_backfill", "candle_table_load", "market_cap_table_load", "day_backup", "series_csv_export"}
+RUN_WHEN_BUILT = {"article_increments", "candle_backfill", "candle_table_load", "market_cap_table_load", "day_backup", "extended_documents", "series_csv_export"}
 NAMES = sorted(n for n in entry.queries() if n not in RUN_WHEN_BUILT and not n.startswith("streaming"))
 
 

@@ -184,7 +184,8 @@ def raw_submission(**changes):
 
 def test_submissions(spark, tmp_path):
     write(tmp_path, "s.json", json.dumps(raw_submission()) + "\n" + json.dumps(raw_submission(url="u2", comments=None, asset_id=None, num_comments=0)))
-    got = {r.url: r for r in readers.read_submissions(spark, str(tmp_path), F.lit(AS_OF).cast("timestamp")).collect()}
+    sizes = {"body_size": 250, "selftext_size": 1000, "comment_count": 3}
+    got = {r.url: r for r in readers.read_submissions(spark, str(tmp_path), F.lit(AS_OF).cast("timestamp"), **sizes).collect()}
     one, two = got["u1"], got["u2"]
     assert [c.id for c in one.comments] == ["3", "2", "1"]
     assert one.comments[0].author == "[deleted]" and [len(c.body) for c in one.comments] == [250, 250, 249]
