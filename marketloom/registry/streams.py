@@ -23,6 +23,17 @@ def _stream(spark, folder, name, per_batch=2):
     return streams.file_stream(spark, landed, rows.schema, per_batch=per_batch)
 
 
+def _landed_in_order(spark, folder, name, ts, files=6):
+    """A table landed file after file by time, read one file a micro-batch."""
+    rows = spark.read.parquet(f"{folder}/{name}.parquet")
+    first, last = rows.select(F.unix_micros(F.min(F.col(ts).cast("timestamp"))), F.unix_micros(F.max(F.col(ts).cast("timestamp")))).first()
+    part = F.floor((F.unix_micros(F.col(ts).cast("timestamp")) - first) * files / (last - first + 1)).cast("int")
+    landed = run_folder(spark, f"landed-{name}")
+    for i in range(files):  # the file source takes files by their time of change
+        rows.filter(part == i).coalesce(1).write.mode("append").parquet(landed)
+    return streams.file_stream(spark, landed, rows.schema, per_batch=1)
+
+
 def _symbol():
     raw = F.lit("GLD")
     for kind, symbol in RAW_SYMBOL.items():
@@ -66,9 +77,9 @@ def streaming_article_dedupe(spark, folder):
 @add(f"""WITH {TICKS}, g AS (SELECT symbol, date_trunc('day', "timestamp") AS d, count(*) AS actual FROM ticks GROUP BY 1, 2)
 SELECT symbol, {sql_show('d')} AS day_start, actual FROM g WHERE d + INTERVAL 1 DAY <= (SELECT max("timestamp") FROM ticks) - INTERVAL 10 MINUTE""")
 def streaming_daily_counts(spark, folder):
-    """Rows per symbol and day, emitted once the watermark passed the day. The files are in no order, which is far beyond
-    the delay of the watermark, so they are one batch."""
-    ticks = _stream(spark, folder, "events", per_batch=3).select(F.col("ts").cast("timestamp").alias("timestamp"), _symbol().alias("symbol"))
+    """Rows per symbol and day, emitted once the watermark passed the day. Counts of a day build up over micro-batches, of
+    which there are at least six: files come one by one, each a sixth of the time."""
+    ticks = _landed_in_order(spark, folder, "events", "ts").select(F.col("ts").cast("timestamp").alias("timestamp"), _symbol().alias("symbol"))
     out = run_folder(spark, "stream-counts")
     _finish(streams.append_to(streams.daily_counts(ticks), out, run_folder(spark, "counts")))
     rows = spark.read.schema("symbol string, day_start timestamp, actual bigint").parquet(out)
