@@ -105,6 +105,20 @@ def accepted_cards(spark, folder):
     return _card_rows(readers.accepted_cards(_cards(spark, folder)))
 
 
+@add(r"""WITH a AS (SELECT page_id, url, string_split(html, '<article>')[2] AS card FROM pages WHERE contains(html, '<article>')),
+p AS (SELECT page_id, url, regexp_extract(card, '(?s)<h1>(.*?)</h1>', 1) AS headline, regexp_extract_all(card, '(?s)<p>(.*?)</p>', 1)[1] AS description, contains(card, '</h1>') AS has_h FROM a),
+c AS (SELECT page_id, url, CASE WHEN has_h THEN regexp_replace(headline, '<[^>]*>', '', 'g') END AS headline, regexp_replace(description, '<[^>]*>', '', 'g') AS description FROM p)
+SELECT page_id, url AS ticker, replace(replace(replace(replace(headline, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&') AS headline,
+  regexp_replace(replace(replace(replace(replace(description, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&'), '^\s+|\s+$', '', 'g') AS description,
+  headline IS NOT NULL AND description IS NOT NULL AS complete FROM c""")
+def page_cards(spark, folder):
+    """The articles of the given pages as cards, by selectors of their own markup."""
+    pages = table(spark, folder, "pages")
+    fields = {"headline": ("h1", None), "description": ("p", None)}
+    rows = readers.article_cards(pages, "html", "url", F.lit("2024-02-01").cast("timestamp"), start="<article>", fields=fields, link=None)
+    return rows.filter("card_no = 0").select("page_id", "ticker", "headline", "description", "complete")
+
+
 @add("SELECT page_id, url || '+%zz#%' AS link FROM pages")
 def redirect_links(spark, folder):
     href = F.concat(F.lit("https://r.example/RU="), F.url_encode("url"), F.lit("+%zz%23%/RK=1/RS=2"))

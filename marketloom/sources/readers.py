@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..functions import dates, symbols, text
+from ..functions import dates, markup, symbols, text
 
 PRICE_COLUMNS = ("Open", "High", "Low", "Close", "Volume")
 KLINE_ARRAY = "array<array<string>>"
@@ -141,49 +141,38 @@ CARD_FIELDS = {
     "posted": ("span", "s-time"),
     "description": ("p", "s-desc"),
 }
-ENTITIES = (
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"),
-)
+LINK = r"""(?s)<a\b[^>]*?href=["']([^"']*)["']"""
 
 
-def _plain(markup: Column) -> Column:
-    bare = F.regexp_replace(markup, "<[^>]*>", "")
-    for entity, char in ENTITIES:
-        bare = F.replace(bare, F.lit(entity), F.lit(char))
-    return bare
-
-
-def _element(card: Column, tag: str, css: str) -> Column:
-    pattern = rf"""(?s)<{tag}\b[^>]*class=["'][^"']*\b{css}\b[^"']*["'][^>]*>(.*?)</{tag}>"""
-    found = F.regexp_extract_all(card, F.lit(pattern), F.lit(1))
-    return _plain(F.get(found, F.lit(0)))
-
-
-def article_cards(pages: DataFrame, html: str, ticker: str, as_of: Column) -> DataFrame:
+def article_cards(
+    pages: DataFrame, html: str, ticker: str, as_of: Column,
+    *, start: str = CARD_START, fields: dict[str, tuple[str, str | None]] = CARD_FIELDS, link: str | None = LINK,
+) -> DataFrame:
     """One row per card of every result page; ``complete`` is false when the
-    card lacks an element or its link cannot be unwrapped."""
+    card lacks an element or its link cannot be unwrapped.
+
+    The selectors are parameters: ``start`` is the pattern a card begins with,
+    ``fields`` the tag and class of each field, ``link`` the pattern whose group
+    is the redirect address (None for cards without one)."""
     cards = pages.select(
         *[c for c in pages.columns if c != html],
-        F.posexplode(F.slice(F.split(html, CARD_START), F.lit(2), F.size(F.split(html, CARD_START)))).alias("card_no", "card"),
+        F.posexplode(F.slice(F.split(html, start), F.lit(2), F.size(F.split(html, start)))).alias("card_no", "card"),
     )
     card = F.col("card")
-    href = F.regexp_extract(card, r"""(?s)<a\b[^>]*?href=["']([^"']*)["']""", 1)
-    for entity, char in ENTITIES:
-        href = F.replace(href, F.lit(entity), F.lit(char))
-    fields = {name: _element(card, *where) for name, where in CARD_FIELDS.items()}
-    fields["posted"] = text.clean_posted(fields["posted"])
-    fields["description"] = text.strip(fields["description"])
+    cleaned = {"posted": text.clean_posted, "description": text.strip}
+    found = {name: cleaned.get(name, lambda c: c)(markup.first_element(card, *where)) for name, where in fields.items()}
+    if link is not None:
+        found["link"] = text.unwrap_link(markup.decode_references(F.regexp_extract(card, link, 1)))
     parsed = cards.select(
         *[c for c in pages.columns if c not in (html, ticker)],
         "card_no",
-        *[c.alias(name) for name, c in fields.items()],
-        text.unwrap_link(href).alias("link"),
+        *[c.alias(name) for name, c in found.items()],
         F.lit(False).alias("synced"),
         as_of.alias("extraction_timestamp_utc"),
         F.col(ticker).alias("ticker"),
     )
     complete = F.lit(True)
-    for name in (*CARD_FIELDS, "link"):
+    for name in found:
         complete = complete & F.col(name).isNotNull()
     return parsed.withColumn("complete", complete)
 

@@ -179,3 +179,18 @@ def test_defaults(spark):
         text.author_or_deleted(F.col("a")), text.asset_or_unknown(F.col("b")), text.query_or_asset(F.col("q"), F.col("b")),
     )
     assert got == [("[deleted]", "Unknown", ""), ("a", "X", "q")]
+
+
+def test_character_references(spark):
+    from marketloom.functions import markup
+
+    cases = {
+        "a &amp;lt; b": "a &lt; b", "&#233;&#xE9;&#XE9;&eacute;": "éééé", "&nbsp;x&#39;&apos;": " x''", "&unknown; &amp &;": "&unknown; &amp &;",
+        "&#128512;&#x1F600;": "😀😀", "&#0;&#xD800;&#1114112;": "���", "": "", "no reference": "no reference", "&euro;&#8364;5&lt;6&gt;4&quot;": '€€5<6>4"',
+    }
+    rows = spark.createDataFrame([*enumerate(cases), (99, None)], "i int, t string")
+    got = {r.i: r.d for r in rows.select("i", markup.decode_references(F.col("t")).alias("d")).collect()}
+    assert [got[i] for i in range(len(cases))] == list(cases.values()) and got[99] is None
+    page = spark.createDataFrame([('<h1 class="x">A <b>&amp;</b> B</h1><h1 class="t y">C</h1>',)], "t string")
+    row = page.select(markup.first_element(F.col("t"), "h1").alias("a"), markup.first_element(F.col("t"), "h1", "y").alias("b"), markup.first_element(F.col("t"), "h2").alias("c")).first()
+    assert tuple(row) == ("A & B", "C", None)
