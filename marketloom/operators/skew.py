@@ -83,3 +83,10 @@ def one_per_date(df: DataFrame, keys: Sequence[str], date: str, order: Column |
     rest = [F.col(c) for c in df.columns if c not in (*keys, date)]
     dated = df.withColumn(date, F.to_date(date))
     return first_row(dated, [*keys, date], F.struct(*rest) if order is None else order)
+
+
+def repeated_dates(df: DataFrame, keys: Sequence[str], date: str) -> DataFrame:
+    """What ``one_per_date`` leaves out: (keys, date, rows) with the number of rows beyond the first of a key and calendar
+    date. Operators along the dates of a key take one row per date; this is their reject frame."""
+    counted = df.groupBy(*keys, F.to_date(date).alias(date)).agg((F.count("*") - 1).alias("rows"))
+    return counted.filter("rows > 0")

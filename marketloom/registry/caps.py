@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.numbers import round_cents, trend_direction
-from ..operators import aggregates, dml, joins, setops, windows
+from ..operators import aggregates, dml, joins, setops, skew, windows
 from ..plans import caps as caps_plan
 from ..plans import macro as macro_plan
 from ..plans import portfolio as portfolio_plan
@@ -270,3 +270,11 @@ def portfolio_book(spark, folder):
 FROM supplied s LEFT JOIN stored t ON s.portfolio = t.portfolio AND s."date" = t."date" GROUP BY 1""")
 def portfolio_backfill_summary(spark, folder):
     return portfolio_plan.backfill_summary(*split_returns(spark, folder))
+
+
+@add("""SELECT event_type AS portfolio, strftime(CAST(ts AS DATE), '%Y-%m-%d') AS day, count(*) - 1 AS rows FROM events GROUP BY ALL HAVING count(*) > 1""")
+def repeated_dates(spark, folder):
+    """The reject frame of operators that take one row per key and date, over events as returns."""
+    rows = table(spark, folder, "events").select(F.col("event_type").alias("portfolio"), F.col("ts").alias("date"), "value")
+    found = skew.repeated_dates(rows, ["portfolio"], "date")
+    return found.select("portfolio", DAY("date").alias("day"), "rows")
