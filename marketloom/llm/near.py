@@ -9,9 +9,8 @@ signatures agree in a value with the probability of the similarity, without bias
 Texts of equal shingle multisets are one from the start, and named by their digest (``same``) from then on. Texts that agree
 in a band of values meet in a bucket; buckets of the same members are one. Within a bucket every text is compared with one
 hub; those outside the largest class that results are compared with all members of other classes, so that no link between
-two texts of a bucket is lost. For that they do not send their shingles: the numbers of shingles in ``BINS`` hash bins bound
-the overlap of two texts from above, and only pairs whose bound reaches the threshold are read and compared. Every link is
-verified by the exact overlap.
+two texts of a bucket is lost. For that they send 32 bits of each shingle, by which two texts share no less than they do in
+truth; the few pairs that reach the threshold so are read and compared. Every link is verified by the exact overlap.
 
 Defined results: a text without words (or null) is in a class of its own; a text of fewer than five words is one shingle;
 repeated rows share their class; rows that share a doc_id and differ in their texts are classed each by its text; a null
@@ -36,8 +35,6 @@ SIMILAR = 0.8
 #: 24 bands of 5 values: a pair of similarity 0.8 is missed with a chance of 7e-5.
 BANDS, ROWS = 24, 5
 STEP = np.uint64(0x9E3779B97F4A7C15)
-#: Hash bins in which the shingles of a text are counted.
-BINS = 256
 
 
 def bags(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -111,16 +108,16 @@ def _same(element: np.ndarray, times: np.ndarray, bound: np.ndarray) -> list[byt
     ]
 
 
-def _bins(owner: np.ndarray, element: np.ndarray, times: np.ndarray, n: int) -> list[bytes]:
-    """Shingles of each text in each bin, as 16-bit numbers; the largest of these stands for itself and more."""
-    at = owner * BINS + (element >> np.uint64(32)).astype(np.int64) % BINS
-    counts = np.bincount(at, weights=times, minlength=n * BINS)
-    return [row.tobytes() for row in np.minimum(counts, 65535).astype("<u2").reshape(n, BINS)]
+def _marks(owner: np.ndarray, element: np.ndarray, times: np.ndarray, n: int) -> list[bytes]:
+    """The upper 32 bits of each shingle of each text, its repetitions apart."""
+    text, token = tokens_of(owner, element, times)
+    marks, bound = (token >> np.uint64(32)).astype("<u4"), np.searchsorted(text, np.arange(n + 1)).tolist()
+    return [np.sort(marks[a:b]).tobytes() for a, b in zip(bound[:-1], bound[1:])]
 
 
 def prints(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, same, size, bins, bands): ``same`` is equal for texts of equal shingle multisets, null for a text without
-    words; ``size`` and ``bins`` count its shingles."""
+    """(doc_id, same, marks, bands): ``same`` is equal for texts of equal shingle multisets, null for a text without words;
+    ``marks`` are 32 bits of each shingle."""
 
     def scan(batches):
         for whole in batches:
@@ -129,14 +126,13 @@ def prints(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
                 n = batch.num_rows
                 keys = band_keys(signatures(owner, element, times, n, bands * rows), bands, rows)
                 same = _same(element, times, np.searchsorted(owner, np.arange(n + 1)))
-                size = np.bincount(owner, weights=times, minlength=n).astype(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * bands, pa.int32()), pa.array(keys.reshape(-1)))
                 yield pa.record_batch(
-                    [batch.column("doc_id"), pa.array(same, pa.binary()), pa.array(size), pa.array(_bins(owner, element, times, n), pa.binary()), lists],
-                    names=["doc_id", "same", "size", "bins", "bands"],
+                    [batch.column("doc_id"), pa.array(same, pa.binary()), pa.array(_marks(owner, element, times, n), pa.binary()), lists],
+                    names=["doc_id", "same", "marks", "bands"],
                 )
 
-    return texts_of(docs, "doc_id").mapInArrow(scan, "doc_id long, same binary, size long, bins binary, bands array<long>")
+    return texts_of(docs, "doc_id").mapInArrow(scan, "doc_id long, same binary, marks binary, bands array<long>")
 
 
 def token_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -163,14 +159,15 @@ def similarity(a: Column, b: Column) -> Column:
 def verified(pairs: DataFrame, first: DataFrame, docs: DataFrame, k: int, similar: float) -> DataFrame:
     """The pairs (a, b) of texts whose multiset overlap reaches ``similar``; only texts of the pairs are made into sets."""
     asked = staged(pairs.select(F.explode(F.array("a", "b")).alias("same")).distinct(), "asked")
-    ids = first.join(asked, "same").select(F.col("doc").alias("doc_id")).distinct()
+    # Written, so that Spark knows its size: texts are shuffled only where the ids are too many to be sent to the scan.
+    ids = staged(first.join(asked, "same").select(F.col("doc").alias("doc_id")).distinct(), "ids")
     # A doc_id may bring other texts as well.
     sets = token_sets(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), k).dropDuplicates(["same"])
     sets = staged(sets.join(asked, "same", "left_semi"), "tokens")
     left = sets.select(F.col("same").alias("a"), F.col("tokens").alias("of_a"))
     right = sets.select(F.col("same").alias("b"), F.col("tokens").alias("of_b"))
     found = staged(pairs.join(right, "b").join(left, "a").where(similarity(F.col("of_a"), F.col("of_b")) >= similar).select("a", "b"), "verified")
-    removed(asked, sets)
+    removed(asked, ids, sets)
     return found
 
 
@@ -195,8 +192,7 @@ def _classed(docs: DataFrame, k: int, similar: float, bands: int, rows: int) ->
     left = staged(_open_buckets(members, comp), "open")
     removed(pairs, members)
     if not left.isEmpty():
-        counted = known.select("same", "size", "bins").dropDuplicates(["same"])
-        near = staged(may_link(left, counted, similar), "near")
+        near = staged(may_link(left, known.select("same", "marks"), similar), "near")
         links = links.unionByName(verified(near, first, docs, k, similar))
         comp = components(links)
         removed(near)
@@ -231,41 +227,47 @@ ASKED, AGAINST = 128, 4096
 ROUNDING = 1e-6
 
 
-def may_link(left: DataFrame, counted: DataFrame, similar: float) -> DataFrame:
-    """Pairs (a, b) of members of one bucket and different classes whose overlap may reach ``similar``.
+def may_link(left: DataFrame, marked: DataFrame, similar: float) -> DataFrame:
+    """Pairs (a, b) of members of one bucket and different classes that reach ``similar`` by 32 bits of each shingle.
 
     Every member outside the largest class is set against all members of other classes. Both sides are cut into blocks, so
-    that a group holds a bounded number of texts however large the bucket is; a text is ``BINS`` small numbers there, and the
-    sum of the smaller numbers of two texts is no less than what they share.
+    that a group holds a bounded number of texts however large the bucket is, and only what may be a link leaves it. Two
+    texts share no fewer marks than shingles. ``marked``: same, marks, with one or more rows per text.
     """
+    asked = left.select("same").distinct()
+    marked = marked.join(asked, "same", "left_semi").groupBy("same").agg(F.max("marks").alias("marks"))
     outside = F.col("comp") != F.col("top")
     sizes = left.groupBy("key").agg(
         F.ceil(F.sum(outside.cast("long")) / ASKED).cast("int").alias("blocks"), F.ceil(F.count("*") / AGAINST).cast("int").alias("parts")
     )
-    rows = left.join(sizes, "key").join(counted, "same")
+    rows = left.join(sizes, "key").join(marked, "same")
     spread = F.xxhash64("same")
     ask = rows.where(outside).select(
         "key", F.pmod(spread, "blocks").cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
-        F.lit(True).alias("asks"), "same", "comp", "size", "bins",
+        F.lit(True).alias("asks"), "same", "comp", "marks",
     )
     answer = rows.select(
         "key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(spread, "parts").cast("int").alias("part"),
-        F.lit(False).alias("asks"), "same", "comp", "size", "bins",
+        F.lit(False).alias("asks"), "same", "comp", "marks",
     )
 
     def compare(group):
-        asks = group.asks.to_numpy()
-        bins = np.frombuffer(b"".join(group.bins), "<u2").reshape(-1, BINS)
-        size, comp, same = group["size"].to_numpy(), group.comp.to_numpy(), group.same.to_numpy()
+        asks, comp, same = group.asks.to_numpy(), group.comp.to_numpy(), group.same.to_numpy()
+        marks = [np.frombuffer(m, "<u4") for m in group.marks]
+        size = np.array([len(m) for m in marks], np.int64)
         own, found = np.flatnonzero(asks), set()
-        for i in np.flatnonzero(~asks).tolist() if len(own) else []:
-            fit = own[(comp[own] != comp[i]) & (size[own] >= similar * size[i] - ROUNDING) & (size[i] >= similar * size[own] - ROUNDING)]
-            if not len(fit):
-                continue
-            less = np.minimum(bins[fit], bins[i])
-            shared = np.where((less == 65535).any(axis=1), np.minimum(size[fit], size[i]), less.sum(axis=1, dtype=np.int64))
-            for j in fit[shared >= similar * (size[fit] + size[i] - shared) - ROUNDING].tolist():
-                found.add((min(same[i], same[j]), max(same[i], same[j])))
+        if len(own):
+            tokens, owner = np.concatenate([marks[i] for i in own]), np.repeat(np.arange(len(own)), size[own])
+            order = np.argsort(tokens, kind="stable")
+            tokens, owner = tokens[order], owner[order]
+            for i in np.flatnonzero(~asks).tolist():
+                low, high = np.searchsorted(tokens, marks[i], "left"), np.searchsorted(tokens, marks[i], "right")
+                n = high - low
+                hit = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                shared = np.bincount(owner[hit], minlength=len(own))
+                good = (shared >= similar * (size[own] + size[i] - shared) - ROUNDING) & (comp[own] != comp[i])
+                for j in own[good].tolist():
+                    found.add((min(same[i], same[j]), max(same[i], same[j])))
         return pd.DataFrame(sorted(found), columns=["a", "b"], dtype=object)
 
     groups = ask.unionByName(answer).groupBy("key", "block", "part")
