@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from array import array
+from collections.abc import Callable
 
 import numpy as np
 import public_tokenizers
@@ -28,8 +29,10 @@ PIECE = re.compile(
 )
 
 
-# Pieces that the splitter leaves whole: letters, digits, or signs other than apostrophes, each with a space before it or not.
-WHOLE = re.compile(rf" ?(?:[{LETTER}]+|[0-9]+|[!-&(-/:-@\[-`{{-~]+)")
+# Pieces that the splitter cuts into runs of letters, of digits, and of signs other than apostrophes; a space goes with the
+# first run.
+RUN = re.compile(rf" ?(?:[{LETTER}]+|[0-9]+|[!-&(-/:-@\[-`{{-~]+)")
+RUNS = re.compile(rf" ?[{LETTER}0-9!-&(-~]+")
 
 
 def byte_letters() -> dict[int, str]:
@@ -39,19 +42,30 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class Pieces(dict):
+    """Ids of pieces; those of a piece that is asked for first are found by ``learn``."""
+
+    def __init__(self, learn: Callable[[str], bytes]) -> None:
+        self.learn = learn
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self[piece] = self.learn(piece)
+        return ids
+
+
 class Encoder:
     """Encodes texts to ids as ``Tokenizer.encode(text, add_special_tokens=False)`` does.
 
     The string of a special token in a text is that token, unless ``special_as_text``. Pieces that were met lately are looked
-    up; of others, those that the splitter leaves whole go straight to the merges.
+    up; of others, runs of one kind of character go straight to the merges.
     """
 
     def __init__(self, vocabulary: str = VOCABULARY, special_as_text: bool = False) -> None:
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.encode_special_tokens = special_as_text
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.merge = self.tokenizer.model.tokenize
+        self.known, self.older = Pieces(self._learn), {}
         self.letters = byte_letters()
         added = self.tokenizer.get_added_tokens_decoder().values()
         names = [re.escape(t.content) for t in added if not special_as_text or not t.special]
@@ -61,47 +75,33 @@ class Encoder:
     def of_worker(cls, vocabulary: str = VOCABULARY) -> Encoder:
         return worker_state(f"encoder {vocabulary}", lambda: cls(vocabulary))
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Ids of pieces that are not known, from the older half of the memory or from the tokenizer."""
-        known, older, merge, kind = self.known, self.older, self.tokenizer.model.tokenize, self.dtype.char
-        split, space = [], self.letters[32]
-        for piece in pieces:
-            if piece in older:
-                known[piece] = older[piece]
-            elif piece.isascii() and (piece[1:] if piece[0] == " " else piece).isalpha():
-                spelled = space + piece[1:] if piece[0] == " " else piece
-                known[piece] = array(kind, [t.id for t in merge(spelled)]).tobytes()
-            elif WHOLE.fullmatch(piece):
-                spelled = piece.encode().decode("latin-1").translate(self.letters)
-                known[piece] = array(kind, [t.id for t in merge(spelled)]).tobytes()
-            else:
-                split.append(piece)
-        for begin in range(0, len(split), 4096):
-            part = split[begin : begin + 4096]
-            for piece, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                known[piece] = array(kind, found.ids).tobytes()
+    def _learn(self, piece: str) -> bytes:
+        """Ids of a piece that is not known, from the older half of the memory or from the tokenizer."""
+        ids = self.older.get(piece)
+        if ids is not None:
+            return ids
+        if RUN.fullmatch(piece):
+            spelled = piece.encode().decode("latin-1").translate(self.letters)
+            return self._bytes([t.id for t in self.merge(spelled)])
+        if RUNS.fullmatch(piece):
+            return b"".join(map(self.known.__getitem__, RUN.findall(piece)))
+        return self._whole(piece)
+
+    def _whole(self, text: str) -> bytes:
+        return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        return array(self.dtype.char, ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text with the end id, as little-endian numbers of ``dtype``."""
-        if len(self.known) > REMEMBERED:
-            self.older, self.known = self.known, {}
-        known, find, end = self.known, PIECE.findall, array(self.dtype.char, [END_ID]).tobytes()
-        out: list = []
-        new, open_texts = set(), []
-        for i, text in enumerate(texts):
-            if self.special and self.special.search(text):
-                out.append([array(self.dtype.char, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()])
-                continue
-            pieces = find(text)
-            ids = list(map(known.get, pieces))
-            if None in ids:
-                missing = [k for k, own in enumerate(ids) if own is None]
-                new.update([pieces[k] for k in missing])
-                open_texts.append((i, [(k, pieces[k]) for k in missing]))
-            out.append(ids)
-        self._learn(list(new))
-        for i, missing in open_texts:
-            ids = out[i]
-            for k, piece in missing:
-                ids[k] = known[piece]
-        return [b"".join(ids) + end for ids in out]
+        end, special = self._bytes([END_ID]), self.special
+        out = []
+        for text in texts:
+            if len(self.known) > REMEMBERED:
+                self.older, self.known = self.known, Pieces(self._learn)
+            if special and special.search(text):
+                out.append(self._whole(text) + end)
+            else:
+                out.append(b"".join(map(self.known.__getitem__, PIECE.findall(text))) + end)
+        return out

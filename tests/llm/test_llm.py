@@ -139,7 +139,7 @@ def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
 
-@pytest.mark.parametrize("text", ["a  b\n\n c \t d", " it's, 3.14... ok!.", "é,x . y", "  ", "a  ", "<|endoftext|> x", "你好 .,; 'll"])
+@pytest.mark.parametrize("text", ["a  b\n\n c \t d", " it's, 3.14... ok!.", "é,x . y", "  ", "a  ", "<|endoftext|> x", "你好 .,; 'll", "ab$$$12#c&&& 9x!!"])
 def test_pieces_encode_like_the_whole(text):
     from marketloom.llm.tokens import Encoder
 
