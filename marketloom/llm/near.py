@@ -10,7 +10,8 @@ Texts of equal shingle multisets are one from the start, and named by their dige
 in a band of values meet in a bucket; buckets of the same members are one. Within a bucket every text is compared with one
 hub; those outside the largest class that results are compared with all members of other classes, so that no link between
 two texts of a bucket is lost. For that they send 32 bits of each shingle, by which two texts share no less than they do in
-truth; the few pairs that reach the threshold so are read and compared. Every link is verified by the exact overlap.
+truth. Of the pairs that reach the threshold so, those that join the classes of a bucket are read and compared; if one of
+them does not hold, all others between classes that are still apart follow. Every link is verified by the exact overlap.
 
 Defined results: a text without words (or null) is in a class of its own; a text of fewer than five words is one shingle;
 repeated rows share their class; rows that share a doc_id and differ in their texts are classed each by its text; a null
@@ -189,14 +190,23 @@ def _classed(docs: DataFrame, k: int, similar: float, bands: int, rows: int) ->
     pairs = staged(members.where("same <> hub").select(F.col("hub").alias("a"), F.col("same").alias("b")).distinct(), "pairs")
     links = verified(pairs, first, docs, k, similar)
     comp = components(links)
-    left = staged(_open_buckets(members, comp), "open")
-    removed(pairs, members)
-    if not left.isEmpty():
-        near = staged(may_link(left, known.select("same", "marks"), similar), "near")
-        links = links.unionByName(verified(near, first, docs, k, similar))
-        comp = components(links)
-        removed(near)
-    removed(left)
+    removed(pairs)
+    # Links that join the classes of a bucket are enough if all of them hold; only if one does not are all the others tried.
+    for forest in (True, False):
+        left = staged(_open_buckets(members, comp), "open")
+        tried = held = 0
+        if not left.isEmpty():
+            near = staged(may_link(left, known.select("same", "marks"), similar, forest), "near")
+            more = verified(near, first, docs, k, similar)
+            tried, held = near.count(), more.count()
+            if held:
+                links = links.unionByName(more)
+                comp = components(links)
+            removed(near)
+        removed(left)
+        if tried == held:
+            break
+    removed(members)
 
     one = first.join(comp.select(F.col("doc").alias("same"), "comp"), "same", "left").select("same", "doc", F.coalesce("comp", "same").alias("comp"))
     own = one.groupBy("comp").agg(F.min(F.struct("doc", "same")).alias("head"))
@@ -227,9 +237,12 @@ ASKED, AGAINST = 128, 4096
 ROUNDING = 1e-6
 
 
-def may_link(left: DataFrame, marked: DataFrame, similar: float) -> DataFrame:
+def may_link(left: DataFrame, marked: DataFrame, similar: float, forest: bool = False) -> DataFrame:
     """Pairs (a, b) of members of one bucket and different classes that reach ``similar`` by 32 bits of each shingle.
 
+    With ``forest``, a group leaves out pairs whose classes its earlier pairs already join, so it gives fewer pairs than it
+    has classes.
+
     Every member outside the largest class is set against all members of other classes. Both sides are cut into blocks, so
     that a group holds a bounded number of texts however large the bucket is, and only what may be a link leaves it. Two
     texts share no fewer marks than shingles. ``marked``: same, marks, with one or more rows per text.
@@ -256,6 +269,14 @@ def may_link(left: DataFrame, marked: DataFrame, similar: float) -> DataFrame:
         marks = [np.frombuffer(m, "<u4") for m in group.marks]
         size = np.array([len(m) for m in marks], np.int64)
         own, found = np.flatnonzero(asks), set()
+        _, label = np.unique(comp, return_inverse=True)
+        joined = list(range(int(label.max()) + 1))
+
+        def top(x: int) -> int:
+            while joined[x] != x:
+                joined[x] = x = joined[joined[x]]
+            return x
+
         if len(own):
             tokens, owner = np.concatenate([marks[i] for i in own]), np.repeat(np.arange(len(own)), size[own])
             order = np.argsort(tokens, kind="stable")
@@ -267,6 +288,11 @@ def may_link(left: DataFrame, marked: DataFrame, similar: float) -> DataFrame:
                 shared = np.bincount(owner[hit], minlength=len(own))
                 good = (shared >= similar * (size[own] + size[i] - shared) - ROUNDING) & (comp[own] != comp[i])
                 for j in own[good].tolist():
+                    if forest:
+                        x, y = top(label[i]), top(label[j])
+                        if x == y:
+                            continue
+                        joined[x] = y
                     found.add((min(same[i], same[j]), max(same[i], same[j])))
         return pd.DataFrame(sorted(found), columns=["a", "b"], dtype=object)
 

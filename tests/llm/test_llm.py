@@ -407,8 +407,9 @@ def test_near_edges(edge):
     assert kept.columns == edge.columns and Counter(r.doc_id for r in kept.collect())[1] == 1
 
 
+@pytest.mark.parametrize("forest", [True, False])
 @pytest.mark.parametrize("block", [(128, 4096), (2, 3)])
-def test_links_that_the_hub_misses(spark, monkeypatch, block):
+def test_links_that_the_hub_misses(spark, monkeypatch, block, forest):
     """Texts 1 to 6 meet in one bucket whose hub 1 links to none; the star alone would miss the other links."""
     monkeypatch.setattr(near, "ASKED", block[0])
     monkeypatch.setattr(near, "AGAINST", block[1])
@@ -419,7 +420,9 @@ def test_links_that_the_hub_misses(spark, monkeypatch, block):
     name = {r.doc_id: bytes(r.same) for r in known.collect()}
     members = spark.createDataFrame([(9, name[d], name[1]) for d in texts], "key long, same binary, hub binary")
     none = spark.createDataFrame([], "doc binary, comp binary")
-    pairs = near.may_link(near._open_buckets(members, none), known.drop("doc_id"), 0.8)
+    pairs = near.may_link(near._open_buckets(members, none), known.drop("doc_id"), 0.8, forest)
+    if block[0] > len(texts):
+        assert pairs.count() == (4 if forest else 10)  # what joins five texts, and all of their pairs
     assert not any(name[1] in (bytes(r.a), bytes(r.b)) for r in pairs.collect())  # its bound is too low
     first = known.select("same", known["doc_id"].alias("doc"))
     found = rows(near.components(near.verified(pairs, first, docs, 5, 0.8)))
