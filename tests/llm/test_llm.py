@@ -431,6 +431,24 @@ def test_links_that_the_hub_misses(spark, monkeypatch, block, forest):
     known.unpersist()
 
 
+@pytest.mark.parametrize("refused", [1, 2])
+def test_refused_links_leave_no_link_out(spark, monkeypatch, refused):
+    """Where the star's pairs, and then the pairs that join classes, are all refused, the rest still finds the classes."""
+    words = [f"v{i}" for i in range(100)]
+    texts = {1: "some other text of more than five words", **{i: " ".join(words + [f"end{i}"]) for i in range(2, 9)}}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    calls, verify = [], near.verified
+
+    def refusing(*args):
+        calls.append(args)
+        found = verify(*args)
+        return found.limit(0) if len(calls) <= refused else found
+
+    monkeypatch.setattr(near, "verified", refusing)
+    assert dict(rows(near.classes(docs))) == {1: 1, **{i: 2 for i in range(2, 9)}}
+    assert len(calls) == refused + 1
+
+
 def test_marks_bound_the_overlap():
     rng = np.random.default_rng(5)
     for _ in range(50):
