@@ -4,30 +4,50 @@ A term can only occur in a text that holds the term's runs of three characters,
 so each term is filed under the run that the fewest texts hold (a term of one or
 two characters under itself). Texts meet the terms by these runs in an equi join;
 what meets is verified by looking for the whole term. Work follows the texts
-plus what the rarest runs have in common, not texts times queries.
+plus what the rarest runs have in common, not texts times queries. The runs of a
+text are found in one pass over its characters, and are numbers.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import query_terms
+from ..session import written
 
 RUN = 3
+#: Bits of a character in a run's number; characters count from 1, so that shorter runs differ from longer ones.
+BITS = 21
+#: Bits of a pair's number that its block leaves out: a row holds the numbers of at most so many pairs at a time.
+BLOCK = 16
 
 
-def _runs(text: Column, size: int) -> Column:
-    """The different runs of ``size`` characters of a text."""
-    starts = F.sequence(F.lit(1), F.length(text) - size + 1)
-    some = F.transform(starts, lambda i: F.substring(text, i, F.lit(size)))
-    return F.when(F.length(text) >= size, F.array_distinct(some)).otherwise(F.array().cast("array<string>"))
+def _numbers(text: str, size: int) -> np.ndarray:
+    """One number for the ``size`` characters from each position on."""
+    chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64) + 1
+    total = np.zeros(max(0, len(chars) - size + 1), np.int64)
+    for i in range(size):
+        total |= chars[i : i + len(total)] << (BITS * i)
+    return total
 
 
-def _lowered(texts: Sequence[str]) -> Column:
-    return F.array(*[F.lower(F.coalesce(F.col(c), F.lit(""))) for c in texts])
+def _runs(sizes: Sequence[int], *texts: Column) -> Column:
+    """The different runs of ``sizes`` characters of some texts without nulls."""
+
+    @F.pandas_udf("array<long>")
+    def runs(*columns: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(np.concatenate([_numbers(t, s) for t in row for s in sizes])) for row in zip(*columns)], dtype=object)
+
+    return runs(*texts)
+
+
+def _lowered(texts: Sequence[str]) -> list[Column]:
+    return [F.lower(F.coalesce(F.col(c), F.lit(""))) for c in texts]
 
 
 def terms_of(queries: DataFrame, query: str = "query") -> DataFrame:
@@ -35,41 +55,46 @@ def terms_of(queries: DataFrame, query: str = "query") -> DataFrame:
     return queries.select(F.explode(query_terms(F.col(query))).alias("term")).filter("term <> ''").distinct()
 
 
-def matches(rows: DataFrame, terms: DataFrame, row_id: str, texts: Sequence[str]) -> DataFrame:
+def matches(rows: DataFrame, terms: DataFrame, row_id: str, texts: Sequence[str], *, on: str | None = None) -> DataFrame:
     """(row_id, term) for every term that occurs in one of the texts of a row, in any letter case.
 
-    Ids must be unique. A term of a run that all texts hold is verified in all texts, as any method must.
+    Ids must be unique. With ``on``, a column of both sides, only terms of the same ``on`` are looked for, and it is
+    returned too. A term of a run that all texts hold is verified in all texts, as any method must.
     """
-    lowered = rows.select(F.col(row_id), _lowered(texts).alias("_texts"))
-    own = terms.select("term", F.least(F.length("term"), F.lit(RUN)).alias("size"))
-    wanted = own.select("term", F.explode(F.when(F.col("size") == 1, _runs(F.col("term"), 1)).when(F.col("size") == 2, _runs(F.col("term"), 2)).otherwise(_runs(F.col("term"), RUN))).alias("run"))
+    keys = [row_id] if on is None else [row_id, on]
+    terms = written(terms.select("term", *keys[1:]).distinct(), "terms")
+    own = terms.select("term").distinct().withColumn("size", F.least(F.length("term"), F.lit(RUN)))
     sizes = sorted(r["size"] for r in own.select("size").distinct().collect())  # at most 1, 2 and 3
     if not sizes:
-        return rows.select(row_id).limit(0).withColumn("term", F.lit(""))
-
-    def all_runs(t: Column) -> Column:
-        return F.concat(*[_runs(t, s) for s in sizes])
-
-    held = lowered.select(row_id, F.explode(F.array_distinct(F.flatten(F.transform("_texts", all_runs)))).alias("run"))
+        return rows.select(*keys).limit(0).withColumn("term", F.lit(""))
+    # Small tables are written, so that Spark knows their size and need not shuffle the runs of all texts to meet them.
+    of_term = F.when(F.col("size") == 1, _runs([1], F.col("term"))).when(F.col("size") == 2, _runs([2], F.col("term")))
+    wanted = written(own.select("term", F.explode(of_term.otherwise(_runs([RUN], F.col("term")))).alias("run")), "wanted")
+    held = rows.select(*keys, F.explode(_runs(sizes, *_lowered(texts))).alias("run"))
     # Only runs of terms are counted; counts combine before their shuffle.
-    known = held.join(wanted.select("run").distinct(), "run", "left_semi")
+    known = held.select("run").join(written(wanted.select("run").distinct(), "runs"), "run", "left_semi")
     counts = known.groupBy("run").agg(F.count("*").alias("n"))
     # A term with a run that no text holds occurs nowhere, so it is dropped with that run.
     rated = wanted.join(counts, "run", "left")
     filed = rated.groupBy("term").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "run")).alias("rarest"))
-    filed = filed.filter("rarest.n > 0").select("term", "rarest.run")
-    met = held.join(filed, "run").groupBy(row_id).agg(F.collect_list("term").alias("_terms"))
+    filed = written(filed.filter("rarest.n > 0").select("term", "rarest.run").join(terms, "term"), "filed")
+    met = held.join(filed, ["run", *keys[1:]]).groupBy(*keys).agg(F.collect_list("term").alias("_terms"))
     occurs = lambda t: F.exists("_texts", lambda x: F.contains(x, t))
-    return lowered.join(met, row_id).select(row_id, F.explode(F.filter("_terms", occurs)).alias("term"))
+    lowered = rows.select(*keys, F.array(*_lowered(texts)).alias("_texts"))
+    return lowered.join(met, keys).select(*keys, F.explode(F.filter("_terms", occurs)).alias("term"))
 
 
 def matching_pairs(rows: DataFrame, pairs: DataFrame, row_id: str, texts: Sequence[str], *, on: str, query: str = "query") -> DataFrame:
     """Rows joined with the pairs of the same ``on`` whose query has a term in one of the row's texts, once per row and
     pair. Equals a join on ``on`` followed by ``filters.matching_query``, without a row per (row, pair)."""
-    named = pairs.withColumn("_pair", F.monotonically_increasing_id())
-    listed = named.select("_pair", F.col(on).alias("_on"), F.explode(F.array_distinct(query_terms(F.col(query)))).alias("term"))
-    found = matches(rows, terms_of(pairs, query), row_id, texts)
-    placed = found.join(rows.select(row_id, F.col(on).alias("_of")), row_id)
-    hits = placed.join(listed, (placed["term"] == listed["term"]) & (F.col("_of") == F.col("_on"))).select(row_id, "_pair").distinct()
+    named = written(pairs.withColumn("_pair", F.monotonically_increasing_id()), "pairs")
+    listed = named.select("_pair", on, F.explode(F.array_distinct(query_terms(F.col(query)))).alias("term")).filter("term <> ''")
+    block = F.shiftright("_pair", BLOCK).alias("_block")
+    lists = written(listed.groupBy(on, "term", block).agg(F.collect_list("_pair").alias("_pairs")), "lists")
+    found = matches(rows, lists, row_id, texts, on=on)
+    # A row's terms are in one task already, so its pairs are told apart there, and a block of them is one row until the end.
+    met = F.array_distinct(F.flatten(F.collect_list("_pairs")))
+    hits = found.join(lists, [on, "term"]).groupBy(row_id, on, "_block").agg(met.alias("_pairs"))
     rest = [c for c in pairs.columns if c != on]
-    return rows.join(hits, row_id).join(named.select("_pair", *rest), "_pair").drop("_pair")
+    joined = rows.join(hits, [row_id, on]).select(*rows.columns, F.explode("_pairs").alias("_pair")).join(named.select("_pair", *rest), "_pair")
+    return joined.select(row_id, *[c for c in rows.columns if c != row_id], *rest)

@@ -63,6 +63,13 @@ def run_folder(spark: SparkSession, purpose: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, purpose: str) -> DataFrame:
+    """The rows, written to the shared folder and read back, so that their size is known and they are worked out once."""
+    path = run_folder(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread_scan(df: DataFrame) -> DataFrame:
     """Spread a scan that has fewer splits than the session has cores.
 

@@ -41,6 +41,27 @@ def test_no_terms_and_no_texts(spark):
     assert keywords.matches(posts.limit(0), keywords.terms_of(pairs), "_id", ["text"]).count() == 0
 
 
+def test_long_texts_take_time_in_proportion(spark):
+    """The runs of a text were cut one by one from its start, so 30 texts of 200,000 characters took many minutes."""
+    import time
+
+    posts = spark.createDataFrame([(i, "s", f"é{i}x " + "aß𝒳c " * 40_000) for i in range(30)], "_id long, on string, text string").repartition(4)
+    pairs = spark.createDataFrame([("u", "s", "É7X OR ß𝒳"), ("v", "s", "é8x OR none"), ("w", "t", "aß")], "k string, on string, query string")
+    began = time.time()
+    found = keywords.matching_pairs(posts, pairs, "_id", ["text"], on="on")
+    assert rows(found, "_id", "k") == sorted([(i, "u") for i in range(30)] + [(8, "v")], key=repr)
+    assert found.columns == ["_id", "on", "text", "k", "query"]
+    assert time.time() - began < 60
+
+
+def test_pairs_met_by_several_terms_and_blocks_count_once(spark, monkeypatch):
+    monkeypatch.setattr(keywords, "BLOCK", 2)
+    posts = spark.createDataFrame([(1, "s", "One two"), (1, "s", "One two"), (2, "t", "two"), (None, "s", "one")], "_id long, on string, text string")
+    pairs = spark.createDataFrame([(str(i), "s" if i % 2 else None, "one OR two OR one") for i in range(40)], "k string, on string, query string")
+    found = keywords.matching_pairs(posts, pairs, "_id", ["text"], on="on")
+    assert rows(found, "_id", "k") == sorted([(1, str(i)) for i in range(1, 40, 2)] * 2, key=repr)
+
+
 def test_vector_blocks_meet_all_parts(spark, monkeypatch):
     import numpy as np
 
