@@ -82,3 +82,53 @@ def test_vector_blocks_meet_all_parts(spark, monkeypatch):
             scored = sorted((-round(float(unit[q] @ u), 6), i) for i, u in unit.items() if not (exclude and i == q))
             want += [(q, i, n + 1) for n, (_, i) in enumerate(scored[:5])]
         assert rows(got, "query_id", "id", "rank") == rows(one, "query_id", "id", "rank") == sorted(want, key=repr)
+
+
+def test_small_blocks_do_not_copy_the_corpus(spark):
+    """Every block of four queries used to take a copy of the corpus: 50 copies here."""
+    from marketloom.operators import vectors
+
+    corpus = spark.range(4000).select(F.col("id"), F.array(*[F.rand(i) - 0.5 for i in range(16)]).alias("v"))
+    queries = corpus.filter("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("vector"))
+    got = vectors.nearest(corpus, queries, 3, row_id="id", vector="v", dim=16, pass_bytes=16 * 8 * 4)
+    assert vectors._cuts(50, 4000 * 16 * 8, 16 * 8 * 4, 4) == (1, 2)
+    assert vectors._cuts(1538, 615_000 * 512, 2048, 12) == (1, 48) and vectors._cuts(4, 100 << 20, 32 << 20, 12) == (4, 4)
+    one = vectors.nearest(corpus, queries, 3, row_id="id", vector="v", dim=16)
+    assert rows(got, "query_id", "id", "rank") == rows(one, "query_id", "id", "rank") and got.count() == 600
+
+
+def test_text_ids_in_blocks_and_empty_parts(spark):
+    from marketloom.operators import vectors
+
+    data = [(f"r{i}", [float(i % 3), float(i % 5), 1.0]) for i in range(40)]
+    corpus = spark.createDataFrame(data, "id string, v array<double>").repartition(60, "id")
+    queries = corpus.filter("id like '%7'").select(F.col("id").alias("query_id"), F.col("v").alias("vector"))
+    for size in (24, vectors.PASS_BYTES):
+        got = vectors.nearest(corpus, queries, 5, row_id="id", vector="v", dim=3, exclude_self=True, pass_bytes=size)
+        found = rows(got, "query_id", "rank", "id")
+        assert len(found) == 20 and found[:2] == [("r17", 1, "r2"), ("r17", 2, "r32")] and all(q != i for q, _, i in found)
+
+
+def test_a_step_over_many_queries_stays_small():
+    """Ids of every score of a step used to be gathered and sorted: some 400 MB here."""
+    import tracemalloc
+
+    import numpy as np
+
+    from marketloom.operators import vectors
+
+    rng = np.random.default_rng(1)
+    ids = np.array([f"article-{i}" for i in range(6000)], dtype=object)
+    data = rng.normal(size=(6000, 16))
+    best = vectors._Best(ids[:1200], data[:1200], 5, True)
+    tracemalloc.start()
+    for i in (0, 3000):
+        best.see(ids[i : i + 3000], data[i : i + 3000])
+    assert tracemalloc.get_traced_memory()[1] < 80 << 20
+    tracemalloc.stop()
+    unit = data / np.linalg.norm(data, axis=1, keepdims=True)
+    scores = np.round(unit[:1200] @ unit.T, 6)
+    np.fill_diagonal(scores, -9)
+    for q in range(0, 1200, 97):
+        want = sorted(range(6000), key=lambda i: (-scores[q, i], ids[i]))[:5]
+        assert best.ids[q].tolist() == [ids[i] for i in want]
