@@ -15,12 +15,23 @@ streams_queries = Registry()
 add = streams_queries.add
 
 
-def _stream(spark, folder, name, per_batch=2):
-    """A table landed as three files in no order, read ``per_batch`` files at a time."""
+#: Bytes of input files that one landed file takes.
+LANDED_BYTES = 32 << 20
+
+
+def _files(rows):
+    """Files to land a table in: three, or more where each would take more than LANDED_BYTES of it."""
+    read = rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size")).distinct()
+    size = read.agg(F.sum("size").alias("size")).first()["size"] or 0
+    return max(3, -(-size // LANDED_BYTES))
+
+
+def _stream(spark, folder, name):
+    """A table landed as three files or more in no order, read in two batches: two thirds of the files, then the others."""
     rows = spark.read.parquet(f"{folder}/{name}.parquet")
-    landed = run_folder(spark, f"landed-{name}")
-    rows.repartition(3, F.xxhash64(*rows.columns)).write.parquet(landed)
-    return streams.file_stream(spark, landed, rows.schema, per_batch=per_batch)
+    landed, files = run_folder(spark, f"landed-{name}"), _files(rows)
+    rows.repartition(files, F.xxhash64(*rows.columns)).write.parquet(landed)
+    return streams.file_stream(spark, landed, rows.schema, per_batch=files - files // 3)
 
 
 def _landed_in_order(spark, folder, name, ts, files=6):
