@@ -6,8 +6,8 @@ one anchor form a stretch, so each window lies in one stretch, and equal windows
 1. Stretches whose anchor occurs in one document only cannot repeat and go. Tasks ship sorted, packed anchors to the
    anchor's bucket; an anchor that a task already saw in two documents is known to repeat, so its stretches are spread over
    all buckets and only one of them goes to its own: a frequent passage fills no bucket.
-2. The texts of the remaining stretches are grouped by content (combined before the shuffle, keeping the smallest
-   document) and dealt to buckets by anchor. In a bucket, shards of stretches are sorted to Burrows-Wheeler transforms whose
+2. The texts of the remaining stretches are dealt to buckets by anchor and grouped there by content, keeping the smallest
+   document. In a bucket, shards of stretches are sorted to Burrows-Wheeler transforms whose
    symbols are the 25 bytes before a suffix. The transforms are merged by interleave refinement: starting from any
    interleaving, each round sorts the interleaving stably by its symbols, which orders it 25 bytes deeper; suffixes are
    never compared. Neighbours that a round tears apart have their common prefix there. After two rounds the unbroken
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import digests
-from .shared import mix, staged, steps, text_bytes, texts_of
+from .shared import mix, removed, staged, steps, text_bytes, texts_of
 
 LENGTH = 50
 #: Bytes of an anchor string.
@@ -356,11 +356,16 @@ def windows_met(parts: DataFrame) -> DataFrame:
 
     kept = staged(parts.select("doc", "part").mapInArrow(named, "high long, low long, size int, doc long, part binary"), "frequent")
     dealt = kept.select("high", "low", "doc", "part").mapInArrow(deal, "first long, second long, high long, low long, doc long, at int")
+    # Each step is written, so that its shuffle files go before those of the next one come.
     shared = dealt.groupBy("first", "second").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").drop("most")
+    shared = staged(shared, "shared")
     found = dealt.join(shared, ["first", "second"]).where("least < doc")
-    found = found.groupBy("high", "low").agg(F.collect_list(F.struct("at", "least")).alias("found"))
+    found = staged(found.groupBy("high", "low").agg(F.collect_list(F.struct("at", "least")).alias("found")), "met")
+    removed(shared)
     whole = kept.select("high", "low", "size", "doc").join(found, ["high", "low"], "left")
-    return whole.mapInArrow(fill, "high long, low long, least binary")
+    filled = staged(whole.mapInArrow(fill, "high long, low long, least binary"), "filled")
+    removed(kept, found)
+    return filled
 
 
 # -- operator --------------------------------------------------------------------------
@@ -370,7 +375,8 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
     """(doc, check, spans): packed byte stretches to remove of each document. ``docs``: doc, check, text."""
     spark = docs.sparkSession
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = repeated_stretches(docs, buckets).groupBy("doc").agg(F.collect_list(F.struct("check", "anchor", "at", "size")).alias("own"))
+    repeated = staged(repeated_stretches(docs, buckets), "repeated")  # so that packed anchors go before texts are shuffled
+    found = repeated.groupBy("doc").agg(F.collect_list(F.struct("check", "anchor", "at", "size")).alias("own"))
 
     def take(batches):
         for batch in batches:
@@ -396,13 +402,12 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
 
     names = "high long, low long, anchor int, doc long, check long, at int, size int, part binary"
     texts = staged(docs.join(found, "doc").select("doc", "check", "text", "own").mapInArrow(take, names), "stretches")
+    removed(repeated)
     held = F.sum(F.col("size").cast("long") + (LENGTH - 1)).alias("held")
     whole = texts.agg(held).first().held or 0
     frequent = staged(texts.groupBy("anchor").agg(held).where(F.col("held") > HOT_BYTES).select("anchor"), "anchors")
     some = not frequent.isEmpty()
     rest = texts.join(frequent, "anchor", "left_anti") if some else texts
-    distinct = rest.groupBy("anchor", "part").agg(F.min("doc").alias("doc"))
-
     def refine(batches):
         rows = [pa.Table.from_batches([b]) for b in batches if b.num_rows]
         if not rows:
@@ -421,11 +426,14 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
             yield pa.record_batch([pa.array(high[i:j]), pa.array(low[i:j]), blobs], names=["high", "low", "least"])
 
     merged = max(buckets, -(-whole // BUCKET_BYTES))
-    bucket = F.pmod(F.xxhash64("anchor"), F.lit(merged)).cast("int")
-    known = distinct.repartitionById(merged, bucket).mapInArrow(refine, "high long, low long, least binary")
+    # Equal stretches have equal anchors, so those of a bucket are told apart where they are merged, after one shuffle.
+    dealt = rest.select("anchor", "part", "doc").repartition(merged, "anchor")
+    distinct = dealt.groupBy("anchor", "part").agg(F.min("doc").alias("doc"))
+    least = [staged(distinct.mapInArrow(refine, "high long, low long, least binary"), "merged")]
     if some:
         often = texts.join(frequent, "anchor", "left_semi").groupBy("anchor", "part").agg(F.min("doc").alias("doc"))
-        known = known.unionByName(windows_met(often))
+        least.append(windows_met(often))
+    known = least[0] if len(least) == 1 else least[0].unionByName(least[1])
 
     def hit(batches):
         for batch in batches:
@@ -447,7 +455,9 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
 
     spans = texts.select("high", "low", "doc", "check", "at").join(known, ["high", "low"]).select("doc", "check", "at", "least")
     spans = spans.mapInArrow(hit, "doc long, check long, begin int, end int")
-    return staged(spans.groupBy("doc", "check").agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("spans")), "spans")
+    spans = staged(spans.groupBy("doc", "check").agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("spans")), "spans")
+    removed(texts, frequent, *least)
+    return spans
 
 
 def kept_bytes(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:
