@@ -17,12 +17,13 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import staged, steps, texts_of
-from .tokens import VOCABULARY, Encoder
+from .tokens import ENCODE_BYTES, VOCABULARY, Encoder
 
 SEQUENCE = 1024
 #: Sequences in a window.
@@ -72,17 +73,17 @@ def encode_queues(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
         encoder = Encoder.of_worker(vocabulary)
         part, seen = TaskContext.get().partitionId(), {}
         for whole in batches:
-            for batch in steps(whole):
-                ids = encoder.encode(batch.column("text").to_pylist())
+            for batch in steps(whole, most=ENCODE_BYTES):
+                ids = encoder.encode_column(batch.column("text"))
                 sources = batch.column("source").to_pylist()
-                counts = [len(x) // encoder.dtype.itemsize for x in ids]
+                counts = (np.asarray(pc.binary_length(ids)) // encoder.dtype.itemsize).tolist()
                 place = []
                 for source, n in zip(sources, counts):
                     place.append(seen.get(source, 0))
                     seen[source] = place[-1] + n
                 yield pa.record_batch(
                     [pa.array([part] * len(ids), pa.int32()), batch.column("source"), batch.column("doc_id"),
-                     pa.array(place, pa.int64()), pa.array(counts, pa.int64()), pa.array(ids, pa.binary())],
+                     pa.array(place, pa.int64()), pa.array(counts, pa.int64()), ids],
                     names=["part", "source", "doc_id", "place", "n", "ids"],
                 )
 
@@ -130,7 +131,8 @@ def pack(
                 names=[x.split()[0] for x in PIECES.split(", ")],
             )
 
-    bases = bases.select(F.col("part").alias("own_part"), F.col("source").alias("own_source"), "base")
+    # Written, so that Spark knows its size and sends it to the scan of the ids, which are then not shuffled.
+    bases = staged(bases.select(F.col("part").alias("own_part"), F.col("source").alias("own_source"), "base"), "bases")
     placed = queues.join(bases, (F.col("part") == F.col("own_part")) & F.col("source").eqNullSafe(F.col("own_source")))
     return placed.select("source", "doc_id", "place", "base", "n", "ids").mapInArrow(cut, PIECES)
 

@@ -54,12 +54,12 @@ def texts_of(docs: DataFrame, *names: str) -> DataFrame:
     return docs.select(*names, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
-def steps(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Slices of a batch whose texts together stay below STEP_BYTES."""
+def steps(batch: pa.RecordBatch, column: str = "text", most: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose texts together stay below ``most`` bytes."""
     _, ends = text_bytes(batch.column(column))
     start = 0
     while start < batch.num_rows:
-        stop = int(np.searchsorted(ends, ends[start] + STEP_BYTES, side="right")) - 1
+        stop = int(np.searchsorted(ends, ends[start] + most, side="right")) - 1
         stop = min(max(stop, start + 1), batch.num_rows)
         yield batch.slice(start, stop - start)
         start = stop

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from compare import connect, difference
 
@@ -146,6 +147,19 @@ def test_pieces_encode_like_the_whole(text):
     assert np.frombuffer(Encoder().encode([text])[0], "<u2").tolist() == ids_of(text)
 
 
+def test_pieces_of_many_texts_encode_like_the_whole():
+    """Texts of a column are cut and looked up together; cuts near spaces beyond ASCII and special tokens are not safe."""
+    from marketloom.llm.tokens import Encoder
+
+    rng = random.Random(4)
+    signs = [*"ab.,'!1 \n\t", "  ", "é", "×", "ñ.", "\u0085", "\u00a0", "\u2003", "\u3000", "\u1680", "你", "。", "\U0001f600", "<|endoftext|>", "'ll"]
+    texts = ["", *("".join(rng.choices(signs, k=rng.randint(0, 40))) for _ in range(2000)), "", "x" * 1000, ""]
+    column = pa.array(["before", *texts], pa.string()).slice(1)
+    ids = Encoder().encode_column(column)
+    assert [np.frombuffer(x, "<u2").tolist() for x in ids.to_pylist()] == [ids_of(t) for t in texts]
+    assert Encoder().encode_column(column.slice(0, 0)).to_pylist() == []
+
+
 def test_binary_shards(spark, edge):
     shards = binary.write_shards(edge, parts=3, shard_ids=5000)
     want, start = [], 0
@@ -182,6 +196,16 @@ def test_packing(edge, targets):
             assert r.doc_tokens == len(text[r.doc_id]) and r.ids_crc32 == crc(text[r.doc_id][r.start : r.start + r.length])
 
 
+def test_packing_shuffles_no_document(spark, edge):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "16k")
+    try:
+        plan = packing.pack(edge)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
 def test_every_window_has_the_target_shares():
     schedule = packing.Schedule([5000, 20000, 75000], [1, 1, 2], 1000)
     served = np.diff(schedule.served(np.arange(schedule.windows + 1)), axis=0)
