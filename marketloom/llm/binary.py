@@ -19,11 +19,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import mix, staged, steps, texts_of
-from .tokens import VOCABULARY, Encoder
+from .tokens import ENCODE_BYTES, VOCABULARY, Encoder
 
 #: A shard is closed when it holds as many ids (one longer document is a shard of its own).
 SHARD_IDS = 1 << 21
@@ -146,15 +147,15 @@ def write_shards(docs: DataFrame, parts: int | None = None, vocabulary: str = VO
         encoder = Encoder.of_worker(vocabulary)
         turn = 0
         for whole in batches:
-            for batch in steps(whole):
-                ids = encoder.encode(batch.column("text").to_pylist())
+            for batch in steps(whole, most=ENCODE_BYTES):
+                ids = encoder.encode_column(batch.column("text"))
                 keys = batch.column("doc_id")
                 at = np.asarray(keys.fill_null(np.iinfo(np.int64).min)).astype(np.float64)
                 low, high = part_range(bounds, at)
                 part = low + (turn + np.arange(len(at))) % (high - low + 1)
                 turn += len(at)
                 yield pa.record_batch(
-                    [pa.array(part, pa.int32()), keys, pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.binary())],
+                    [pa.array(part, pa.int32()), keys, pc.binary_length(ids).cast(pa.int64()), ids],
                     names=["part", "doc_id", "n", "ids"],
                 )
 
