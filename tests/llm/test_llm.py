@@ -373,6 +373,11 @@ def test_rules_keep_clean_documents(spark):
 # -- 5 -------------------------------------------------------------------------------
 
 
+def test_rules_filter_works_metrics_out_once(spark, edge):
+    plan = rules.apply_rules(edge).where("kept").select("doc_id", "text")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_distinct") == 1
+
+
 @pytest.mark.parametrize("limit", [20_000, 3])
 def test_decontamination_both_ways(spark, edge, limit):
     benchmark = spark.createDataFrame([(1, "W24X w27x, w30x w33x"), (2, "short TEXT"), (3, None), (None, "tail"), (4, " ".join(f"q{i}" for i in range(20)))], "item_id long, text string")
