@@ -177,9 +177,10 @@ def _classed(docs: DataFrame, k: int, similar: float, bands: int, rows: int) ->
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = staged(prints(docs, k, bands, rows), "prints")
     known = found.where("doc_id is not null and same is not null")
-    first = staged(known.groupBy("same").agg(F.min("doc_id").alias("doc")), "same")
-    heads = known.join(first.withColumnRenamed("same", "_same"), (known["same"] == F.col("_same")) & (known["doc_id"] == F.col("doc")), "left_semi")
-    met = staged(heads.select(F.explode("bands").alias("key"), "same").distinct(), "met")
+    # A text's bands follow from its digest, so any of its rows has them.
+    heads = staged(known.groupBy("same").agg(F.min("doc_id").alias("doc"), F.first("bands").alias("bands")), "same")
+    first = heads.select("same", "doc")
+    met = staged(heads.select(F.explode(F.array_distinct("bands")).alias("key"), "same"), "met")
     # Copies of one text meet in the same company in most bands; one bucket of equal members is enough.
     members = (F.bit_xor(F.xxhash64("same")), F.bit_xor(F.xxhash64(F.lit(1), "same")))
     full = met.groupBy("key").agg(F.min("same").alias("hub"), F.count("*").alias("n"), members[0].alias("x"), members[1].alias("y")).where("n > 1")
@@ -231,6 +232,35 @@ def _open_buckets(members: DataFrame, comp: DataFrame) -> DataFrame:
     return now.join(largest.where("classes > 1"), "key").select("key", "same", "comp", F.col("top.comp").alias("top"))
 
 
+#: Bits of a filter, 1 MB however many keys there are.
+FILTER_BITS = 1 << 23
+
+
+def mostly(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """The rows whose ``same`` is in ``asked``, and a few others: most rows that a join would drop go before its shuffle.
+
+    Two bits per key; the driver and the tasks hold FILTER_BITS of them, and more keys only let more other rows pass.
+    """
+
+    def places(column: str) -> list[Column]:
+        return [F.pmod(F.xxhash64(F.lit(i), column), F.lit(FILTER_BITS)) for i in range(2)]
+
+    # Words of 32,768 bits, whose numbers and places begin with 1; there are at most FILTER_BITS / 32,768 of them.
+    bit = asked.select(F.explode(F.array(*(p + 1 for p in places("same")))).alias("bit"))
+    words = bit.groupBy(F.expr("bitmap_bucket_number(bit)").alias("word")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit))").alias("bits"))
+    table = np.zeros(FILTER_BITS, bool)
+    for word, bits in words.collect():
+        table[(word - 1) << 15 : word << 15] = np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little")
+    table = np.packbits(table, bitorder="little")
+
+    @F.pandas_udf("boolean")
+    def may_be(first: pd.Series, second: pd.Series) -> pd.Series:
+        a, b = first.to_numpy(), second.to_numpy()
+        return pd.Series(((table[a >> 3] >> (a & 7)) & (table[b >> 3] >> (b & 7)) & 1).astype(bool))
+
+    return rows.where(may_be(*places("same")))
+
+
 #: Documents outside the largest class, and bucket members, that one group compares.
 ASKED, AGAINST = 128, 4096
 #: Slack of a bound, so that rounding loses no pair that lies on the threshold.
@@ -247,8 +277,8 @@ def may_link(left: DataFrame, marked: DataFrame, similar: float, forest: bool =
     that a group holds a bounded number of texts however large the bucket is, and only what may be a link leaves it. Two
     texts share no fewer marks than shingles. ``marked``: same, marks, with one or more rows per text.
     """
-    asked = left.select("same").distinct()
-    marked = marked.join(asked, "same", "left_semi").groupBy("same").agg(F.max("marks").alias("marks"))
+    asked = staged(left.select("same").distinct(), "asked")
+    marked = mostly(marked, asked).join(asked, "same", "left_semi").groupBy("same").agg(F.max("marks").alias("marks"))
     outside = F.col("comp") != F.col("top")
     sizes = left.groupBy("key").agg(
         F.ceil(F.sum(outside.cast("long")) / ASKED).cast("int").alias("blocks"), F.ceil(F.count("*") / AGAINST).cast("int").alias("parts")

@@ -491,6 +491,15 @@ def test_marks_bound_the_overlap():
         assert np.isin(y, x).sum() >= shared and len(x) == len(bags[0][0]) * bags[0][1] and (np.diff(x.astype(np.int64)) >= 0).all()
 
 
+def test_filter_before_the_join_keeps_all_asked_and_few_others(spark):
+    """Marks of texts in no open bucket are not shuffled, however many texts are asked for."""
+    keys = spark.range(20_000).selectExpr("cast(md5(cast(id as string)) as binary) as same", "id")
+    asked = keys.where("id < 1000")
+    left = {r.id for r in near.mostly(keys, asked.select("same")).select("id").collect()}
+    assert set(range(1000)) <= left and len(left) < 1050
+    assert near.mostly(keys, asked.select("same").where("false")).count() == 0
+
+
 def test_rows_of_one_doc_id_are_classed_by_their_texts(spark):
     def passage(seed, n):
         return " ".join(f"w{(seed * 7 + i * (seed % 11 + 1)) % 400}x" for i in range(n))
