@@ -160,11 +160,15 @@ def similarity(a: Column, b: Column) -> Column:
 def verified(pairs: DataFrame, first: DataFrame, docs: DataFrame, k: int, similar: float) -> DataFrame:
     """The pairs (a, b) of texts whose multiset overlap reaches ``similar``; only texts of the pairs are made into sets."""
     asked = staged(pairs.select(F.explode(F.array("a", "b")).alias("same")).distinct(), "asked")
-    # Written, so that Spark knows its size: texts are shuffled only where the ids are too many to be sent to the scan.
+    # Written, so that Spark knows its size: where the ids are too many to be sent to the scan, only texts that may be asked
+    # for are shuffled.
     ids = staged(first.join(asked, "same").select(F.col("doc").alias("doc_id")).distinct(), "ids")
+    # Written, so that no task needs the filter's Python worker beside that of the sets.
+    texts = staged(mostly(docs.select("doc_id", "text"), ids, "doc_id").join(ids, "doc_id", "left_semi"), "texts")
     # A doc_id may bring other texts as well.
-    sets = token_sets(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), k).dropDuplicates(["same"])
+    sets = token_sets(texts, k).dropDuplicates(["same"])
     sets = staged(sets.join(asked, "same", "left_semi"), "tokens")
+    removed(texts)
     left = sets.select(F.col("same").alias("a"), F.col("tokens").alias("of_a"))
     right = sets.select(F.col("same").alias("b"), F.col("tokens").alias("of_b"))
     found = staged(pairs.join(right, "b").join(left, "a").where(similarity(F.col("of_a"), F.col("of_b")) >= similar).select("a", "b"), "verified")
@@ -236,17 +240,17 @@ def _open_buckets(members: DataFrame, comp: DataFrame) -> DataFrame:
 FILTER_BITS = 1 << 23
 
 
-def mostly(rows: DataFrame, asked: DataFrame) -> DataFrame:
-    """The rows whose ``same`` is in ``asked``, and a few others: most rows that a join would drop go before its shuffle.
+def may_hold(asked: DataFrame, name: str):
+    """A test of columns that is true for every value of ``asked``'s column ``name``, and for a few others.
 
-    Two bits per key; the driver and the tasks hold FILTER_BITS of them, and more keys only let more other rows pass.
+    Two bits per key; the driver and the tasks hold FILTER_BITS of them, and more keys only let more other values pass.
     """
 
-    def places(column: str) -> list[Column]:
+    def places(column: Column) -> list[Column]:
         return [F.pmod(F.xxhash64(F.lit(i), column), F.lit(FILTER_BITS)) for i in range(2)]
 
     # Words of 32,768 bits, whose numbers and places begin with 1; there are at most FILTER_BITS / 32,768 of them.
-    bit = asked.select(F.explode(F.array(*(p + 1 for p in places("same")))).alias("bit"))
+    bit = asked.select(F.explode(F.array(*(p + 1 for p in places(F.col(name))))).alias("bit"))
     words = bit.groupBy(F.expr("bitmap_bucket_number(bit)").alias("word")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit))").alias("bits"))
     table = np.zeros(FILTER_BITS, bool)
     for word, bits in words.collect():
@@ -258,7 +262,18 @@ def mostly(rows: DataFrame, asked: DataFrame) -> DataFrame:
         a, b = first.to_numpy(), second.to_numpy()
         return pd.Series(((table[a >> 3] >> (a & 7)) & (table[b >> 3] >> (b & 7)) & 1).astype(bool))
 
-    return rows.where(may_be(*places("same")))
+    return lambda column: may_be(*places(column))
+
+
+def mostly(rows: DataFrame, asked: DataFrame, name: str = "same") -> DataFrame:
+    """The rows whose ``name`` is in ``asked``, and a few others: most rows that a join would drop go before its shuffle."""
+    return rows.where(may_hold(asked, name)(F.col(name)))
+
+
+def without(rows: DataFrame, gone: DataFrame, name: str) -> DataFrame:
+    """The rows whose ``name`` is not in ``gone``, of which few are shuffled: most are known not to be by the filter."""
+    doubtful = may_hold(gone, name)(F.col(name))
+    return rows.where(~doubtful).unionByName(rows.where(doubtful).join(gone, name, "left_anti"))
 
 
 #: Documents outside the largest class, and bucket members, that one group compares.
@@ -340,14 +355,14 @@ def keep_first(docs: DataFrame, k: int = WORDS, similar: float = SIMILAR, bands:
     known = named.where("doc_id is not null")
     go = (F.col("doc_id") != F.col("class_id")) | ~F.col("same").eqNullSafe(F.col("head"))
     several = staged(known.groupBy("doc_id").count().where("count > 1").select("doc_id"), "several")
-    gone = known.where(go).select("doc_id").distinct()
+    gone = staged(known.where(go).select("doc_id").distinct(), "gone")
     ids = docs.select(F.col("doc_id").cast("long").alias("_id"), F.struct(*docs.columns).alias("_row"))
     gone, several = gone.withColumnRenamed("doc_id", "_id"), several.withColumnRenamed("doc_id", "_id")
     if several.isEmpty():
-        return ids.join(gone, "_id", "left_anti").select("_row.*")
-    alone = ids.join(gone.unionByName(several).distinct(), "_id", "left_anti").select("_row.*")
-    heads = known.where(~go).select(F.col("doc_id").alias("_id"), F.col("same").alias("_head")).distinct()
-    repeated = _with_same(ids.join(several, "_id", "left_semi"), k)
+        return without(ids, gone, "_id").select("_row.*")
+    alone = without(ids, gone.unionByName(several).distinct(), "_id").select("_row.*")
+    heads = mostly(known.where(~go).select(F.col("doc_id").alias("_id"), F.col("same").alias("_head")), several, "_id").distinct()
+    repeated = _with_same(staged(mostly(ids, several, "_id").join(several, "_id", "left_semi"), "repeated"), k)
     stays = repeated.join(heads.withColumnRenamed("_id", "_doc"), (F.col("_id") == F.col("_doc")) & F.col("_same").eqNullSafe(F.col("_head")), "left_semi")
     return alone.unionByName(stays.groupBy("_id", "_same").agg(F.min("_row").alias("_row")).select("_row.*"))
 

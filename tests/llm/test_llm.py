@@ -500,6 +500,39 @@ def test_filter_before_the_join_keeps_all_asked_and_few_others(spark):
     assert near.mostly(keys, asked.select("same").where("false")).count() == 0
 
 
+def shuffled(df) -> int:
+    """Rows that the last run of ``df`` wrote to shuffles."""
+
+    def walk(node) -> int:
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return walk(node.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            return walk(node.plan())
+        own = node.metrics().apply("shuffleRecordsWritten").value() if kind == "ShuffleExchangeExec" else 0
+        return own + sum(walk(node.children().apply(i)) for i in range(node.children().size()))
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+@pytest.mark.parametrize("twice", [False, True])
+def test_texts_that_stay_are_not_shuffled(spark, twice):
+    """Whole documents used to be shuffled to drop the few that go, once the ids were too many to be broadcast."""
+    texts = {i: f"words of document {i} and {i * 7919} more {i * 104729}" for i in range(1500)}
+    texts |= {2000 + i: texts[i] for i in range(40)}
+    data = [*texts.items(), *([(3, "another text of one id that is there twice")] if twice else [])]
+    docs = spark.createDataFrame([*data, (None, texts[0]), (None, None)], "doc_id long, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = near.keep_first(docs)
+        found = Counter(r.doc_id for r in kept.collect())
+        assert shuffled(kept) < 400
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert found == Counter([*range(1500), *([3] if twice else []), None, None])
+
+
 def test_rows_of_one_doc_id_are_classed_by_their_texts(spark):
     def passage(seed, n):
         return " ".join(f"w{(seed * 7 + i * (seed % 11 + 1)) % 400}x" for i in range(n))
