@@ -207,14 +207,36 @@ def _stretch_batch(anchor, doc, check, at, size) -> pa.RecordBatch:
 # -- transforms ------------------------------------------------------------------------
 
 
-def _stable_order(ids: np.ndarray) -> np.ndarray:
-    """Stable order of numbers below 2 ** 32, by two passes (numpy sorts numbers of 8 and 16 bits by radix)."""
-    order = np.argsort(ids.astype(np.uint16), kind="stable").astype(np.int32)
-    high = ids >> np.uint32(16)
-    top = int(high.max(initial=0))
-    if top:
-        order = order[np.argsort(high[order].astype(np.uint8 if top < 256 else np.uint16), kind="stable")]
-    return order
+def _stable_order(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stable order of fewer than 2 ** 32 numbers below 2 ** 32, and the sorted numbers: each is sorted with its place behind it."""
+    both = ids.astype(np.uint64) << np.uint64(32)
+    both |= np.arange(len(ids), dtype=np.uint64)
+    both.sort()
+    return (both & np.uint64(0xFFFFFFFF)).astype(np.int64), (both >> np.uint64(32)).astype(np.uint32)
+
+
+def _by_key(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that sorts 64-bit hashes, and the sorted hashes.
+
+    Hashes are sorted with their places in place of their lowest bits; runs that only these bits tell apart are sorted again.
+    """
+    bits = np.uint64(max(len(key) - 1, 1).bit_length())
+    both = key >> bits << bits
+    both |= np.arange(len(key), dtype=np.uint64)
+    both.sort()
+    order = (both & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    ranked = key[order]
+    both >>= bits
+    new = np.append(True, both[1:] != both[:-1])[: len(key)]
+    mixed = np.flatnonzero((ranked[1:] != ranked[:-1]) & ~new[1:])
+    if len(mixed):
+        run = np.cumsum(new) - 1
+        often = np.zeros(run[-1] + 1, bool)
+        often[run[mixed]] = True
+        again = np.flatnonzero(often[run])
+        order[again] = order[again][np.argsort(ranked[again])]
+        ranked = key[order]
+    return order, ranked
 
 
 def _keys(data: np.ndarray, length: int, seed: int = 1) -> np.ndarray:
@@ -236,8 +258,7 @@ def symbols(data: np.ndarray) -> np.ndarray:
     At the end of a string it runs into the next one; no window begins there.
     """
     key = _keys(data, SYMBOL)
-    order = np.argsort(key)
-    ranked = key[order]
+    order, ranked = _by_key(key)
     ids = np.empty(len(key), np.uint32)
     ids[order] = np.cumsum(np.append(False, ranked[1:] != ranked[:-1]), dtype=np.uint32)
     return ids
@@ -251,9 +272,9 @@ def transform(ids: np.ndarray, later: np.ndarray, before: np.ndarray) -> tuple[n
     labels = [ids]
     while len(labels) < LENGTH // SYMBOL:
         labels.append(labels[-1][later])
-    order = _stable_order(labels.pop())
+    order = _stable_order(labels.pop())[0]
     while labels:  # last symbol first, each pass stable
-        order = order[_stable_order(labels.pop()[order])]
+        order = order[_stable_order(labels.pop()[order])[0]]
     return order, ids[before[order]]
 
 
@@ -263,16 +284,22 @@ def merge(shards: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     Returns the shard of each suffix in merged order, and whether an interval of LENGTH equal bytes begins there. Round r
     orders the interleaving to r * SYMBOL bytes; an interval breaks between suffixes whose common prefix ends in the round.
     """
-    which = np.repeat(np.arange(len(shards), dtype=np.uint16), [len(s) for s in shards])
-    interval = np.zeros(len(which), np.int32)
+    which = np.repeat(np.arange(len(shards), dtype=np.min_scalar_type(len(shards))), [len(s) for s in shards])
+    own = symbol = np.concatenate(shards)  # shard after shard, which is the first interleaving
+    breaks = interval = None
     for _ in range(LENGTH // SYMBOL):
-        by_shard = np.argsort(which, kind="stable")  # places of each shard's suffixes, in its own order
-        symbol = np.empty(len(which), np.uint32)
-        symbol[by_shard] = np.concatenate(shards)
-        order = _stable_order(symbol)
-        which, symbol, interval = which[order], symbol[order], interval[order]
-        breaks = np.append(True, (symbol[1:] != symbol[:-1]) | (interval[1:] != interval[:-1]))
-        interval = np.cumsum(breaks, dtype=np.int32)
+        if interval is not None:
+            interval = np.cumsum(breaks, dtype=np.int32)
+            symbol = np.empty(len(which), np.uint32)
+            symbol[np.argsort(which, kind="stable")] = own  # places of each shard's suffixes, in its own order
+        order, symbol = _stable_order(symbol)
+        which = which[order]
+        breaks = np.append(True, symbol[1:] != symbol[:-1])
+        if interval is not None:
+            interval = interval[order]
+            breaks[1:] |= interval[1:] != interval[:-1]
+        else:
+            interval = breaks
     return which, breaks if len(which) else np.zeros(0, bool)
 
 
@@ -300,8 +327,7 @@ def smallest_docs(data: np.ndarray, bounds: np.ndarray, docs: np.ndarray) -> np.
     suffix = np.empty(len(which), np.int64)
     suffix[np.argsort(which, kind="stable")] = np.concatenate(orders)
     # Suffixes that are no window (they run over the end of their string) count for nothing.
-    real = left[suffix] >= LENGTH
-    own = np.where(real, doc_of[suffix], np.iinfo(np.int64).max)
+    own = np.where(left >= LENGTH, doc_of, np.iinfo(np.int64).max)[suffix]
     at = np.flatnonzero(breaks)
     least = np.empty(len(data), np.int64)
     least[suffix] = np.repeat(np.minimum.reduceat(own, at), np.diff(np.append(at, len(own))))

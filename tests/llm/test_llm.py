@@ -313,6 +313,32 @@ def test_suffix_edges(spark, edge):
             assert (r.n_bytes, r.n_removed, r.n_spans) == want[r.doc_id]
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 1000, 70_000])
+def test_sorting_by_place_is_the_stable_order(n):
+    """Orders are made by one sort of values with their places; they used to take several passes of argsort."""
+    rng = np.random.default_rng(n)
+    for most in (2, 300, 1 << 32):
+        ids = rng.integers(0, most, n).astype(np.uint32)
+        order, ranked = suffix._stable_order(ids)
+        assert (order == np.argsort(ids, kind="stable")).all() and (ranked == ids[order]).all()
+    # Hashes that differ in their lowest bits alone, in the highest alone, and in all.
+    low = rng.integers(0, 3, n).astype(np.uint64)
+    for key in (low, low << np.uint64(62), low | low[::-1] << np.uint64(40), rng.integers(0, 1 << 64, n, dtype=np.uint64)):
+        order, ranked = suffix._by_key(key)
+        assert (np.sort(order) == np.arange(n)).all() and (ranked == np.sort(key)).all() and (ranked == key[order]).all()
+
+
+def test_merge_sorts_a_round_once(monkeypatch):
+    """A round of the merge used to sort places by shard though the first interleaving is in their order."""
+    calls, argsort = [], np.argsort
+    monkeypatch.setattr(suffix.np, "argsort", lambda *a, **k: calls.append(1) or argsort(*a, **k))
+    shards = [np.array([3, 1, 2], np.uint32), np.array([1, 1], np.uint32), np.array([2], np.uint32)]
+    which, breaks = suffix.merge(shards)
+    assert len(calls) == 1
+    assert which.tolist() == [1, 1, 0, 2, 0, 0]
+    assert breaks.tolist() == [True, False, True, True, True, True]
+
+
 def test_suffix_two_texts_of_one_id(spark):
     text = "the quick brown fox jumps over the lazy dog and runs away from it all day"
     docs = spark.createDataFrame([(1, text), (1, "pad " + text), (2, text + "!")], "doc_id long, text string")
