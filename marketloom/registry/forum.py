@@ -159,10 +159,10 @@ WHERE x <> '' AND contains(lower(d."text"), x) OR y <> '' AND contains(lower(d."
 def keyword_index_matches(spark, folder):
     """One mapping per document, of two words of its text, matched with the texts of its source through the index."""
     docs = table(spark, folder, "documents").select("doc_id", F.col("source").alias("subreddit"), "text")
-    word = lambda n: F.get(F.split("text", " "), n - 1)
+    word = lambda n: F.get(F.split("text", " ", 4), n - 1)
     query = F.concat(word(1), F.lit(" OR "), word(3))
     pairs = docs.select(F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("asset_id"), "subreddit", query.alias("query")).filter("query IS NOT NULL")
-    return keywords.matching_pairs(docs, pairs, "doc_id", ["text"], on="subreddit").select("doc_id", "asset_id", "query")
+    return keywords.matching_pairs(docs, pairs, "doc_id", ["text"], on="subreddit", whole=False).select("doc_id", "asset_id", "query")
 
 
 @add(f"""WITH {MAPPING}, seen AS (SELECT lang AS l, source, TIMESTAMP '2024-01-01 00:00:00' + to_seconds(doc_id * 60) AS t FROM documents)

@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from marketloom.operators import filters, keywords
@@ -132,3 +133,55 @@ def test_a_step_over_many_queries_stays_small():
     for q in range(0, 1200, 97):
         want = sorted(range(6000), key=lambda i: (-scores[q, i], ids[i]))[:5]
         assert best.ids[q].tolist() == [ids[i] for i in want]
+
+
+def shuffled_bytes(df) -> int:
+    """Bytes that the last run of ``df`` wrote to shuffles."""
+
+    def walk(node) -> int:
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return walk(node.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            return walk(node.plan())
+        own = node.metrics().apply("shuffleBytesWritten").value() if kind == "ShuffleExchangeExec" else 0
+        return own + sum(walk(node.children().apply(i)) for i in range(node.children().size()))
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_what_is_found_is_not_shuffled(spark):
+    """Every row of a source used to be shuffled with the list of all pairs it matches: 17 million numbers here."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    posts = spark.createDataFrame([(i, "s", " ".join(["the", *[word() for _ in range(20)]])) for i in range(3000)], "_id long, on string, text string").repartition(4)
+    pairs = spark.createDataFrame([(f"P{i}", "s", f"the OR {word()}") for i in range(3000)], "k string, on string, query string")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1k")
+    try:
+        found = keywords.matching_pairs(posts, pairs, "_id", ["text"], on="on", whole=False).select("_id", "k", "query")
+        counts = found.agg(F.count("k"), F.count("query"))
+        assert counts.collect()[0][0] == 3000 * 3000
+        assert 0 < shuffled_bytes(counts) < 2_000_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+@pytest.mark.parametrize("whole", [False, True])
+def test_blocks_and_parts_equal_brute_force(spark, monkeypatch, whole):
+    """Terms with white space, of one or two characters and longer than the words kept; ids that come twice and null ones."""
+    for name, value in {"BLOCK": 4, "LEAST": 40, "MOST": 40, "PART_BYTES": 900, "CELLS": 1, "SLICE": 128, "READ": 300, "WORDS": 30, "LONGEST": 6, "LOOK": 50}.items():
+        monkeypatch.setattr(keywords, name, value)
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcé𝒳") for _ in range(rng.randint(1, 9)))
+    space = lambda: rng.choice([" ", "  ", "\n", "\x1c", "\u00a0"])
+    texts = [(i if i % 9 else None, f"s{i % 3}" if i % 7 else None, rng.choice([None, "", word().upper()]), "".join(word() + space() for _ in range(6))) for i in range(150)]
+    texts += texts[1:8] + texts[1:3]
+    terms = lambda: [rng.choice([word(), word() + space() + word(), "\x1c"]) for _ in range(rng.randint(1, 4))]
+    queries = [(f"A{i}", f"s{i % 4}" if i % 5 else None, " OR ".join(terms()) if i % 11 else None) for i in range(90)] * 2
+    posts = spark.createDataFrame(texts, "_id long, subreddit string, title string, selftext string").repartition(3)
+    pairs = spark.createDataFrame(queries, "asset_id string, subreddit string, query string")
+    got = keywords.matching_pairs(posts, pairs, "_id", ["title", "selftext"], on="subreddit", whole=whole)
+    assert got.columns == ["_id", "subreddit", *(["title", "selftext"] if whole else []), "asset_id", "query"]
+    plain = filters.matching_query(posts.join(pairs, "subreddit").filter("_id is not null"), "query", "title", "selftext")
+    assert rows(got, *got.columns) == rows(plain, *got.columns) and got.count() > 1000
