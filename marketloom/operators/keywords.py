@@ -22,9 +22,9 @@ from ..functions.text import query_terms
 from ..session import written
 
 #: Bits of the number of terms of a block of queries.
-BLOCK = 18
+BLOCK = 19
 #: Bytes of a part's texts, and rows times queries that meet in one task: at most MOST, fewer if few meet in all, but not below LEAST.
-PART_BYTES, LEAST, MOST = 32 << 20, 1 << 24, 1 << 28
+PART_BYTES, LEAST, MOST = 32 << 20, 1 << 24, 1 << 30
 #: Cells (term, row) that a step holds, cells (query, row) worked out at once, and bytes of texts read at once.
 CELLS, SLICE, READ = 1 << 25, 1 << 20, 1 << 20
 #: Words whose terms are kept, and the longest of them.
@@ -99,6 +99,7 @@ class _Block:
             elif t not in whole:
                 self.blank.append((i, t))
         self.tree, self.numbers = _Tree(list(whole)), np.array(numbers, np.int32)
+        self.near = np.isin(np.arange(self.n + len(self.spaced)), list(self.spaced))
         self.words: dict[str, bytes] = {}
         self.width = 1 << min(11, max(6, (CELLS // self.n).bit_length() - 1))
         self.cells = np.zeros((self.n, self.width), np.uint8)
@@ -122,7 +123,7 @@ class _Block:
                 self.times.append(1)
             found = self.numbers[np.frombuffer(b"".join(map(self.words.__getitem__, some)), np.int32)]
             if self.spaced or self.blank:
-                near = [x for i in {*found.tolist()} & self.spaced.keys() for x in self.spaced[i]] + self.blank
+                near = [x for i in {*found[self.near[found]].tolist()} for x in self.spaced[i]] + self.blank
                 found = np.concatenate([found[found < self.n], np.array([i for i, t in near if any(t in x for x in own)], np.int32)])
             self.cells[found, len(self.row_ids) - 1] = 1
         for w in new:
