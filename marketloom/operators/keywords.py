@@ -14,7 +14,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -219,8 +219,9 @@ def _found(rows: DataFrame, queries: DataFrame, row_id: str, texts: Sequence[str
         F.col(row_id).alias("_id"), lowered.alias("_texts"), none(name_type).alias("_named"), none("array<string>").alias("_terms"),
     ))
     # Groups of one source go to tasks one after another.
-    task = F.pmod(F.xxhash64("_no") + F.col("_block") * 31 + F.col("_part"), F.lit(max(1, tasks))).cast("int")
-    dealt = sent.repartitionById(max(1, tasks), task).sortWithinPartitions("_no", "_block", "_part", "_is_row", "_id")
+    tasks = max(1, tasks)
+    task = F.pmod(F.pmod(F.xxhash64("_no"), F.lit(tasks)) + F.col("_block") * 31 + F.col("_part"), F.lit(tasks)).cast("int")
+    dealt = sent.repartitionById(tasks, task).sortWithinPartitions("_no", "_block", "_part", "_is_row", "_id")
     met = dealt.mapInArrow(_meet(once), T.StructType([T.StructField("_named", name_type), T.StructField("_ids", T.ArrayType(id_type))]))
     names = [c for c in queries.columns if c not in ("_terms", "_query")]
     return met.select(*[F.col("_named")[c].alias(c) for c in names], "_ids").select(F.explode("_ids").alias(row_id), *names)
